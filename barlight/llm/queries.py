@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, licenses, mixing, quality, sharding
+from . import fingerprint, licenses, mixing, pii, quality, sharding
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op5_mixing, op6_sharding, op8_quality, op10_licenses)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op5_mixing, op6_sharding, op8_quality, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
