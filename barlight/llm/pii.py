@@ -103,7 +103,7 @@ def describe(kind: str, span: str, left: str, right: str) -> list[str]:
         out.append(f"{kind} glued left")
     if right and (right[0].isalnum() or right[0] == "-"):
         out.append(f"{kind} glued right")
-    if right[:1] in (".", "@", "[", "(") and right[1:].isalnum():
+    if right in (" [", " (") or right[:1] in (".", "@", "[", "(") and right[1:].isalnum():
         out.append(f"{kind} cut right")
     if left in ("-", ".", "/", ",", ":", "=") or right[:1] == "/":
         out.append(f"{kind} in a longer run")
@@ -122,8 +122,8 @@ def describe(kind: str, span: str, left: str, right: str) -> list[str]:
         sizes = {len(g) for g in groups[:-1]}
         out.append("card one run" if len(groups) == 1 else "card fours" if sizes == {4} or [len(g) for g in groups] == [4, 6, 5] else "card uneven")
     else:
-        shape = "-".join(str(len(g)) for g in groups)
-        out.append("phone local" if shape in ("3-3-4", "1-3-3-4") else "phone one run" if len(groups) == 1 else "phone other")
+        shape = [len(g) for g in groups]
+        out.append("phone local" if shape in ([3, 3, 4], [1, 3, 3, 4], [2, 3, 3, 4]) else "phone one run" if len(groups) == 1 else "phone other")
         out.append("phone plus" if span[0] == "+" else "phone no plus")
         if "(" in span:
             out.append("phone closed" if span.count("(") == span.count(")") == 1 else "phone open")
