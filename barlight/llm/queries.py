@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, licenses, mixing, pii, quality, sharding
+from . import fingerprint, licenses, mixing, packing, pii, quality, sharding
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op5_mixing, op6_sharding, op8_quality, op10_licenses)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op4_packing, op5_mixing, op6_sharding, op8_quality, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
