@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, licenses, mixing, packing, pii, quality, sharding
+from . import fingerprint, licenses, mixing, ngram_join, packing, pii, quality, sharding
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op4_packing, op5_mixing, op6_sharding, op8_quality, op10_licenses)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op4_packing, op5_mixing, op6_sharding, op7_ngram_join, op8_quality, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
