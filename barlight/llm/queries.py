@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, licenses, mixing, ngram_join, packing, pii, quality, sharding
+from . import fingerprint, html_extract, licenses, mixing, ngram_join, packing, pii, quality, sharding
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op4_packing, op5_mixing, op6_sharding, op7_ngram_join, op8_quality, op10_licenses)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_html, op4_packing, op5_mixing, op6_sharding, op7_ngram_join, op8_quality, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
