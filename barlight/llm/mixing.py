@@ -101,3 +101,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     bounds = bounds.select("s", "source_size", "target", F.col("passes").alias("base"), F.when(F.col("need") <= 0, F.lit(-1)).otherwise(F.coalesce("cut", open_end)).cast("long").alias("cut"), F.when(F.col("need") > 0, F.col("fillers")).alias("fillers"))
     extra = ((F.col("h") <= F.col("cut")) | F.coalesce(F.array_contains("fillers", F.col("h")), F.lit(False))).cast("long")
     return spread(full if keep else rows).join(salted(bounds), same & (F.col("salt") == F.col("bs"))).withColumn("passes", F.least(F.col("base") + extra, F.lit(max_epochs).cast("long"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", *[c for c in keep if c != "doc_id"])
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 17) -> DataFrame:
+    """The rows of documents, each as often as the mix takes it, with all columns."""
+    taken = mix(docs, weights, max_epochs, seed, keep=tuple(docs.columns))
+    return taken.where(F.col("passes") > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("passes").cast("int"))).alias("_pass")).drop("_pass")

@@ -192,3 +192,10 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     final = placed.join(named_roots, "root").select("c", "component_id")
     linked = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "c").join(final, "c", "left")
     return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of documents that have the least id of their component, with all columns; of equal ids one row, rows with a null id all."""
+    first = link(docs, percent, key, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(first, docs[key] == first["_id"], "left_semi").dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull()))

@@ -186,6 +186,20 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Verdic
     return calibrate(stats[fine], good[fine])
 
 
+def keep(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of documents that neither the base rules nor the forest rejects, with all columns, in one pass over the texts."""
+    small_batches(docs.sparkSession)
+    verdict = learn(docs, labels, rows)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        stats = np.array([stats_of(t) for t in texts], dtype=np.int64).reshape(len(texts), len(STATS))
+        out = ~base_failed(stats[:, 0], stats[:, 4])
+        return pd.Series(out if verdict is None else out & verdict.keep(stats))
+
+    return docs.where(good(F.col("text")))
+
+
 def judge(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept for every row.
 
