@@ -59,14 +59,17 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return 1.0 - apart.cast("double") / BITS
 
 
-def as_hex(a: str, b: str) -> Column:
-    return F.concat(*[F.lower(F.lpad(F.hex(F.col(c)), 16, "0")) for c in (a, b)])
+def as_hex(*words: str) -> Column:
+    return F.concat(*[F.lower(F.lpad(F.hex(F.col(c)), 16, "0")) for c in words])
 
 
 def fingerprints(rows: DataFrame, by: list[str], text: str, carry: list[str] = ()) -> DataFrame:
-    """``by``, ``carry``, f0 and f1 (64 bits each) for rows that ``by`` tells apart."""
+    """``by``, ``carry``, f0 and f1 (64 bits each) for rows that ``by`` tells apart.
+
+    What is carried must be numbers: with a string among its values the aggregation would sort all terms instead of hashing.
+    """
     exploded = rows.select(*by, *carry, F.explode_outer(terms(F.col(text))).alias("h"))
-    voted = exploded.groupBy(*by).agg(*votes(), *[F.first(c).alias(c) for c in carry])
+    voted = exploded.groupBy(*by).agg(*votes(), *[F.max(c).alias(c) for c in carry])
     return voted.select(*by, *carry, half(0).alias("f0"), half(1).alias("f1"))
 
 
@@ -140,11 +143,12 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     cut = F.floor(n / 2).cast("int")
     both = placed.select("b", "rn", "guest", "id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut)).alias("edited"))
     sides = both.select("b", "rn", "guest", "id", "n_chars", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x"))
-    sides = sides.select("b", "rn", "guest", "id", "n_chars", "x.side", F.when(F.col("x.side") == 1, F.sha2(F.col("x.body").cast("binary"), 256)).alias("sha"), F.col("x.body").alias("body"))
-    prints = fingerprints(sides, ["b", "rn", "side"], "body", ["guest", "id", "n_chars", "sha"])
+    sides = sides.select("b", "rn", "guest", "id", "n_chars", "x.side", F.col("x.body").alias("body"), F.when(F.col("x.side") == 1, F.sha2(F.col("x.body").cast("binary"), 256)).alias("sha"))
+    sides = sides.select("b", "rn", "guest", "id", "n_chars", "side", "body", *[F.conv(F.substring("sha", 16 * k + 1, 16), 16, -10).cast("long").alias(f"s{k}") for k in range(4)])
+    prints = fingerprints(sides, ["b", "rn", "side"], "body", ["guest", "id", "n_chars", "s0", "s1", "s2", "s3"])
     own, other = F.col("side") == 0, F.col("side") == 1
     pick = lambda c, which: F.max(F.when(which, F.col(c)))
-    merged = prints.groupBy("b", "rn").agg(pick("guest", own).alias("guest"), pick("id", own).alias("doc_id"), pick("n_chars", own).alias("n_chars"), pick("sha", other).alias("edited_sha256"), pick("f0", own).alias("f0"), pick("f1", own).alias("f1"), pick("f0", other).alias("e0"), pick("f1", other).alias("e1"))
+    merged = prints.groupBy("b", "rn").agg(pick("guest", own).alias("guest"), pick("id", own).alias("doc_id"), pick("n_chars", own).alias("n_chars"), *[pick(f"s{k}", other).alias(f"s{k}") for k in range(4)], pick("f0", own).alias("f0"), pick("f1", own).alias("f1"), pick("f0", other).alias("e0"), pick("f1", other).alias("e1"))
     after = Window.partitionBy("b").orderBy("rn")
     whole = freeze(merged.withColumn("n0", F.lead("f0").over(after)).withColumn("n1", F.lead("f1").over(after)).where(F.col("guest") == 0))
     classes = whole.groupBy("f0", "f1").agg(F.count("*").alias("copies"), F.max(F.col("doc_id") % 100 == 0).alias("asked"))
@@ -152,4 +156,4 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     near = found.join(classes.select("f0", "f1", "copies"), ["f0", "f1"]).groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg(F.sum("copies").alias("around"))
     asked = whole.where(F.col("doc_id") % 100 == 0).join(near, ["f0", "f1"]).withColumn("n_near", F.col("around") - 1)
     rest = whole.where((F.col("doc_id") % 100 != 0) | F.col("doc_id").isNull()).withColumn("n_near", F.lit(None).cast("long"))
-    return asked.drop("around").unionByName(rest).select("doc_id", "n_chars", "edited_sha256", as_hex("f0", "f1").alias("fingerprint"), as_hex("e0", "e1").alias("edited_fingerprint"), likeness(("f0", "f1"), ("e0", "e1")).alias("near_edited"), likeness(("f0", "f1"), ("n0", "n1")).alias("near_next"), "n_near")
+    return asked.drop("around").unionByName(rest).select("doc_id", "n_chars", as_hex("s0", "s1", "s2", "s3").alias("edited_sha256"), as_hex("f0", "f1").alias("fingerprint"), as_hex("e0", "e1").alias("edited_fingerprint"), likeness(("f0", "f1"), ("e0", "e1")).alias("near_edited"), likeness(("f0", "f1"), ("n0", "n1")).alias("near_next"), "n_near")
