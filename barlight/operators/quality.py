@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import MONTH, interval_ms
@@ -37,14 +37,12 @@ def outlier_mask(df: DataFrame, column: str, n_std: float = 5.0, keys: Sequence[
         raise ValueError("n_std must be over 0")
     value = F.col(column).try_cast("double")
     value = F.when(~F.isnan(value), value)
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
-    joined = df.join(stats, on_null_safe(df, stats, keys)) if keys else df.crossJoin(F.broadcast(stats))
+    stats = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    # without keys there is one row of statistics
+    joined = df.join(stats, same) if keys else df.crossJoin(F.broadcast(stats))
     far = (F.abs(value - F.col("_mean")) > n_std * F.col("_std")) & ~F.isnan("_std") & (F.col("_std") != 0)
-    return joined.select(*[df[c] for c in df.columns], F.coalesce(far, F.lit(False)).alias(out))
+    return joined.select(*df.columns, F.coalesce(far, F.lit(False)).alias(out))
 
-
-def on_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on &= a[k].eqNullSafe(b[k])
-    return on
