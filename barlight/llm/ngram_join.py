@@ -12,16 +12,16 @@ different components are all tested, so no component is split.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import freeze, null_safe_text, small_batches
+from .common import freeze, map_texts, null_safe_text
 
 N = 5
 PERCENT = 80
@@ -30,6 +30,8 @@ PERCENT = 80
 SAMPLE, COMMON, MOST_COMMON, COMMON_BITS = 16, 4, 200_000, 22
 #: 64-bit words of a set's bit map.
 WORDS = 8
+#: So many ids (8 bytes each) are sent to every executor to pick texts by them.
+BROADCAST_IDS = 2_000_000
 
 
 class Hashes(dict):
@@ -74,25 +76,26 @@ def bit_map(hashes: np.ndarray) -> list[int]:
     return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def _sets(docs: DataFrame, key: str, text: str, schema: str, row) -> DataFrame:
-    """Rows that ``row(hashes)`` makes of each document's set, after its id; none if it returns None."""
-    small_batches(docs.sparkSession)
-    names = [c.split()[0] for c in schema.split(", ")]
+def _full_sets(docs: DataFrame) -> DataFrame:
+    """c and s, the number and the shingles of each document's set."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(i, *r) for i, t in zip(b["doc_id"], b["t"], strict=True) if (r := row(shingle_hashes(t))) is not None]
-            yield pd.DataFrame(out, columns=["doc_id", *names])
+    def make(texts: list[str | None]) -> tuple:
+        sets = {class_of(h): h for t in texts if len(h := shingle_hashes(t))}
+        return [0] * len(sets), [list(sets), _lists(list(sets.values()))]
 
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), null_safe_text(text).alias("t"))
-    return source.mapInPandas(each, f"doc_id long, {schema}")
+    return map_texts(docs, [], "text", "c long, s array<long>", make).groupBy("c").agg(F.first("s").alias("s"))
 
 
-def common_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    values = np.concatenate(parts).view(np.int64) if parts else np.empty(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
     """A bit for each value of a shingle's leading COMMON_BITS bits: whether a common shingle has it."""
-    sample = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(SAMPLE)) == 0)
-    sets = _sets(sample, key, text, "c long, s array<long>", lambda h: (class_of(h), h.view(np.int64)) if len(h) else None)
-    once = sets.groupBy("c").agg(F.first("s").alias("s")).select(F.explode("s").alias("s")).groupBy("s").count()
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    once = _full_sets(sample).select(F.explode("s").alias("s")).groupBy("s").count()
     top = once.where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "s").limit(MOST_COMMON).toPandas()["s"].to_numpy(dtype=np.int64)
     bits = np.zeros(1 << COMMON_BITS, dtype=bool)
     bits[(top.view(np.uint64) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)] = True
@@ -125,15 +128,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", F.col("next").alias("root"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of pairs of classes a < b those that are alike enough, by exact counts of their shared shingles."""
     side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"m{k}").alias(f"{x}{k}") for k in range(WORDS)])
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
     most = F.least((F.col("na") + F.col("nb") - apart) / 2, F.col("na"), F.col("nb"))
     left = freeze(pairs.join(side("a"), "a").join(side("b"), "b").where(like_enough(most, F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb"))
-    ids = left.select(F.col("a").alias("c")).union(left.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "rep"), "c").select(F.col("rep").alias(key)).distinct()
-    sets = _sets(docs.select(key, text).join(ids, key, "left_semi"), key, text, "c long, s array<long>", lambda h: (class_of(h), h.view(np.int64)) if len(h) else None)
-    sets = sets.groupBy("c").agg(F.first("s").alias("s"))
+    ids = freeze(left.select(F.col("a").alias("c")).union(left.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "rep"), "c").select(F.col("rep").alias("doc_id")).distinct())
+    # few ids go to the texts; many meet them in a shuffle
+    few = ids.count() <= BROADCAST_IDS
+    sets = _full_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
     both = left.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     return both.where(like_enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
@@ -148,36 +152,41 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), null_safe_text(text).alias("text"))
     named = docs.where(F.col("doc_id").isNotNull())
-    common = common_shingles(named, "doc_id", "text")
-
-    def row(h: np.ndarray) -> tuple:
-        if not len(h):
-            return 0, None, None, None
-        late = np.unpackbits(common).astype(bool) if row.late is None else row.late
-        row.late = late
-        return len(h), class_of(h), prefix_of(h, late, percent).view(np.int64), bit_map(h)
-
-    row.late = None
-    sets = freeze(_sets(docs, "doc_id", "text", "n int, c long, p array<long>, m array<long>", row))
-    full = sets.where(F.col("c").isNotNull() & F.col("doc_id").isNotNull())
-    reps = full.groupBy("c").agg(F.min("doc_id").alias("rep"))
-    one = full.join(reps.select("c", F.col("rep").alias("doc_id")), ["c", "doc_id"]).select("c", "n", "doc_id", "p", *[F.get("m", F.lit(k)).alias(f"m{k}") for k in range(WORDS)])
-    one = freeze(one)
-    classes = one.select("c", "n", F.col("doc_id").alias("rep"), *[f"m{k}" for k in range(WORDS)]).dropDuplicates(["c"])
-    cells = one.select("c", "n", F.posexplode("p").alias("pos", "s"))
-    shared = cells.groupBy("s").count().where(F.col("count") > 1).select("s")
+    common = common_shingles(named)
+
+    def make(texts: list[str | None]) -> tuple:
+        late, seen, rows, prefixes = np.unpackbits(common).astype(bool), set(), [], []
+        for t in texts:
+            h = shingle_hashes(t)
+            c = class_of(h) if len(h) else 0
+            # copies in one batch give their prefix once
+            prefixes.append(prefix_of(h, late, percent) if len(h) and c not in seen else h[:0])
+            seen.add(c)
+            rows.append((len(h), c, *bit_map(h)))
+        return None, [*zip(*rows, strict=True), _lists(prefixes)] if rows else [[]] * (3 + WORDS)
+
+    maps = [f"m{k}" for k in range(WORDS)]
+    sets = freeze(map_texts(docs, ["doc_id"], "text", ", ".join(["n long", "c long", *(f"{m} long" for m in maps), "p array<long>"]), make))
+    full = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    classes = full.groupBy("c").agg(F.min("doc_id").alias("rep"), *[F.min(x).alias(x) for x in ("n", *maps)])
+    cells = full.select("c", F.col("n").cast("int").alias("n"), F.posexplode("p").alias("pos", "s"))
+    shared = cells.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where(F.col("c1") < F.col("c2")).select("s")
     # sets that can be alike lie in the same or in neighbouring size classes; each cell goes to its own and the next
     size = F.floor(F.log(F.col("n").cast("double")) / log(100 / percent)).cast("int")
-    columns = freeze(cells.join(shared, "s").select("s", "c", "n", "pos", F.explode(F.array(size, size + 1)).alias("k")))
+    kept = freeze(cells.join(shared, "s").dropDuplicates(["s", "c"]))
+    columns = kept.withColumn("k", F.explode(F.array(size, size + 1)))
 
     def bound(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
         """Sizes and the positions of a shared shingle leave room for the overlap."""
         most = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
         return like_enough(most, na, nb, percent)
 
-    least = columns.groupBy("s", "k").agg(F.min("c").alias("a"), F.count("*").alias("of")).where(F.col("of") > 1).select("s", "k", "a")
-    stars = columns.join(least, ["s", "k"]).where(F.col("c") != F.col("a")).select("a", F.col("c").alias("b")).distinct()
-    first = freeze(_verified(named, stars, classes, "doc_id", "text", percent))
+    least = columns.groupBy("s", "k").agg(F.min("c").alias("a"), F.max("c").alias("z")).where(F.col("a") < F.col("z")).select("s", "k", "a")
+    # of the columns' least sets, each set is held against the one that it meets most often
+    met = columns.join(least, ["s", "k"]).where(F.col("c") != F.col("a")).groupBy("a", F.col("c").alias("b")).count()
+    order = Window.partitionBy("b").orderBy(F.col("count").desc(), "a")
+    stars = freeze(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1).select("a", "b"))
+    first = freeze(_verified(named, stars, classes, percent))
     roots = components(first)
     placed = columns.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     mixed = placed.groupBy("s", "k").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where(F.col("r1") != F.col("r2")).select("s", "k")
@@ -185,13 +194,14 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     x, y = open_.select("s", "k", *[F.col(c).alias(f"{c}1") for c in ("c", "n", "pos", "root")]), open_.select("s", "k", *[F.col(c).alias(f"{c}2") for c in ("c", "n", "pos", "root")])
     cross = x.join(y, ["s", "k"]).where((F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & bound(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
     cross = cross.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = freeze(_verified(named, cross, classes, "doc_id", "text", percent))
+    second = freeze(_verified(named, cross, classes, percent))
     roots = roots if second.isEmpty() else components(first.union(second))
     placed = classes.select("c", "rep").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named_roots = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = placed.join(named_roots, "root").select("c", "component_id")
-    linked = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "c").join(final, "c", "left")
-    return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    linked = sets.select("doc_id", F.col("n").alias("n_shingles"), "c").join(final, "c", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
