@@ -7,8 +7,6 @@ White space counts as one blank. Chunks are told apart by a 128-bit digest; one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -16,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import freeze, null_safe_text, small_batches
+from .common import freeze, map_texts, small_batches
 
 #: Random 32-bit values of the bytes, from a seed.
 GEAR = np.random.default_rng(17).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -62,35 +60,31 @@ def canonical(data: bytes) -> tuple[bytes, np.ndarray]:
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, t (hash of the text), k (number of the chunk), start, end (code points), size (bytes), hi and lo (digest) of all chunks."""
-    small_batches(docs.sparkSession)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = []
-            for i, text in zip(b["doc_id"], b["t"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                if not data:
-                    continue
-                plain, place = canonical(data)
-                ends = boundaries(plain)
-                starts = np.concatenate([[0], ends[:-1]])
-                size = ends - starts
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(plain[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=">i8").reshape(-1, 2)
-                starts, ends = place[starts], place[ends - 1] + 1
-                if len(data) == len(text):
-                    low, high = starts, ends
-                else:  # bytes that begin a character
-                    points = np.concatenate([[0], np.cumsum(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80)])
-                    low, high = points[starts], points[ends]
-                parts.append((i, xxhash.xxh3_64_intdigest(data) - (1 << 63), low, high, size, digests))
-            if parts:
-                n = [len(p[2]) for p in parts]
-                join = lambda k: np.concatenate([p[k] for p in parts]).astype(np.int64)
-                digests = join(5)
-                yield pd.DataFrame({"doc_id": np.repeat([p[0] for p in parts], n), "t": np.repeat([p[1] for p in parts], n), "k": np.concatenate([np.arange(x) for x in n]).astype(np.int32), "start": join(2), "end": join(3), "size": join(4), "hi": digests[:, 0], "lo": digests[:, 1]})
-
-    named = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), null_safe_text(text).alias("t"))
-    return named.mapInPandas(each, "doc_id long, t long, k int, start long, end long, size long, hi long, lo long")
+    def make(texts: list[str | None]) -> tuple:
+        rows, parts = [], []
+        for i, text in enumerate(texts):
+            data = text.encode("utf-8", "surrogatepass") if text else b""
+            if not data:
+                continue
+            plain, place = canonical(data)
+            ends = boundaries(plain)
+            starts = np.concatenate([[0], ends[:-1]])
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(plain[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=">i8").reshape(-1, 2)
+            size = ends - starts
+            low, high = place[starts], place[ends - 1] + 1
+            if len(data) != len(text):  # bytes that begin a character
+                points = np.concatenate([[0], np.cumsum(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80)])
+                low, high = points[low], points[high]
+            n = len(ends)
+            rows.append(np.full(n, i))
+            parts.append((np.full(n, xxhash.xxh3_64_intdigest(data) - (1 << 63)), np.arange(n), low, high, size, digests[:, 0], digests[:, 1]))
+        if not rows:
+            return [], [[]] * 7
+        return np.concatenate(rows), [np.concatenate(c).astype(np.int32 if k == 1 else np.int64) for k, c in enumerate(zip(*parts, strict=True))]
+
+    named = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_texts(named, ["doc_id"], "text", "t long, k int, start long, end long, size long, hi long, lo long", make)
 
 
 def repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:

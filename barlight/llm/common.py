@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +69,33 @@ def numbered(df: DataFrame, group: list[str], order: list, salt: Column, rows: i
     for i, c in enumerate(group):
         on &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
     return ranked.join(first, on).withColumn(name, (F.col("_first") + F.col("_rn") - 1).cast("long")).drop("_b", "_gb", "_first", "_rn", *[f"_g{i}" for i in range(len(group))])
+
+
+#: Types of the columns that a task makes, by their names in Spark.
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, made: str, make: Callable[[list[str | None]], tuple]) -> DataFrame:
+    """Columns in ``keep``, untouched, with those in ``made`` ("name type, ...") that ``make`` gives for a batch of texts.
+
+    ``make`` gives the row of the batch that each of its rows belongs to (None: one for each), and the columns. What is kept never
+    leaves Arrow, so that large numbers beside nulls stay what they are.
+    """
+    small_batches(df.sparkSession)
+    fields = [f.split() for f in made.split(", ")]
+    kept = [f"k{i}" for i in range(len(keep))]
+    types = [df.schema[c].dataType.simpleString() for c in keep]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, columns = make(b.column(len(keep)).to_pylist())
+            old = [b.column(i) for i in range(len(keep))]
+            if at is not None:
+                rows = pa.array(at, type=pa.int32())
+                old = [c.take(rows) for c in old]
+            new = [c if isinstance(c, pa.Array) else pa.array(c, type=ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*old, *new], names=[*kept, *(n for n, _ in fields)])
+
+    source = df.select(*[F.col(c).alias(n) for c, n in zip(keep, kept, strict=True)], F.col(text).cast("string").alias("_text"))
+    out = source.mapInArrow(each, ", ".join([*(f"{n} {t}" for n, t in zip(kept, types, strict=True)), *(f"{n} {t}" for n, t in fields)]))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, kept, strict=True)], *[n for n, _ in fields])

@@ -19,11 +19,10 @@ from functools import lru_cache
 from math import log
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_texts
 
 # What is not a tag is text: also a lone "<". Quoted values end at "<" at the latest, which keeps the scan linear.
 TAG = re.compile(r"""<!--|<(/?)([A-Za-z][^\s>/]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|<(/?)([A-Za-z][^\s>/]*)([^>]*)>|<[!?][^>]*>""")
@@ -47,9 +46,15 @@ class Block:
     linked: float
 
 
-def parse(page: str) -> list[str | Block]:
-    """Tags (as features) and blocks of text in page order."""
-    out: list[str | Block] = []
+@dataclass
+class Tag:
+    name: str
+    around: frozenset[str]
+
+
+def parse(page: str) -> list[Tag | Block]:
+    """Tags and blocks of text in page order, with the features of the elements around them."""
+    out: list[Tag | Block] = []
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
     words: list[tuple[str, bool]] = []
     at, n = 0, len(page)
@@ -88,7 +93,7 @@ def parse(page: str) -> list[str | Block]:
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            out.append(f"/{name}")
+            out.append(Tag(f"/{name}", stack[-1][1] - {"a"}))
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(page, at)
@@ -124,7 +129,7 @@ def parse(page: str) -> list[str | Block]:
         if attributes.endswith("/") and name not in ("p", "div", "a", "span"):
             continue
         stack.append((name, inside | own if own else inside))
-        out.append(" ".join(sorted(own - {"a"})) or name)
+        out.append(Tag(" ".join(sorted(own - {"a"})) or name, inside - {"a"}))
     flush()
     return out
 
@@ -181,7 +186,7 @@ def labelled_pages(n: int, seed: int) -> Iterator[list[tuple[str, frozenset[str]
         items = parse(f"<html><head><title>x</title></head><body>{pick((page, f'<div class={chr(34)}{pick(('page', 'wrapper', 'container', 'site'))}{chr(34)}>{page}</div>'))}</body></html>")
         kinds = [x.text.split()[0] == mark[True] if isinstance(x, Block) else None for x in items]
         inside = [i for i, k in enumerate(kinds) if k]
-        yield [(x if isinstance(x, str) else "", frozenset() if isinstance(x, str) else x.around, 0.0 if isinstance(x, str) else x.linked, 0 if isinstance(x, str) else len(x.text.split()), bool(kinds[i]) if kinds[i] is not None else inside[0] - 1 <= i <= inside[-1] + 1) for i, x in enumerate(items)]
+        yield [(x.name if isinstance(x, Tag) else "", x.around, 0.0 if isinstance(x, Tag) else x.linked, 0 if isinstance(x, Tag) else len(x.text.split()), bool(kinds[i]) if kinds[i] is not None else inside[0] - 1 <= i <= inside[-1] + 1) for i, x in enumerate(items)]
 
 
 @dataclass
@@ -192,12 +197,16 @@ class Weights:
     tags: dict[str, float]
     other_tag: float
 
+    def place(self, around: frozenset[str]) -> float:
+        """Log odds that what has these surroundings is of the article."""
+        return self.bias + sum(self.words.get(f, 0.0) for f in around)
+
     def block(self, b: Block) -> float:
-        """Log odds that a block with these surroundings is of the article."""
-        return self.bias + self.linked * (b.linked > 0.5) + sum(self.words.get(f, 0.0) for f in b.around)
+        return self.place(b.around) + self.linked * (b.linked > 0.5)
 
-    def tag(self, name: str) -> float:
-        return self.tags.get(name, self.other_tag)
+    def tag(self, t: Tag) -> float:
+        """A menu or an advert counts once, by its own tags: what is inside it scores nothing."""
+        return self.tags.get(t.name, self.other_tag) if self.place(t.around) > 0 else 0.0
 
 
 @lru_cache(maxsize=4)
@@ -240,7 +249,7 @@ def extract(page: str | None, weights: Weights) -> str:
             odds = weights.block(x)
             if odds > 0:
                 kept.append((i, x.text))
-                total += min(odds, 3.0) / 3.0 * len(x.text.split())
+                total += min(odds, 3.0) * len(x.text.split())
         else:
             total += weights.tag(x)
         if total <= 0:
@@ -256,14 +265,10 @@ def main_text(pages: DataFrame, key: str = "page_id", markup: str = "html") -> D
     A null or empty page has an empty text. Pages that end in mid-tag, in mid-comment or in mid-script are read as far as they go. Repeated rows are
     treated alike. An empty table gives no rows. Further columns are ignored.
     """
-    small_batches(pages.sparkSession, 500)
     weights = learn()
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, "url")}
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [extract(h, weights) for h in b["_html"]]
-            yield pd.DataFrame({key: b[key], "url": b["url"], "text": text, "n_chars": pd.array([len(t) for t in text], "int64")})
+    def make(texts: list[str | None]) -> tuple:
+        out = [extract(t, weights) for t in texts]
+        return None, [out, list(map(len, out))]
 
-    source = pages.select(key, "url", F.col(markup).cast("string").alias("_html"))
-    return source.mapInPandas(each, f"{key} {kinds[key]}, url {kinds['url']}, text string, n_chars long")
+    return map_texts(pages, [key, "url"], markup, "_main string, n_chars long", make).select(key, "url", F.col("_main").alias("text"), "n_chars")

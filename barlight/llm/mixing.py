@@ -94,7 +94,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     after = after.groupBy("source", "h", "gap").agg(F.sum("size").alias("size")).groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct("h", F.col("size").cast("double").alias("size")))).alias("next"))
     empty = F.struct(F.col("gap").alias("gap"), F.array().cast("array<bigint>").alias("hs"))
     fill = lambda a, x: F.when((x["size"] > 0) & (x["size"] <= a["gap"]), F.struct((a["gap"] - x["size"]).alias("gap"), F.concat(a["hs"], F.array(x["h"])).alias("hs"))).otherwise(a)
-    filled = after.select(F.col("source").alias("s3"), F.aggregate("next", empty, fill, lambda a: a["hs"]).alias("fillers"))
+    filled = after.withColumn("a", F.aggregate("next", empty, fill))
+    # one document too much where that is nearer than none
+    unused = F.filter("next", lambda x: (x["size"] > 0) & ~F.array_contains(F.col("a.hs"), x["h"]))
+    least = F.array_min(F.transform(unused, lambda x: F.struct(x["size"].alias("size"), x["h"].alias("h"))))
+    filled = filled.withColumn("over", least)
+    near = F.coalesce(F.col("over.size") < 2 * F.col("a.gap"), F.lit(False))
+    filled = filled.select(F.col("source").alias("s3"), F.when(near, F.concat("a.hs", F.array("over.h"))).otherwise(F.col("a.hs")).alias("fillers"))
     bounds = ends.join(filled, F.col("s").eqNullSafe(F.col("s3")), "left")
     # no edge: the fraction is nothing, or all of the source
     open_end = F.when(F.col("need") > 0, F.lit(1 << 60)).otherwise(F.lit(-1))

@@ -14,11 +14,10 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeze, null_safe_text, numbered, small_batches
+from .common import freeze, map_texts, numbered
 
 CAPACITY = 4096
 #: The id that ends a document.
@@ -96,22 +95,18 @@ def default_vocabulary() -> str:
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the pieces of all documents. Only documents over ``capacity`` are cut."""
-    small_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> tuple:
         enc = encoder(vocabulary or default_vocabulary())
-        for b in batches:
-            at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(enc.encode(b["t"].tolist())):
-                ids += END
-                for k, low in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[low : low + 4 * capacity]
-                    at.append(i), piece.append(k), start.append(low // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[at], "piece": pd.array(piece, "int32"), "start": pd.array(start, "int64"), "length": pd.array(length, "int64"), "ids_crc32": pd.array(crc, "int64")})
-
-    source = docs.select(F.col(key).alias("doc_id"), null_safe_text(text).alias("t"))
-    return source.mapInPandas(each, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+        at, piece, start, length, crc = [], [], [], [], []
+        for i, ids in enumerate(enc.encode([t or "" for t in texts])):
+            ids += END
+            for k, low in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[low : low + 4 * capacity]
+                at.append(i), piece.append(k), start.append(low // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+        return at, [piece, start, length, crc]
+
+    return map_texts(docs, [key], text, "piece int, start long, length long, ids_crc32 long", make).withColumnRenamed(key, "doc_id")
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:

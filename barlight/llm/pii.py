@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_texts, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -326,21 +326,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Spans are kind:start:end in code points, end exclusive. A null text counts as empty; an empty text has no spans. Repeated
     rows are scanned alike. An empty table gives no rows. Further columns are ignored.
     """
-    small_batches(docs.sparkSession)
     weights = train()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b["_text"]:
-                base, spans = find(t, weights)
-                kinds = [k for k, _, _ in base]
-                rows.append((*map(kinds.count, KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]).assign(doc_id=b["doc_id"].to_numpy())
-
-    kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text"))
-    return source.mapInPandas(each, f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, doc_id {kind}").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    def make(texts: list[str | None]) -> tuple:
+        rows = []
+        for t in texts:
+            base, spans = find(t, weights)
+            kinds = [k for k, _, _ in base]
+            rows.append((*map(kinds.count, KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+        return None, list(zip(*rows, strict=True)) or [[]] * 6
+
+    out = map_texts(docs, [key], text, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", make)
+    return out.withColumnRenamed(key, "doc_id")
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -8,7 +8,6 @@ thresholds on the anomaly scores are calibrated on labelled documents that the f
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_texts, small_batches
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -157,19 +156,11 @@ def calibrate(stats: np.ndarray, good: np.ndarray, contamination: float = 0.02,
 
 def rule_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep`` and STATS for every row."""
-    small_batches(docs.sparkSession)
-    fields = [docs.schema[c] for c in keep]
-    names = [f"k{i}" for i in range(len(keep))]
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = pd.DataFrame([stats_of(t) for t in b["_text"]], columns=list(STATS), dtype="int64")
-            yield pd.concat([b[names].reset_index(drop=True), rows], axis=1)
-
-    source = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").cast("string").alias("_text"))
-    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=True)), *(f"{s} long" for s in STATS)])
-    out = source.mapInPandas(each, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *STATS)
+
+    def make(texts: list[str | None]) -> tuple:
+        return None, list(zip(*map(stats_of, texts), strict=True)) or [[]] * len(STATS)
+
+    return map_texts(docs, list(keep), "text", ", ".join(f"{s} long" for s in STATS), make)
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Verdict | None:
