@@ -54,5 +54,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_html, op4_packing, op5_mixing, op6_sharding, op7_ngram_join, op8_quality, op9_substrings, op10_licenses)}
 
 
+#: Links and their components by all pairs that share a shingle, without prefixes, hashes or bounds.
+NGRAM_JOIN_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS s FROM w),
+cells AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM cells a JOIN cells b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM sets UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.doc_id = e.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id
+FROM sets s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL says the join; the other operators hash, learn or tokenize, and tests hold them against brute force."""
+    return {"op7_ngram_join": NGRAM_JOIN_SQL}
