@@ -13,6 +13,9 @@ from ..operators import bars, evaluate, forward_check, ingest, medallion, qualit
 from ..operators.asof import asof_backward
 from ..operators.registry import compute_factor, compute_factors, pandas_factor
 from ..operators.schemas import SILVER_COLUMNS
+from ..sources import files, replay
+from ..sources.layout import Lake
+from ..streaming import bars as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 SERIES_TIME = {"keys": ("symbol",), "time": "open_time"}
@@ -410,6 +413,90 @@ def forward_check_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forward_check.prefix_mismatches(lambda df: compute_factor("vol_reversion", df, None, **SERIES_TIME), hourly, cuts, "open_time", ("symbol",))
 
 
+# ---- layers, files and streams
+
+
+def _temporary(spark: SparkSession) -> str:
+    """A folder that driver and executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barlight-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_SILVER_SQL = _with(_H) + "SELECT open_time AS open_time_utc, close_time AS close_time_utc, open, high, low, close, volume, quote_volume, taker_buy_volume, taker_buy_quote_volume, num_trades, upper(symbol) AS symbol, \"interval\" FROM h"
+
+
+@query(_SILVER_SQL)
+def medallion_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze written, read, checked, cleaned, written as Silver and read again."""
+    root = _temporary(spark)
+    files.write_bronze_klines(_bronze(spark, sf_dir), f"{root}/bronze")
+    return _naive(files.build_silver(spark, f"{root}/bronze", f"{root}/silver", ("symbol", "interval")).select(*SILVER_COLUMNS), "open_time_utc", "close_time_utc")
+
+
+@query("SELECT * FROM (VALUES ('momentum'), ('sma_dev')) t(factor_name)")
+def gold_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake, silver = Lake(_temporary(spark)), bars.as_silver(bars.hourly_bars(spark, sf_dir))
+    for name in ("sma_dev", "momentum"):
+        files.write_gold_factor(compute_factor(name, silver), lake, factor_name=name, exchange="replay")
+    return spark.createDataFrame([(n,) for n in files.list_gold_factors(spark, lake)], "factor_name string")
+
+
+@query(_FACTOR_SQL["momentum"][2])
+def gold_factor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake, silver = Lake(_temporary(spark)), bars.as_silver(bars.hourly_bars(spark, sf_dir))
+    files.write_gold_factor(compute_factor("momentum", silver), lake, factor_name="momentum", exchange="replay")
+    out = files.read_gold_factor(spark, lake, factor_name="momentum")
+    return rounded(_naive(out.select("symbol", F.col("open_time_utc").alias("open_time"), "value"), "open_time"), "value")
+
+
+@query(_with(_D) + "SELECT symbol, open_time, close, num_trades FROM d")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _temporary(spark)
+    files.write_csv(bars.daily_bars(spark, sf_dir).select("symbol", "open_time", "close", "num_trades"), path)
+    return files.read_csv(spark, path, "symbol string, open_time timestamp_ntz, close double, num_trades bigint")
+
+
+@query(_with(_H) + "SELECT symbol, open_time, open, high, low, close, volume, num_trades FROM h")
+def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly candles by a stream over the table, in complete mode."""
+    path = f"{sf_dir}/events.parquet"
+    # a stream reads folders: of a table that is one file, the folder with this file's name alone
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque*")
+    name = "stream_" + _temporary(spark)[-32:]
+    streaming.run_available(streaming.stream_bars(source, "1 hour", "ts", "value", "value", "event_type"), name, f"{_temporary(spark)}/checkpoint")
+    return _naive(spark.table(name), "open_time")
+
+
+@query("""SELECT rule, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'time with zone' WHEN value <= 0 OR event_id % 7 = 0 THEN 'price over 0'
+ WHEN event_id % 5 = 0 THEN 'side is buy or sell' ELSE 'none' END AS rule FROM events) GROUP BY rule""")
+def trade_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades as JSON messages, some of them spoilt: how many break which rule first."""
+    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    at = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.when(k % 11 == 0, "").otherwise("Z"))
+    message = F.struct(at.alias("timestamp"), F.when(k % 7 == 0, -1.0).otherwise(F.col("value")).cast("string").alias("price"), F.lit("1").alias("quantity"), F.when(k % 5 == 0, "hold").otherwise("buy").alias("side"), F.lit("BTC").alias("symbol"))
+    rows = ingest.parse_trades(e.select(F.to_json(message).alias("value")))
+    return rows.groupBy(F.coalesce("broken", F.lit("none")).alias("rule")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, round(value - 500, 4) AS funding_rate, make_timestamp(epoch_us(ts) // 1000 * 1000) AS at FROM events WHERE event_id % 13 <> 0")
+def funding_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funding messages with an offset of eight hours, and some without any, which are left out."""
+    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    ahead = F.date_format(F.col("ts").cast("timestamp") + F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    message = F.struct(F.concat(ahead, F.when(k % 13 == 0, "").otherwise("+08:00")).alias("timestamp"), F.round(F.col("value") - 500, 4).cast("string").alias("funding_rate"), k.cast("string").alias("symbol"))
+    rows = ingest.parse_funding(e.select(F.to_json(message).alias("value"))).where(F.col("broken").isNull())
+    return rows.select(F.col("symbol").cast("long").alias("event_id"), "funding_rate", F.col("timestamp").cast("timestamp_ntz").alias("at"))
+
+
+@query(_with(_D) + "SELECT symbol, open_time, close FROM d QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time) <= 3")
+def earliest_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit of rows for each symbol, as fetches have it."""
+    return replay.earliest(bars.daily_bars(spark, sf_dir), "open_time", 3).select("symbol", "open_time", "close")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
