@@ -12,8 +12,6 @@ different components are all tested, so no component is split.
 
 from __future__ import annotations
 
-from math import log
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,9 +27,11 @@ PERCENT = 80
 #: They bear on speed alone. Their set is kept as bits of their hash, and no more than MOST_COMMON are marked.
 SAMPLE, COMMON, MOST_COMMON, COMMON_BITS = 16, 4, 200_000, 22
 #: 64-bit words of a set's bit map.
-WORDS = 8
+WORDS = 32
 #: So many ids (8 bytes each) are sent to every executor to pick texts by them.
 BROADCAST_IDS = 2_000_000
+#: The sets of the pairs' first documents are sent to every executor up to so many shingles (8 bytes each) in all.
+BROADCAST_SHINGLES = 6_000_000
 
 
 class Hashes(dict):
@@ -70,20 +70,20 @@ def class_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def bit_map(hashes: np.ndarray) -> list[int]:
+def bit_map(hashes: np.ndarray) -> np.ndarray:
     """Parities of the elements in 64 * WORDS cells: two sets differ in at least as many elements as their maps in bits."""
     cells = np.bincount((hashes & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8").tolist()
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
-    """c and s, the number and the shingles of each document's set."""
+    """c and s, the number and the shingles of the documents' sets; of copies in one batch once."""
 
     def make(texts: list[str | None]) -> tuple:
         sets = {class_of(h): h for t in texts if len(h := shingle_hashes(t))}
         return [0] * len(sets), [list(sets), _lists(list(sets.values()))]
 
-    return map_texts(docs, [], "text", "c long, s array<long>", make).groupBy("c").agg(F.first("s").alias("s"))
+    return map_texts(docs, [], "text", "c long, s array<long>", make)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -95,6 +95,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """A bit for each value of a shingle's leading COMMON_BITS bits: whether a common shingle has it."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    # a copy in another batch makes a shingle a little more common: it bears on the order alone
     once = _full_sets(sample).select(F.explode("s").alias("s")).groupBy("s").count()
     top = once.where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "s").limit(MOST_COMMON).toPandas()["s"].to_numpy(dtype=np.int64)
     bits = np.zeros(1 << COMMON_BITS, dtype=bool)
@@ -130,16 +131,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of pairs of classes a < b those that are alike enough, by exact counts of their shared shingles."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"m{k}").alias(f"{x}{k}") for k in range(WORDS)])
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"))
+    apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = F.least((F.col("na") + F.col("nb") - apart) / 2, F.col("na"), F.col("nb"))
-    left = freeze(pairs.join(side("a"), "a").join(side("b"), "b").where(like_enough(most, F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb"))
+    near = like_enough(F.least("na", "nb"), F.col("na"), F.col("nb"), percent)
+    left = pairs.join(side("a"), "a").join(side("b"), "b").where(near & like_enough(most, F.col("na"), F.col("nb"), percent))
+    left = freeze(left.select("a", "b", "na", "nb").distinct())
     ids = freeze(left.select(F.col("a").alias("c")).union(left.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "rep"), "c").select(F.col("rep").alias("doc_id")).distinct())
     # few ids go to the texts; many meet them in a shuffle
     few = ids.count() <= BROADCAST_IDS
     sets = _full_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
-    both = left.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    return both.where(like_enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    firsts = left.groupBy("a").agg(F.max("na").alias("na"))
+    light = firsts.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0] <= BROADCAST_SHINGLES
+    first = sets.join(F.broadcast(firsts.select(F.col("a").alias("c"))), "c", "left_semi") if light else sets
+    # a document's id may stand in several rows, and its set then meets a pair more than once
+    first = first.select(F.col("c").alias("a"), F.col("s").alias("sa"))
+    second = left.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    both = second.join(F.broadcast(first) if light else first, "a")
+    return both.where(like_enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
 
 def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,48 +164,46 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     common = common_shingles(named)
 
     def make(texts: list[str | None]) -> tuple:
-        late, seen, rows, prefixes = np.unpackbits(common).astype(bool), set(), [], []
+        late, seen, rows, maps, prefixes = np.unpackbits(common).astype(bool), set(), [], [], []
         for t in texts:
             h = shingle_hashes(t)
             c = class_of(h) if len(h) else 0
             # copies in one batch give their prefix once
             prefixes.append(prefix_of(h, late, percent) if len(h) and c not in seen else h[:0])
             seen.add(c)
-            rows.append((len(h), c, *bit_map(h)))
-        return None, [*zip(*rows, strict=True), _lists(prefixes)] if rows else [[]] * (3 + WORDS)
+            rows.append((len(h), c))
+            maps.append(bit_map(h))
+        return None, [*(zip(*rows, strict=True) if rows else ([], [])), _lists(maps), _lists(prefixes)]
 
-    maps = [f"m{k}" for k in range(WORDS)]
-    sets = freeze(map_texts(docs, ["doc_id"], "text", ", ".join(["n long", "c long", *(f"{m} long" for m in maps), "p array<long>"]), make))
+    sets = freeze(map_texts(docs, ["doc_id"], "text", "n long, c long, m array<long>, p array<long>", make))
     full = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = full.groupBy("c").agg(F.min("doc_id").alias("rep"), *[F.min(x).alias(x) for x in ("n", *maps)])
+    reps = full.groupBy("c").agg(F.min("doc_id").alias("rep"))
+    classes = full.join(reps.select("c", F.col("rep").alias("doc_id")), ["c", "doc_id"]).select("c", F.col("doc_id").alias("rep"), "n", "m")
     cells = full.select("c", F.col("n").cast("int").alias("n"), F.posexplode("p").alias("pos", "s"))
     shared = cells.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where(F.col("c1") < F.col("c2")).select("s")
-    # sets that can be alike lie in the same or in neighbouring size classes; each cell goes to its own and the next
-    size = F.floor(F.log(F.col("n").cast("double")) / log(100 / percent)).cast("int")
-    kept = freeze(cells.join(shared, "s").dropDuplicates(["s", "c"]))
-    columns = kept.withColumn("k", F.explode(F.array(size, size + 1)))
+    columns = freeze(cells.join(shared, "s").dropDuplicates(["s", "c"]))
 
     def bound(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
         """Sizes and the positions of a shared shingle leave room for the overlap."""
         most = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
         return like_enough(most, na, nb, percent)
 
-    least = columns.groupBy("s", "k").agg(F.min("c").alias("a"), F.max("c").alias("z")).where(F.col("a") < F.col("z")).select("s", "k", "a")
+    least = columns.groupBy("s").agg(F.min("c").alias("a"))
     # of the columns' least sets, each set is held against the one that it meets most often
-    met = columns.join(least, ["s", "k"]).where(F.col("c") != F.col("a")).groupBy("a", F.col("c").alias("b")).count()
+    met = columns.join(least, "s").where(F.col("c") != F.col("a")).groupBy("a", F.col("c").alias("b")).count()
     order = Window.partitionBy("b").orderBy(F.col("count").desc(), "a")
     stars = freeze(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1).select("a", "b"))
     first = freeze(_verified(named, stars, classes, percent))
     roots = components(first)
     placed = columns.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    mixed = placed.groupBy("s", "k").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where(F.col("r1") != F.col("r2")).select("s", "k")
-    open_ = freeze(placed.join(mixed, ["s", "k"], "left_semi"))
-    x, y = open_.select("s", "k", *[F.col(c).alias(f"{c}1") for c in ("c", "n", "pos", "root")]), open_.select("s", "k", *[F.col(c).alias(f"{c}2") for c in ("c", "n", "pos", "root")])
-    cross = x.join(y, ["s", "k"]).where((F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & bound(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
+    mixed = placed.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where(F.col("r1") != F.col("r2")).select("s")
+    open_ = freeze(placed.join(mixed, "s", "left_semi"))
+    x, y = open_.select("s", *[F.col(c).alias(f"{c}1") for c in ("c", "n", "pos", "root")]), open_.select("s", *[F.col(c).alias(f"{c}2") for c in ("c", "n", "pos", "root")])
+    cross = x.join(y, "s").where((F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & bound(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
     cross = cross.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     second = freeze(_verified(named, cross, classes, percent))
     roots = roots if second.isEmpty() else components(first.union(second))
-    placed = classes.select("c", "rep").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    placed = reps.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named_roots = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = placed.join(named_roots, "root").select("c", "component_id")
     linked = sets.select("doc_id", F.col("n").alias("n_shingles"), "c").join(final, "c", "left")

@@ -422,7 +422,7 @@ def test_bit_maps_bound_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(100):
         a, b = (np.unique(rng.integers(0, 300, rng.integers(1, 90)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
-        apart = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(ngram_join.bit_map(a), ngram_join.bit_map(b), strict=True))
+        apart = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(ngram_join.bit_map(a).tolist(), ngram_join.bit_map(b).tolist(), strict=True))
         assert apart <= len(np.setxor1d(a, b))
 
 
