@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 FILLERS = 64
 #: A source is dealt out to so many parts where its documents meet its bounds.
 SALTS = 64
+#: Bounds of so many sources, of about 1 KB each, are sent to every executor.
+BROADCAST_SOURCES = 10_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
@@ -70,12 +72,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
         inside = sums.withColumn("before", before).where((F.col("before") <= F.col("need")) & (F.col("need") < F.col("before") + F.col("size")))
         return inside.select(F.col("source").alias("s"), F.col(cell).alias("e"), (F.col("need") - F.col("before")).alias("need"))
 
-    def spread(df: DataFrame) -> DataFrame:
-        return df.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
+    few = goal.count() <= BROADCAST_SOURCES
 
-    def salted(bounds: DataFrame) -> DataFrame:
-        """A row for each source and salt, so that the documents of a hot source meet it in many tasks."""
-        return bounds.withColumn("bs", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    def meet(docs: DataFrame, bounds: DataFrame) -> DataFrame:
+        """Documents with the row of their source: sent to all if these are few, else with a salt, so that a hot source is met in many tasks."""
+        if few:
+            return docs.join(F.broadcast(bounds), same)
+        salts = bounds.withColumn("bs", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        return docs.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salts, same & (F.col("salt") == F.col("bs")))
 
     first = edge(rows.groupBy("source", "c1").agg(F.sum("size").alias("size")).join(goal.select("s", "need"), same).drop("s"), "c1")
     part = rows.join(first, same & (F.col("c1") == F.col("e"))).drop("s", "e", "c1")
@@ -90,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     # what the cut leaves open is filled with the next documents in the order that still fit, of about FILLERS
     span = F.ceil(F.lit(FILLERS * 2.0**60) / F.col("n")).cast("long")
     ends = freeze(goal.join(cut, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2").withColumn("end", F.col("cut") + F.least(span, F.lit(1 << 60))))
-    after = spread(rows).join(salted(ends.select("s", "cut", "end", "gap")), same & (F.col("salt") == F.col("bs")) & (F.col("h") > F.col("cut")) & (F.col("h") <= F.col("end")))
+    after = meet(rows, ends.select("s", "cut", "end", "gap")).where((F.col("h") > F.col("cut")) & (F.col("h") <= F.col("end")))
     after = after.groupBy("source", "h", "gap").agg(F.sum("size").alias("size")).groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct("h", F.col("size").cast("double").alias("size")))).alias("next"))
     empty = F.struct(F.col("gap").alias("gap"), F.array().cast("array<bigint>").alias("hs"))
     fill = lambda a, x: F.when((x["size"] > 0) & (x["size"] <= a["gap"]), F.struct((a["gap"] - x["size"]).alias("gap"), F.concat(a["hs"], F.array(x["h"])).alias("hs"))).otherwise(a)
@@ -106,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     open_end = F.when(F.col("need") > 0, F.lit(1 << 60)).otherwise(F.lit(-1))
     bounds = bounds.select("s", "source_size", "target", F.col("passes").alias("base"), F.when(F.col("need") <= 0, F.lit(-1)).otherwise(F.coalesce("cut", open_end)).cast("long").alias("cut"), F.when(F.col("need") > 0, F.col("fillers")).alias("fillers"))
     extra = ((F.col("h") <= F.col("cut")) | F.coalesce(F.array_contains("fillers", F.col("h")), F.lit(False))).cast("long")
-    return spread(full if keep else rows).join(salted(bounds), same & (F.col("salt") == F.col("bs"))).withColumn("passes", F.least(F.col("base") + extra, F.lit(max_epochs).cast("long"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", *[c for c in keep if c != "doc_id"])
+    return meet(full if keep else rows, bounds).withColumn("passes", F.least(F.col("base") + extra, F.lit(max_epochs).cast("long"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", *[c for c in keep if c != "doc_id"])
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 17) -> DataFrame:

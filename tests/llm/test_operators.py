@@ -279,7 +279,9 @@ def test_water_filling_against_repeated_clamping(spark):
         assert got == pytest.approx(water(sizes, weights, 3))
 
 
-def test_mixing(documents, odd):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_mixing(documents, odd, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
     docs = documents(odd)
     out = frame(mixing.mix(docs, keep=("source", "text")))
     assert len(out) == len(odd)
