@@ -2,7 +2,7 @@
 
 Rows of the incidence are documents with the same set of shingles taken as one; columns are shingles, blocks of columns are
 Spark's partitions by shingle. The product is taken over prefixes: with all shingles in one order, documents whose sets are
-alike enough share one of their first few. Pairs below the bounds that sizes, positions and bit maps of the sets set to their
+alike enough share one of their first few. Pairs below the bounds that sizes, counts and bit maps of the sets set to their
 overlap are discarded; what is left is counted exactly.
 
 Only components of links are asked for, so not all pairs of a group are formed: each column links its documents to its
@@ -179,28 +179,42 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     full = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = full.groupBy("c").agg(F.min("doc_id").alias("rep"))
     classes = full.join(reps.select("c", F.col("rep").alias("doc_id")), ["c", "doc_id"]).select("c", F.col("doc_id").alias("rep"), "n", "m")
-    cells = full.select("c", F.col("n").cast("int").alias("n"), F.posexplode("p").alias("pos", "s"))
+    cells = full.select("c", F.col("n").cast("int").alias("n"), F.explode("p").alias("s"))
     shared = cells.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where(F.col("c1") < F.col("c2")).select("s")
-    columns = freeze(cells.join(shared, "s").dropDuplicates(["s", "c"]))
-
-    def bound(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
-        """Sizes and the positions of a shared shingle leave room for the overlap."""
-        most = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
-        return like_enough(most, na, nb, percent)
-
-    least = columns.groupBy("s").agg(F.min("c").alias("a"))
-    # of the columns' least sets, each set is held against the one that it meets most often
-    met = columns.join(least, "s").where(F.col("c") != F.col("a")).groupBy("a", F.col("c").alias("b")).count()
-    order = Window.partitionBy("b").orderBy(F.col("count").desc(), "a")
+    met = cells.join(shared, "s").dropDuplicates(["s", "c"])
+    met = met.withColumn("has", F.count("*").over(Window.partitionBy("c")).cast("int"))
+    columns = freeze(met)
+
+    def room(shared: Column, na: Column, nb: Column) -> Column:
+        """Whether sets can be alike enough that share so many of their first shingles: in the order, what else they share
+        comes after the first shingles of the one whose first shingles end sooner.
+        """
+        rest = lambda n: F.floor((n * percent + 99) / 100) - 1
+        return like_enough(F.least(shared + F.greatest(rest(na), rest(nb)), na, nb), na, nb, percent)
+
+    def product(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+        """Pairs a, b of sets with the count of first shingles that they share, but for those that sizes and counts rule out.
+
+        No more can be shared than either has in common with any set at all, which rules most pairs out before they are formed.
+        """
+        x = left.select("s", *[F.col(c).alias(f"{c}1") for c in left.columns if c != "s"])
+        y = right.select("s", *[F.col(c).alias(f"{c}2") for c in right.columns if c != "s"])
+        pairs = x.join(y, (x["s"] == y["s"]) & apart & room(F.least("has1", "has2"), F.col("n1"), F.col("n2")))
+        counted = pairs.groupBy(F.col("c1").alias("a"), F.col("c2").alias("b")).agg(F.count("*").alias("o"), F.min("n1").alias("n1"), F.min("n2").alias("n2"))
+        return counted.where(room(F.col("o"), F.col("n1"), F.col("n2"))).select("a", "b", "o")
+
+    # of the columns' least sets, each set is held against the one with which it shares most
+    least = columns.groupBy("s").agg(F.min("c").alias("c"))
+    leaders = columns.join(least, ["s", "c"], "left_semi")
+    met = product(leaders, columns, F.col("c1") != F.col("c2"))
+    order = Window.partitionBy("b").orderBy(F.col("o").desc(), "a")
     stars = freeze(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1).select("a", "b"))
     first = freeze(_verified(named, stars, classes, percent))
     roots = components(first)
     placed = columns.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     mixed = placed.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where(F.col("r1") != F.col("r2")).select("s")
     open_ = freeze(placed.join(mixed, "s", "left_semi"))
-    x, y = open_.select("s", *[F.col(c).alias(f"{c}1") for c in ("c", "n", "pos", "root")]), open_.select("s", *[F.col(c).alias(f"{c}2") for c in ("c", "n", "pos", "root")])
-    cross = x.join(y, "s").where((F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & bound(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
-    cross = cross.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    cross = product(open_, open_, (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2"))).drop("o").join(stars, ["a", "b"], "left_anti")
     second = freeze(_verified(named, cross, classes, percent))
     roots = roots if second.isEmpty() else components(first.union(second))
     placed = reps.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
