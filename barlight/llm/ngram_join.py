@@ -6,12 +6,16 @@ alike enough share one of their first few. Pairs below the bounds that sizes, co
 overlap are discarded; what is left is counted exactly.
 
 Only components of links are asked for, so not all pairs of a group are formed: each column links its documents to its
-least, and what is in one component after that needs no further test. Pairs of documents that share a column and lie in
-different components are all tested, so no component is split.
+least, and what is in one component after that needs no further test. Where crowded columns still hold many components, as
+in large groups of loosely alike copies, a few of their documents, others each turn, are held against the rest until
+turns no longer help. Pairs of documents that share a column and lie in different components are then all tested, so no
+component is split.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +36,11 @@ WORDS = 32
 BROADCAST_IDS = 2_000_000
 #: The sets of the pairs' first documents are sent to every executor up to so many shingles (8 bytes each) in all.
 BROADCAST_SHINGLES = 6_000_000
+#: A column is crowded if its sets have more partners than this in other components, on average. Turns end when all columns
+#: together aren't, or when a turn leaves over three quarters of the pairs.
+CROWD = 16
+#: Sets of a crowded column that are held against the rest in a turn, and partners of a set that are tested in it.
+PIVOTS, TRIES = 4, 8
 
 
 class Hashes(dict):
@@ -192,31 +201,62 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
         rest = lambda n: F.floor((n * percent + 99) / 100) - 1
         return like_enough(F.least(shared + F.greatest(rest(na), rest(nb)), na, nb), na, nb, percent)
 
-    def product(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+    def product(left: DataFrame, right: DataFrame, apart: Column, whole: bool = True) -> DataFrame:
         """Pairs a, b of sets with the count of first shingles that they share, but for those that sizes and counts rule out.
 
         No more can be shared than either has in common with any set at all, which rules most pairs out before they are formed.
+        whole: the counts are of all columns, so that they bear on a pair.
         """
         x = left.select("s", *[F.col(c).alias(f"{c}1") for c in left.columns if c != "s"])
         y = right.select("s", *[F.col(c).alias(f"{c}2") for c in right.columns if c != "s"])
         pairs = x.join(y, (x["s"] == y["s"]) & apart & room(F.least("has1", "has2"), F.col("n1"), F.col("n2")))
         counted = pairs.groupBy(F.col("c1").alias("a"), F.col("c2").alias("b")).agg(F.count("*").alias("o"), F.min("n1").alias("n1"), F.min("n2").alias("n2"))
-        return counted.where(room(F.col("o"), F.col("n1"), F.col("n2"))).select("a", "b", "o")
+        return (counted.where(room(F.col("o"), F.col("n1"), F.col("n2"))) if whole else counted).select("a", "b", "o")
+
+    def opened(roots: DataFrame) -> DataFrame:
+        """The cells of columns whose sets lie in several components."""
+        placed = columns.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        mixed = placed.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where(F.col("r1") != F.col("r2")).select("s")
+        return freeze(placed.join(mixed, "s", "left_semi"))
+
+    def crowds(cells: DataFrame) -> DataFrame:
+        """s, k and pairs: the sets of a column, and the pairs of them that lie in different components."""
+        k = F.count("*").cast("double")
+        sums = cells.groupBy("s", "root").agg(k.alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("q"))
+        return sums.select("s", "k", ((F.col("k") * F.col("k") - F.col("q")) / 2).alias("pairs"))
 
     # of the columns' least sets, each set is held against the one with which it shares most
     least = columns.groupBy("s").agg(F.min("c").alias("c"))
     leaders = columns.join(least, ["s", "c"], "left_semi")
     met = product(leaders, columns, F.col("c1") != F.col("c2"))
     order = Window.partitionBy("b").orderBy(F.col("o").desc(), "a")
-    stars = freeze(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1).select("a", "b"))
-    first = freeze(_verified(named, stars, classes, percent))
-    roots = components(first)
-    placed = columns.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    mixed = placed.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where(F.col("r1") != F.col("r2")).select("s")
-    open_ = freeze(placed.join(mixed, "s", "left_semi"))
-    cross = product(open_, open_, (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2"))).drop("o").join(stars, ["a", "b"], "left_anti")
-    second = freeze(_verified(named, cross, classes, percent))
-    roots = roots if second.isEmpty() else components(first.union(second))
+    tested = freeze(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1).select("a", "b"))
+    links = freeze(_verified(named, tested, classes, percent))
+    roots = components(links)
+    open_, turn, before = opened(roots), 0, math.inf
+    while True:
+        crowd = freeze(crowds(open_))
+        pairs, cells = crowd.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
+        if pairs <= CROWD * cells or pairs > 0.75 * before:
+            break
+        before, turn = pairs, turn + 1
+        dense = open_.join(crowd.where(F.col("pairs") > CROWD * F.col("k")).select("s"), "s", "left_semi")
+        chosen = dense.groupBy("s").agg(*[F.min_by("c", F.xxhash64("c", F.lit(PIVOTS * turn + k))).alias(f"p{k}") for k in range(PIVOTS)])
+        chosen = chosen.select("s", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("c"))
+        some = dense.join(chosen, ["s", "c"], "left_semi")
+        met = product(some, dense, F.col("root1") != F.col("root2"), whole=False)
+        best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRIES)
+        tries = freeze(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        found = freeze(_verified(named, tries, classes, percent))
+        tested = tested.union(tries)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        roots = components(links)
+        open_ = opened(roots)
+    cross = product(open_, open_, (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2"))).drop("o").join(tested, ["a", "b"], "left_anti")
+    last = freeze(_verified(named, cross, classes, percent))
+    roots = roots if last.isEmpty() else components(links.union(last))
     placed = reps.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named_roots = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = placed.join(named_roots, "root").select("c", "component_id")

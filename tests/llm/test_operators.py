@@ -415,6 +415,22 @@ def test_join_with_common_shingles_last(documents, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(documents(rows)).collect()} == want
 
 
+def test_join_in_turns_over_crowded_columns(documents, monkeypatch):
+    """Copies with a few words changed in each, of which some pairs are alike enough and others not."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(60), rng.randrange(1, 3)):
+            words[k] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(words), "a"))
+    monkeypatch.setattr(ngram_join, "CROWD", 0)
+    monkeypatch.setattr(ngram_join, "TRIES", 2)
+    want = linked(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(documents(rows)).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.root for r in ngram_join.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
