@@ -241,7 +241,9 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
             break
         before, turn = pairs, turn + 1
         dense = open_.join(crowd.where(F.col("pairs") > CROWD * F.col("k")).select("s"), "s", "left_semi")
-        chosen = dense.groupBy("s").agg(*[F.min_by("c", F.xxhash64("c", F.lit(PIVOTS * turn + k))).alias(f"p{k}") for k in range(PIVOTS)])
+        # those with the fewest shingles of their own stand in the middle of their group; the others are chosen by hash
+        rank = [F.struct(-F.col("has") if k % 2 == 0 else F.lit(0), F.xxhash64("c", F.lit(PIVOTS * turn + k))) for k in range(PIVOTS)]
+        chosen = dense.groupBy("s").agg(*[F.min_by("c", rank[k]).alias(f"p{k}") for k in range(PIVOTS)])
         chosen = chosen.select("s", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("c"))
         some = dense.join(chosen, ["s", "c"], "left_semi")
         met = product(some, dense, F.col("root1") != F.col("root2"), whole=False)
