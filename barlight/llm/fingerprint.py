@@ -5,7 +5,8 @@ Built from DataFrame functions alone: no Python runs on the executors.
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ BITS = 128
 HALF = 64
 #: A sum holds the votes on bit k in its low and on bit k + 32 in its high half.
 LANES = 0x0000000100000001
+#: Texts whose sets of word 5-shingles have a Jaccard similarity of 0.8 or more lay at most so many bits apart (README), and the
+#: blocks and flips by which they are searched.
+RADIUS, BLOCKS, FLIPS = 22, 8, 2
 
 
 def terms(text: Column) -> Column:
@@ -73,15 +77,16 @@ def fingerprints(rows: DataFrame, by: list[str], text: str, carry: list[str] = (
     return voted.select(*by, *carry, half(0).alias("f0"), half(1).alias("f1"))
 
 
-def near_pairs(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+def near_pairs(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 5, flips: int = 0) -> DataFrame:
     """All pairs of a query and a fingerprint within ``radius`` bits: columns q0, q1, f0, f1, distance.
 
     prints has f0 and f1, queries q0 and q1; give distinct fingerprints, so that copies aren't paired. The 128 bits
-    are cut into blocks; with a radius below their number, at least blocks - radius of them
-    agree, so a table for each choice of that many blocks, looked up by their bits, finds every pair.
+    are cut into blocks, of which at most radius // (flips + 1) differ by more than ``flips`` bits. So there is a table for each
+    choice of as many blocks as are left; prints are looked up in it by the bits of the chosen blocks, queries by these bits with
+    up to ``flips`` of each block turned, which finds every pair. A pair that meets in several tables is given by the first.
     """
-    if not 0 <= radius < blocks:
-        raise ValueError("radius must be less than the number of blocks")
+    if not 0 <= radius < blocks * (flips + 1):
+        raise ValueError("radius must be less than the number of blocks times one more than the flips")
     edges = [BITS * i // blocks for i in range(blocks + 1)]
 
     def block(a: Column, b: Column, i: int) -> Column:
@@ -93,15 +98,27 @@ def near_pairs(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: i
                 bits = bits.bitwiseOR(F.shiftleft(piece, low - edges[i]))
         return bits
 
-    tables = list(combinations(range(blocks), blocks - radius))
-
-    def keyed(df: DataFrame, a: str, b: str) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(*[block(F.col(a), F.col(b), i) for i in chosen]).alias("k")) for t, chosen in enumerate(tables)])
-        return df.select(a, b, F.explode(keys).alias("e")).select(a, b, "e.t", "e.k")
-
-    apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("q1")))
-    found = keyed(queries, "q0", "q1").join(keyed(prints, "f0", "f1"), ["t", "k"]).withColumn("distance", apart).where(F.col("distance") <= radius)
-    return found.select("q0", "q1", "f0", "f1", "distance").distinct()
+    tables = list(combinations(range(blocks), blocks - radius // (flips + 1)))
+    signed = lambda x: x - (1 << HALF) if x >> (HALF - 1) else x
+    turned = [[sum(1 << k for k in ks) for n in range(flips + 1) for ks in combinations(range(edges[i], edges[i + 1]), n)] for i in range(blocks)]
+    masks = [(t, signed(m & ((1 << HALF) - 1)), signed(m >> HALF)) for t, chosen in enumerate(tables) for m in map(sum, product(*[turned[i] for i in chosen]))]
+    spark = queries.sparkSession
+
+    def key(a: Column, b: Column, chosen: tuple[int, ...]) -> Column:
+        return F.xxhash64(*[block(a, b, i) for i in chosen])
+
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), key(F.col("f0"), F.col("f1"), chosen).alias("k")) for t, chosen in enumerate(tables)])
+    placed = prints.select("f0", "f1", F.explode(keys).alias("e")).select("f0", "f1", "e.t", "e.k")
+    # few queries make many rows: they are dealt out before, not all in one task
+    dealt = queries.select("q0", "q1").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q0", "q1")
+    asked = dealt.crossJoin(F.broadcast(spark.createDataFrame(masks, "t int, m0 long, m1 long")))
+    x, y = F.col("q0").bitwiseXOR(F.col("m0")), F.col("q1").bitwiseXOR(F.col("m1"))
+    asked = asked.select("q0", "q1", "t", F.coalesce(*[F.when(F.col("t") == t, key(x, y, chosen)) for t, chosen in enumerate(tables)]).alias("k"))
+    d0, d1 = F.col("f0").bitwiseXOR(F.col("q0")), F.col("f1").bitwiseXOR(F.col("q1"))
+    meet = [reduce(Column.__and__, [F.bit_count(block(d0, d1, i)) <= flips for i in chosen]) for chosen in tables]
+    first = F.coalesce(*[F.when(m, F.lit(t)) for t, m in enumerate(meet)])
+    found = asked.join(placed, ["t", "k"]).withColumn("distance", F.bit_count(d0) + F.bit_count(d1))
+    return found.where((F.col("distance") <= radius) & (F.col("t") == first)).select("q0", "q1", "f0", "f1", "distance")
 
 
 def _dealt(docs: DataFrame, key: str, text: str, per_part: int, most: int) -> DataFrame:
@@ -124,15 +141,16 @@ def _dealt(docs: DataFrame, key: str, text: str, per_part: int, most: int) -> Da
     return rows.select("id", "text", F.explode(places).alias("p")).select("p.b", "p.guest", "id", "text")
 
 
-def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, per_part: int = 500, most_parts: int = 2000) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, per_part: int = 500, most_parts: int = 2000) -> DataFrame:
     """Fingerprint each text and its edited text, whose second half is the start of the next document.
 
     Next: in descending order of the id, after the last the first; rows of one id stand in the order of a hash of the
     text, null ids last. A null text counts as empty, and a text without words has the fingerprint of
     zeros. Repeated rows are rows of their own. An empty table gives no rows. Further columns are ignored.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (32 hex digits), near_edited, near_next and
-    n_near: for documents whose id 100 divides, how many other documents have a fingerprint within ``radius`` bits; else null.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (32 hex digits), near_edited, near_next,
+    n_near: for documents whose id 100 divides, how many other documents have a fingerprint within ``radius`` bits; else null; and
+    near_ids: the ids of these in ascending order, one for each row; rows with a null id are counted but have none to give.
 
     The texts are shuffled once, by ranges of the id; all that follows stays in these partitions.
     """
@@ -151,9 +169,11 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     merged = prints.groupBy("b", "rn").agg(pick("guest", own).alias("guest"), pick("id", own).alias("doc_id"), pick("n_chars", own).alias("n_chars"), *[pick(f"s{k}", other).alias(f"s{k}") for k in range(4)], pick("f0", own).alias("f0"), pick("f1", own).alias("f1"), pick("f0", other).alias("e0"), pick("f1", other).alias("e1"))
     after = Window.partitionBy("b").orderBy("rn")
     whole = freeze(merged.withColumn("n0", F.lead("f0").over(after)).withColumn("n1", F.lead("f1").over(after)).where(F.col("guest") == 0))
-    classes = whole.groupBy("f0", "f1").agg(F.count("*").alias("copies"), F.max(F.col("doc_id") % 100 == 0).alias("asked"))
-    found = near_pairs(classes.select("f0", "f1"), classes.where("asked").select(F.col("f0").alias("q0"), F.col("f1").alias("q1")), radius)
-    near = found.join(classes.select("f0", "f1", "copies"), ["f0", "f1"]).groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg(F.sum("copies").alias("around"))
-    asked = whole.where(F.col("doc_id") % 100 == 0).join(near, ["f0", "f1"]).withColumn("n_near", F.col("around") - 1)
-    rest = whole.where((F.col("doc_id") % 100 != 0) | F.col("doc_id").isNull()).withColumn("n_near", F.lit(None).cast("long"))
-    return asked.drop("around").unionByName(rest).select("doc_id", "n_chars", as_hex("s0", "s1", "s2", "s3").alias("edited_sha256"), as_hex("f0", "f1").alias("fingerprint"), as_hex("e0", "e1").alias("edited_fingerprint"), likeness(("f0", "f1"), ("e0", "e1")).alias("near_edited"), likeness(("f0", "f1"), ("n0", "n1")).alias("near_next"), "n_near")
+    classes = whole.groupBy("f0", "f1").agg(F.count("*").alias("copies"), F.max(F.col("doc_id") % 100 == 0).alias("asked"), F.collect_list("doc_id").alias("ids"))
+    found = near_pairs(classes.select("f0", "f1"), classes.where("asked").select(F.col("f0").alias("q0"), F.col("f1").alias("q1")), radius, BLOCKS, FLIPS)
+    near = found.join(classes.select("f0", "f1", "copies", "ids"), ["f0", "f1"]).groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg(F.sum("copies").alias("around"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+    own_place = F.array_position("ids", F.col("doc_id")).cast("int")
+    others = F.concat(F.slice("ids", F.lit(1), own_place - 1), F.slice("ids", own_place + 1, F.size("ids")))
+    asked = whole.where(F.col("doc_id") % 100 == 0).join(near, ["f0", "f1"]).withColumn("n_near", F.col("around") - 1).withColumn("near_ids", others)
+    rest = whole.where((F.col("doc_id") % 100 != 0) | F.col("doc_id").isNull()).withColumn("n_near", F.lit(None).cast("long")).withColumn("near_ids", F.lit(None).cast("array<long>"))
+    return asked.drop("around", "ids").unionByName(rest).select("doc_id", "n_chars", as_hex("s0", "s1", "s2", "s3").alias("edited_sha256"), as_hex("f0", "f1").alias("fingerprint"), as_hex("e0", "e1").alias("edited_fingerprint"), likeness(("f0", "f1"), ("e0", "e1")).alias("near_edited"), likeness(("f0", "f1"), ("n0", "n1")).alias("near_next"), "n_near", "near_ids")

@@ -135,6 +135,45 @@ def test_block_tables_find_all_within_the_radius(spark):
         fingerprint.near_pairs(df, df.toDF("q0", "q1"), radius=5)
 
 
+def test_near_copies_are_found_and_named(documents):
+    """Copies with a few words changed, as like as 0.8 in their shingles; repeated and null ids."""
+    rng = random.Random(21)
+    rows, kin = [], {}
+    for g in range(6):
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        rows.append((100 * g, " ".join(base), "a"))
+        kin[100 * g] = []
+        for i in range(1, 9):
+            w = list(base)
+            for k in rng.sample(range(200), i % 4 + 1):
+                w[k] = f"e{rng.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(w), "a"))
+            kin[100 * g].append(100 * g + i)
+            assert len(shingle_set(rows[-1][1]) & shingle_set(" ".join(base))) >= 0.8 * len(shingle_set(rows[-1][1]) | shingle_set(" ".join(base)))
+    rows += [(0, rows[0][1], "b"), (None, rows[0][1], "a")]
+    kin[0] = [0, *kin[0]]
+    out = fingerprint.fingerprint_edits(documents(rows), per_part=7).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r.doc_id in kin:
+            assert r.near_ids == kin[r.doc_id], r.doc_id
+            assert r.n_near == len(kin[r.doc_id]) + (r.doc_id == 0)
+        else:
+            assert r.near_ids is None and r.n_near is None
+
+
+def test_turned_blocks_find_all_within_the_radius(spark):
+    rng = random.Random(4)
+    points = [rng.getrandbits(128) for _ in range(25)]
+    points += [p ^ sum(1 << b for b in rng.sample(range(128), k)) for p in points[:20] for k in (1, 9, 19, 20, 21, 22, 23)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    split = {(signed(p & (2**64 - 1)), signed(p >> 64)): p for p in points}
+    df = spark.createDataFrame(list(split), "f0 long, f1 long")
+    for radius, blocks, flips in ((fingerprint.RADIUS, fingerprint.BLOCKS, fingerprint.FLIPS), (5, 5, 1)):
+        got = [(split[r.q0, r.q1], split[r.f0, r.f1], r.distance) for r in fingerprint.near_pairs(df, df.toDF("q0", "q1"), radius, blocks, flips).collect()]
+        assert sorted(got) == sorted((a, b, bin(a ^ b).count("1")) for a in points for b in points if bin(a ^ b).count("1") <= radius)
+
+
 def test_simhash_bits_against_brute_force(spark, documents):
     t = "a b c a b d a b"
     h = frame(spark.createDataFrame([(t,)], "t string").select(fingerprint.terms(F.col("t")).alias("h"))).h[0]
