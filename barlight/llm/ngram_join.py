@@ -184,8 +184,9 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
             maps.append(bit_map(h))
         return None, [*(zip(*rows, strict=True) if rows else ([], [])), _lists(maps), _lists(prefixes)]
 
-    sets = freeze(map_texts(docs, ["doc_id"], "text", "n long, c long, m array<long>, p array<long>", make))
-    full = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    # rows without id stay out, lest one of them gives the prefix of its copies
+    sets = freeze(map_texts(named, ["doc_id"], "text", "n long, c long, m array<long>, p array<long>", make))
+    full = sets.where(F.col("n") > 0)
     reps = full.groupBy("c").agg(F.min("doc_id").alias("rep"))
     classes = full.join(reps.select("c", F.col("rep").alias("doc_id")), ["c", "doc_id"]).select("c", F.col("doc_id").alias("rep"), "n", "m")
     cells = full.select("c", F.col("n").cast("int").alias("n"), F.explode("p").alias("s"))
@@ -264,7 +265,8 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
     final = placed.join(named_roots, "root").select("c", "component_id")
     linked = sets.select("doc_id", F.col("n").alias("n_shingles"), "c").join(final, "c", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    nameless = map_texts(docs.where(F.col("doc_id").isNull()), ["doc_id"], "text", "n_shingles long", lambda texts: (None, [[len(shingle_hashes(t)) for t in texts]]))
+    return linked.select("doc_id", "n_shingles", own.alias("component_id")).unionByName(nameless.withColumn("component_id", F.lit(None).cast("long")))
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -444,6 +444,16 @@ def test_join_against_all_pairs(documents, odd):
     assert ngram_join.link(documents([])).count() == 0
 
 
+def test_join_with_a_copy_without_id_before_the_named_one(documents):
+    """In one batch, a row without id takes nothing from the set of its copy."""
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(None, near, "a"), (1, " ".join(base), "a"), (2, near, "a"), (3, "apart from all the others", "a")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(documents(rows).coalesce(1)).collect()}
+    assert got == linked(rows[1:]) | {None: (96, None)}
+    assert got[2] == (96, 1)
+
+
 def test_join_with_common_shingles_last(documents, monkeypatch):
     """The order of the shingles has no bearing on the result."""
     rng = random.Random(11)
