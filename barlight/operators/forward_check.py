@@ -13,22 +13,28 @@ from .schemas import SERIES
 Compute = Callable[[DataFrame], DataFrame]
 
 
-def prefix_mismatches(compute: Compute, df: DataFrame, cuts: Sequence, time: str = "open_time_utc", keys: Sequence[str] = SERIES, column: str = "value", tolerance: float = 1e-9) -> DataFrame:
+def prefix_mismatches(compute: Compute, df: DataFrame, cuts: Sequence, time: str = "open_time_utc", keys: Sequence[str] = SERIES, column: str | Sequence[str] = "value", tolerance: float = 1e-9) -> DataFrame:
     """cut, n_rows, n_mismatch: at each cut, the factor from the rows up to it against the factor from all rows.
 
-    ``compute`` gives the rows with the factor's column; a factor that looks ahead changes when later rows are taken away.
+    ``compute`` gives the rows with the factor's column, or those of several; a factor that looks ahead changes when later rows
+    are taken away. A row mismatches if one of its factors does. No cuts give no rows.
     """
-    full = compute(df).select(*keys, time, F.col(column).alias("_full"))
+    columns = [column] if isinstance(column, str) else list(column)
+    if not cuts:
+        return df.groupBy(F.col(time).alias("cut")).agg(F.count("*").alias("n_rows"), F.lit(0).cast("long").alias("n_mismatch")).limit(0)
+    full = compute(df).select(*keys, time, *[F.col(c).alias(f"_full{i}") for i, c in enumerate(columns)])
     parts = []
     for cut in cuts:
-        part = compute(df.where(F.col(time) <= F.lit(cut))).where(F.col(time) == F.lit(cut)).select(*keys, time, F.col(column).alias("_part"))
+        part = compute(df.where(F.col(time) <= F.lit(cut))).where(F.col(time) == F.lit(cut)).select(*keys, time, *[F.col(c).alias(f"_part{i}") for i, c in enumerate(columns)])
         parts.append(part)
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
     joined = both.join(full, [*keys, time])
-    near = F.abs(F.col("_full") - F.col("_part")) <= tolerance * F.greatest(F.lit(1.0), F.abs("_full"))
-    same = F.coalesce(near, F.col("_full").isNull() & F.col("_part").isNull())
+    same = F.lit(True)
+    for i in range(len(columns)):
+        a, b = F.col(f"_full{i}"), F.col(f"_part{i}")
+        same &= F.coalesce(F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(a)), F.lit(False)) | a.eqNullSafe(b)
     return joined.groupBy(F.col(time).alias("cut")).agg(F.count("*").alias("n_rows"), F.sum((~same).cast("long")).alias("n_mismatch"))
 
 

@@ -11,7 +11,7 @@ from .. import factors as _catalogue  # noqa: F401  registers the factors
 from ..functions.timeutil import unix_ms_column, utc_column
 from ..operators import bars, evaluate, forward_check, ingest, medallion, quality, validate
 from ..operators.asof import asof_backward
-from ..operators.registry import compute_factor, compute_factors, pandas_factor
+from ..operators.registry import compute_factor, compute_factors, list_factors, pandas_factor
 from ..operators.schemas import SILVER_COLUMNS
 from ..sources import files, replay
 from ..sources.layout import Lake
@@ -407,10 +407,17 @@ def forward_check_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(_H, ("c", "SELECT DISTINCT open_time FROM h ORDER BY open_time LIMIT 3 OFFSET 30")) + "SELECT h.open_time AS cut, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_mismatch FROM h JOIN c USING (open_time) GROUP BY 1")
 def forward_check_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every registered kind of window, at three cuts: taking later rows away changes nothing."""
-    hourly = bars.hourly_bars(spark, sf_dir)
-    cuts = [r[0] for r in hourly.select("open_time").distinct().orderBy("open_time").offset(30).limit(3).collect()]
-    return forward_check.prefix_mismatches(lambda df: compute_factor("vol_reversion", df, None, **SERIES_TIME), hourly, cuts, "open_time", ("symbol",))
+    """Every registered factor with its default parameters: taking later rows away changes nothing.
+
+    The three cuts of the SQL are given always; five cuts spread over all hours, the last included, where a factor mismatches.
+    """
+    hourly = _funded(spark, sf_dir)
+    hours = [r[0] for r in hourly.select("open_time").distinct().orderBy("open_time").collect()]
+    named, names = hours[30:33], list_factors()
+    spread = [hours[-(-len(hours) * i // 5) - 1] for i in range(1, 6)] if hours else []
+    compute = lambda df: compute_factors(df, {f: (f, None) for f in names}, **SERIES_TIME)
+    found = forward_check.prefix_mismatches(compute, hourly, sorted({*named, *spread}), "open_time", ("symbol",), names)
+    return found.where(F.col("cut").isin(named) | (F.col("n_mismatch") > 0)) if named else found.where(F.col("n_mismatch") > 0)
 
 
 # ---- layers, files and streams

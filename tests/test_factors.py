@@ -240,6 +240,20 @@ def test_asof(spark):
     assert {(r.k, r.t): r.v for r in got.collect()} == {("a", 1): None, ("a", 5): 0.5, ("a", 9): 0.7, ("b", 5): None}
 
 
+def test_query_finds_leaks_of_any_factor_late_in_a_series(spark, sf, clean_registry):
+    """A factor that looks ahead only in the last rows, beyond the three cuts of the SQL."""
+    from pyspark.sql.window import Window
+
+    from barlight.plans import catalogue
+
+    hours = [r[0] for r in catalogue.bars.hourly_bars(spark, sf).select("open_time").distinct().orderBy("open_time").collect()]
+    late = hours[len(hours) // 2]
+    registry.register_factor("late_leak")(lambda p: lambda s: F.when(F.col("open_time") > F.lit(late), F.count("close").over(Window.partitionBy("symbol")).cast("double")))
+    rows = catalogue.queries()["forward_check_prefix"](spark, sf).collect()
+    assert any(r.n_mismatch > 0 for r in rows)
+    assert [r.n_mismatch for r in rows if r.cut in hours[30:33]] == [0, 0, 0]
+
+
 # ---- runs
 
 
