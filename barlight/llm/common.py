@@ -41,9 +41,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: A batch of rows ends after so many bytes.
+BATCH_BYTES = 32 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small: texts can be long, and a batch is held in a worker as a whole."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like those given that none of the columns has, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def null_safe_text(name: str = "text") -> Column:

@@ -553,15 +553,57 @@ def test_boundaries_depend_on_nearby_bytes():
     assert sizes.max() <= cdc.MOST
     assert cdc.boundaries(b"").tolist() == []
     assert cdc.boundaries(b"a" * 1000)[-1] == 1000
-    h = 0
-    for c in data[:50]:
-        h = ((h << 1) + int(cdc.GEAR[c])) & 0xFFFFFFFF
-    v = cdc.GEAR[np.frombuffer(data[:50], dtype=np.uint8)]
-    span = 1
-    while span < 32:
-        v[span:] += v[:-span].copy() << np.uint32(span)
-        span *= 2
-    assert int(v[-1]) == h
+    ends, h, last = [], 0, -cdc.LEAST  # the rolling form, byte by byte
+    for i, c in enumerate(data):
+        h = ((h << 1) + int(cdc.GEAR[c])) & 0xFFFF
+        if h >> (16 - cdc.BITS) == 0:
+            ends += [i + 1] * (i - last >= cdc.LEAST)
+            last = i
+    assert set(ends) <= set(a.tolist())
+    assert len(set(a.tolist()) - set(ends)) <= sum((y - x - 1) // cdc.MOST for x, y in zip([0, *ends], [*ends, len(data)], strict=True)) + 1
+
+
+def test_repeats_find_long_passages(spark, sf):
+    """Documents that share 51 words in a row with another, by brute force."""
+    rows = [(r.doc_id, WORD.findall(r.text or "")) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect()]
+    seen, want = {}, set()
+    for i, w in rows:
+        for k in {tuple(w[k : k + 51]) for k in range(len(w) - 50)}:
+            if (other := seen.setdefault(k, i)) != i:
+                want |= {i, other}
+    found = set(frame(cdc.repeats(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"))).doc_id)
+    assert len(want) > 100
+    assert len(want & found) >= 0.97 * len(want)
+
+
+def test_repeats_of_short_words(documents):
+    rng = random.Random(31)
+    short = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice(["", "1", "2", "3"]) for _ in range(n))
+    long = lambda n: " ".join(f"{rng.choice('abcdeé')}{rng.randrange(10**5)}" for _ in range(n))
+    hit = 0
+    for _ in range(3):
+        rows = []
+        for k in range(20):
+            passage = short(60)
+            rows += [(2 * k, f"{long(40)} {passage} {long(40)}", "a"), (2 * k + 1, f"{long(30)} {passage} {long(50)}", "a")]
+        hit += len(set(frame(cdc.repeats(documents(rows))).doc_id))
+    assert hit >= 90
+
+
+def test_dedupe_of_repeated_ids_and_odd_names(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"{rng.choice('abcdeé')}{rng.randrange(10**5)}" for _ in range(n))
+    passage, own = text(80), text(60)
+    rows = [(1, passage, "x", 1, 2), (2, f"{text(30)} {passage} {text(30)}", "y", 1, 2), (2, own, "z", 1, 2), (2, own, "z", 1, 2), (None, passage, "n", 1, 2), (3, None, "q", 1, 2), (4, "", "q", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, i int, T long")
+    out = cdc.dedupe(docs)
+    assert out.columns == docs.columns
+    got = sorted([(r.gone, r.text) for r in out.collect()], key=str)
+    assert len(got) == 7
+    assert [t for g, t in got if g == "z"] == [own, own]
+    assert [t for g, t in got if g in "xn"] == [passage, passage]
+    assert len(next(t for g, t in got if g == "y")) < len(rows[1][1]) - 0.5 * len(passage)
+    assert cdc.dedupe(docs.limit(0)).count() == 0
 
 
 def test_repeats(documents, odd):
