@@ -23,18 +23,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import freeze, map_texts, null_safe_text
+from .common import freeze, map_texts, null_safe_text, stored, unused
 
 N = 5
 PERCENT = 80
 #: Shingles that stand last in the order: those in at least COMMON of the texts in a sample of one document in SAMPLE.
 #: They bear on speed alone. Their set is kept as bits of their hash, and no more than MOST_COMMON are marked.
-SAMPLE, COMMON, MOST_COMMON, COMMON_BITS = 16, 4, 200_000, 22
+SAMPLE, COMMON, MOST_COMMON, COMMON_BITS = 32, 3, 200_000, 22
+#: Columns of the most common shingles, of at least HOT_LEAST texts in the sample, are dealt out by shingle and set; any other holds a small part of all cells.
+HOT, HOT_LEAST = 10_000, 64
 #: 64-bit words of a set's bit map.
-WORDS = 32
-#: So many ids (8 bytes each) are sent to every executor to pick texts by them.
+WORDS = 16
+#: So many ids (8 bytes each) are sent to every executor to pick texts by them. More meet the texts in a shuffle, with the same result.
 BROADCAST_IDS = 2_000_000
-#: The sets of the pairs' first documents are sent to every executor up to so many shingles (8 bytes each) in all.
+#: The sets of the pairs' first documents are sent to every executor up to so many shingles (8 bytes each) in all; more are shuffled, with the same result.
 BROADCAST_SHINGLES = 6_000_000
 #: A column is crowded if its sets have more partners than this in other components, on average. Turns end when all columns
 #: together aren't, or when a turn leaves over three quarters of the pairs.
@@ -101,15 +103,17 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """A bit for each value of a shingle's leading COMMON_BITS bits: whether a common shingle has it."""
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A bit for each value of a shingle's leading COMMON_BITS bits, whether a common shingle has it; and the hottest shingles, sorted."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
     # a copy in another batch makes a shingle a little more common: it bears on the order alone
     once = _full_sets(sample).select(F.explode("s").alias("s")).groupBy("s").count()
-    top = once.where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "s").limit(MOST_COMMON).toPandas()["s"].to_numpy(dtype=np.int64)
+    top = once.where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "s").limit(MOST_COMMON).toPandas()
+    found = top["s"].to_numpy(dtype=np.int64).view(np.uint64)
     bits = np.zeros(1 << COMMON_BITS, dtype=bool)
-    bits[(top.view(np.uint64) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)] = True
-    return np.packbits(bits)
+    bits[(found >> np.uint64(64 - COMMON_BITS)).astype(np.int64)] = True
+    hot = np.sort(found[: min(HOT, int((top["count"] >= HOT_LEAST).sum()))])
+    return np.packbits(bits), hot
 
 
 def prefix_of(hashes: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -138,6 +142,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", F.col("next").alias("root"))
 
 
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with these ids: few ids go to the texts; many meet them in a shuffle."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of pairs of classes a < b those that are alike enough, by exact counts of their shared shingles."""
     side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"))
@@ -147,9 +157,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: in
     left = pairs.join(side("a"), "a").join(side("b"), "b").where(near & like_enough(most, F.col("na"), F.col("nb"), percent))
     left = freeze(left.select("a", "b", "na", "nb").distinct())
     ids = freeze(left.select(F.col("a").alias("c")).union(left.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "rep"), "c").select(F.col("rep").alias("doc_id")).distinct())
-    # few ids go to the texts; many meet them in a shuffle
-    few = ids.count() <= BROADCAST_IDS
-    sets = _full_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+    sets = _full_sets(_picked(docs, ids))
     firsts = left.groupBy("a").agg(F.max("na").alias("na"))
     light = firsts.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0] <= BROADCAST_SHINGLES
     first = sets.join(F.broadcast(firsts.select(F.col("a").alias("c"))), "c", "left_semi") if light else sets
@@ -160,40 +168,48 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: in
     return both.where(like_enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
 
-def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Link documents whose sets of word 5-shingles have a Jaccard similarity of ``percent`` / 100 or more.
-
-    Returns doc_id, n_shingles and component_id, the least id that links lead to, the document's own included. A null or empty text and one
-    without words has no shingles and no links. A text of fewer words has one shingle, all of it. Repeated rows and copies
-    share a component. A row with a null id is linked with nothing and has a null component. An empty table gives no rows. Further
-    columns are ignored.
-    """
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), null_safe_text(text).alias("text"))
-    named = docs.where(F.col("doc_id").isNotNull())
-    common = common_shingles(named)
+def _sets(docs: DataFrame, percent: int, keep: list[str]) -> DataFrame:
+    """For each row what is kept of it, n (size of its set), c (number of the set), m (bit map), p and q (prefix; hot shingles in q)."""
+    common, hot = common_shingles(docs)
 
     def make(texts: list[str | None]) -> tuple:
-        late, seen, rows, maps, prefixes = np.unpackbits(common).astype(bool), set(), [], [], []
+        late, seen, rows, maps, cold, warm = np.unpackbits(common).astype(bool), set(), [], [], [], []
         for t in texts:
             h = shingle_hashes(t)
             c = class_of(h) if len(h) else 0
-            # copies in one batch give their prefix once
-            prefixes.append(prefix_of(h, late, percent) if len(h) and c not in seen else h[:0])
+            # copies in one batch give their prefix and bit map once
+            new = len(h) > 0 and c not in seen
+            prefix = prefix_of(h, late, percent) if new else h[:0]
+            is_hot = np.isin(prefix, hot) if len(hot) and new else np.zeros(len(prefix), dtype=bool)
             seen.add(c)
             rows.append((len(h), c))
             maps.append(bit_map(h))
-        return None, [*(zip(*rows, strict=True) if rows else ([], [])), _lists(maps), _lists(prefixes)]
+            cold.append(prefix[~is_hot])
+            warm.append(prefix[is_hot])
+        return None, [*(zip(*rows, strict=True) if rows else ([], [])), _lists(maps), _lists(cold), _lists(warm)]
+
+    return stored(map_texts(docs, keep, "text", "n long, c long, m array<long>, p array<long>, q array<long>", make))
+
 
-    # rows without id stay out, lest one of them gives the prefix of its copies
-    sets = freeze(map_texts(named, ["doc_id"], "text", "n long, c long, m array<long>, p array<long>", make))
+def _columns(full: DataFrame) -> DataFrame:
+    """The cells s, c, n of columns with several sets; has: in how many of them the set stands; lead: whether it is the column's least."""
+    column = Window.partitionBy("s")
+    # all cells are shuffled once; what the least and the greatest set of a column are is told where they lie
+    cold = full.select("c", F.col("n").cast("int").alias("n"), F.explode("p").alias("s"))
+    cold = cold.withColumn("c1", F.min("c").over(column)).withColumn("c2", F.max("c").over(column)).where(F.col("c1") < F.col("c2")).select("s", "c", "n", (F.col("c") == F.col("c1")).alias("lead")).dropDuplicates(["s", "c"])
+    # a hot column may hold a large part of all sets: it is dealt out by set, and its bounds (of HOT columns at most) are sent to its cells
+    warm = full.select("c", F.col("n").cast("int").alias("n"), F.explode("q").alias("s")).dropDuplicates(["s", "c"])
+    bounds = warm.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where(F.col("c1") < F.col("c2"))
+    warm = warm.join(F.broadcast(bounds), "s").select("s", "c", "n", (F.col("c") == F.col("c1")).alias("lead"))
+    return freeze(cold.union(warm).withColumn("has", F.count("*").over(Window.partitionBy("c")).cast("int")))
+
+
+def _roots(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """c and root of every set, root one number for all sets of a component."""
     full = sets.where(F.col("n") > 0)
     reps = full.groupBy("c").agg(F.min("doc_id").alias("rep"))
-    classes = full.join(reps.select("c", F.col("rep").alias("doc_id")), ["c", "doc_id"]).select("c", F.col("doc_id").alias("rep"), "n", "m")
-    cells = full.select("c", F.col("n").cast("int").alias("n"), F.explode("p").alias("s"))
-    shared = cells.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where(F.col("c1") < F.col("c2")).select("s")
-    met = cells.join(shared, "s").dropDuplicates(["s", "c"])
-    met = met.withColumn("has", F.count("*").over(Window.partitionBy("c")).cast("int"))
-    columns = freeze(met)
+    classes = full.select("c", "doc_id", "n", "m").join(reps, "c").where(F.col("doc_id") == F.col("rep")).select("c", "rep", "n", "m")
+    columns = _columns(full)
 
     def room(shared: Column, na: Column, nb: Column) -> Column:
         """Whether sets can be alike enough that share so many of their first shingles: in the order, what else they share
@@ -214,9 +230,9 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
         counted = pairs.groupBy(F.col("c1").alias("a"), F.col("c2").alias("b")).agg(F.count("*").alias("o"), F.min("n1").alias("n1"), F.min("n2").alias("n2"))
         return (counted.where(room(F.col("o"), F.col("n1"), F.col("n2"))) if whole else counted).select("a", "b", "o")
 
-    def opened(roots: DataFrame) -> DataFrame:
+    def opened(cells: DataFrame, roots: DataFrame) -> DataFrame:
         """The cells of columns whose sets lie in several components."""
-        placed = columns.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        placed = cells.select("s", "c", "n", "has").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
         mixed = placed.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where(F.col("r1") != F.col("r2")).select("s")
         return freeze(placed.join(mixed, "s", "left_semi"))
 
@@ -227,14 +243,11 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
         return sums.select("s", "k", ((F.col("k") * F.col("k") - F.col("q")) / 2).alias("pairs"))
 
     # of the columns' least sets, each set is held against the one with which it shares most
-    least = columns.groupBy("s").agg(F.min("c").alias("c"))
-    leaders = columns.join(least, ["s", "c"], "left_semi")
-    met = product(leaders, columns, F.col("c1") != F.col("c2"))
-    order = Window.partitionBy("b").orderBy(F.col("o").desc(), "a")
-    tested = freeze(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1).select("a", "b"))
-    links = freeze(_verified(named, tested, classes, percent))
+    met = product(columns.where("lead").drop("lead"), columns.drop("lead"), F.col("c1") != F.col("c2"))
+    tested = freeze(met.groupBy("b").agg(F.min(F.struct(-F.col("o"), F.col("a"))).alias("best")).select(F.col("best.a").alias("a"), "b"))
+    links = freeze(_verified(docs, tested, classes, percent))
     roots = components(links)
-    open_, turn, before = opened(roots), 0, math.inf
+    open_, turn, before = opened(columns, roots), 0, math.inf
     while True:
         crowd = freeze(crowds(open_))
         pairs, cells = crowd.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
@@ -248,29 +261,70 @@ def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str
         chosen = chosen.select("s", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("c"))
         some = dense.join(chosen, ["s", "c"], "left_semi")
         met = product(some, dense, F.col("root1") != F.col("root2"), whole=False)
+        order = Window.partitionBy("b").orderBy(F.col("o").desc(), "a")
         best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRIES)
         tries = freeze(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        found = freeze(_verified(named, tries, classes, percent))
+        found = freeze(_verified(docs, tries, classes, percent))
         tested = tested.union(tries)
         if found.isEmpty():
             break
         links = links.union(found)
         roots = components(links)
-        open_ = opened(roots)
+        open_ = opened(open_, roots)
     cross = product(open_, open_, (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2"))).drop("o").join(tested, ["a", "b"], "left_anti")
-    last = freeze(_verified(named, cross, classes, percent))
+    last = freeze(_verified(docs, cross, classes, percent))
     roots = roots if last.isEmpty() else components(links.union(last))
-    placed = reps.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    named_roots = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = placed.join(named_roots, "root").select("c", "component_id")
-    linked = sets.select("doc_id", F.col("n").alias("n_shingles"), "c").join(final, "c", "left")
+    placed = reps.select("c").join(roots.withColumnRenamed("node", "c"), "c", "left")
+    return placed.select("c", F.coalesce("root", "c").alias("root"))
+
+
+def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Link documents whose sets of word 5-shingles have a Jaccard similarity of ``percent`` / 100 or more.
+
+    Returns doc_id, n_shingles and component_id, the least id that links lead to, the document's own included. A null or empty text and one
+    without words has no shingles and no links. A text of fewer words has one shingle, all of it. Repeated rows and copies
+    share a component. A row with a null id is linked with nothing and has a null component. An empty table gives no rows. Further
+    columns are ignored. Sizes decide whether a side of a join is sent to the executors or shuffled; rows are the same either way.
+    """
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), null_safe_text(text).alias("text"))
+    # rows without id stay out, so that they change nothing about the others
+    named = docs.where(F.col("doc_id").isNotNull())
+    sets = _sets(named, percent, ["doc_id"])
+    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "c")
+    firsts = rows.where(F.col("n_shingles") > 0).groupBy("c").agg(F.min("doc_id").alias("rep")).join(_roots(named, sets, percent), "c")
+    firsts = firsts.join(firsts.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("c", "component_id")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    linked = rows.join(firsts, "c", "left").select("doc_id", "n_shingles", own.alias("component_id"))
     nameless = map_texts(docs.where(F.col("doc_id").isNull()), ["doc_id"], "text", "n_shingles long", lambda texts: (None, [[len(shingle_hashes(t)) for t in texts]]))
-    return linked.select("doc_id", "n_shingles", own.alias("component_id")).unionByName(nameless.withColumn("component_id", F.lit(None).cast("long")))
+    return linked.unionByName(nameless.withColumn("component_id", F.lit(None).cast("long")))
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of documents that have the least id of their component, with all columns; of equal ids one row, rows with a null id all."""
-    first = link(docs, percent, key, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, docs[key] == first["_id"], "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    """One row of each component of linked rows, with all columns: that of the least id, and of these the least hash of the text.
+
+    A row is told by its id and its text. Of rows that have both in common one stays, whichever. Rows of one id with different texts are
+    different documents. Rows with a null id are linked like others and stay only where no row of their component has an id. A
+    null or empty text and one without words is linked with nothing: it stays, once for an id. An empty table gives no rows. Further columns
+    may have any names. Sizes decide whether the rows that go are sent to the executors or shuffled; the result is the same.
+    """
+    id_, hash_ = unused(docs.columns, "id", "hash")
+    marked = docs.withColumn(id_, F.col(key).cast("long")).withColumn(hash_, F.xxhash64(null_safe_text(text)))
+    # where there is no id, the hash of the text stands for it when texts are read again
+    rows = marked.select(F.coalesce(id_, hash_).alias("doc_id"), F.col(id_).alias("id"), F.col(hash_).alias("hash"), null_safe_text(text).alias("text"))
+    sets = _sets(rows, percent, ["doc_id", "id", "hash"])
+    with_words, unnamed = F.col("n") > 0, F.col("id").isNull()
+    placed = sets.where(with_words).select("id", "hash", "c").join(_roots(rows, sets, percent), "c")
+    first = placed.groupBy("root").agg(F.min(F.struct(unnamed.alias("unnamed"), "id", "hash")).alias("first"))
+    gone = placed.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")))).select("id", "hash").distinct()
+    again = sets.where(with_words | ~unnamed).groupBy("id", "hash").count().where(F.col("count") > 1).select("id", "hash")
+
+    def meet(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        few = keys.count() <= BROADCAST_IDS
+        keys = keys.select(F.col("id").alias("_key_id"), F.col("hash").alias("_key_hash"))
+        return rows.join(F.broadcast(keys) if few else keys, F.col(id_).eqNullSafe(F.col("_key_id")) & (F.col(hash_) == F.col("_key_hash")), how)
+
+    kept = meet(marked, freeze(gone), "left_anti")
+    again = freeze(again)
+    if not again.isEmpty():
+        kept = meet(kept, again, "left_anti").unionByName(meet(kept, again, "left_semi").dropDuplicates([id_, hash_]))
+    return kept.select(*docs.columns)

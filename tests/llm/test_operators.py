@@ -464,6 +464,31 @@ def test_join_with_common_shingles_last(documents, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(documents(rows)).collect()} == want
 
 
+def test_join_with_hot_columns(documents, monkeypatch, odd):
+    """Columns that are dealt out by shingle and set give the same links."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", 1)
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 2)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: i % 60], f"x{i}", *base[i % 60 :]]), "a") for i in range(150)]
+    rows += [(1000 + i, t, s) for i, (_, t, s) in enumerate(odd)]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(documents(rows)).collect()} == linked(rows)
+
+
+def test_representatives_of_odd_rows(spark):
+    """Rows are told by id and text: repeated rows once, rows of one id with other texts for themselves, rows without id last."""
+    base = [f"w{i}" for i in range(100)]
+    text, near, far, lone = " ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"v{i}" for i in range(50)), "alone"
+    rows = [(1, text, 1, "a"), (1, text, 2, "a"), (1, far, 3, "a"), (2, near, 4, "a"), (None, near, 5, "a"), (None, lone, 6, "a"), (None, lone, 7, "a"), (3, far, 8, "a"), (None, None, 9, "a"), (None, "", 10, "a"), (4, None, 11, "a"), (4, "", 12, "a"), (5, " ", 13, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash long, ID string")
+    out = ngram_join.representatives(docs)
+    assert out.columns == docs.columns
+    kept = {r.hash for r in out.collect()}
+    assert len(kept & {1, 2}) == len(kept & {6, 7}) == len(kept & {11, 12}) == 1
+    assert kept - {1, 2, 6, 7, 11, 12} == {3, 9, 10, 13}
+    assert ngram_join.representatives(docs.limit(0)).count() == 0
+
+
 def test_join_in_turns_over_crowded_columns(documents, monkeypatch):
     """Copies with a few words changed in each, of which some pairs are alike enough and others not."""
     rng = random.Random(12)
@@ -668,3 +693,56 @@ def test_licence_templates(documents):
         assert 0.5 < out.score[k] <= 1
     assert out.labels[99] == "" and out.score[99] == 0
     assert "mit" not in out.labels[98]
+
+
+def best_cells(words, names):
+    """The heaviest cell of each template by brute force: every posting against every occurrence of its word."""
+    found = licenses.index()
+    at = [[(i, w, n) for w, posts in found.posts.items() for t, i, n in posts if t == k] for k in range(len(names))]
+    best = [0.0] * len(names)
+    for k, posts in enumerate(at):
+        seen = {(n, j - i) for i, w, n in posts for j, x in enumerate(words) if x == w}
+        for half in (0, 1):
+            sums = Counter()
+            for n, cell in {(n, (place + half * licenses.SPREAD // 2) // licenses.SPREAD) for n, place in seen}:
+                sums[cell] += found.weights[n]
+            best[k] = max(best[k], *sums.values(), 0.0)
+    return [b / t for b, t in zip(best, found.totals, strict=True)]
+
+
+def test_licence_postings_against_brute_force(documents):
+    rng, names = random.Random(15), list(licenses.TEMPLATES)
+    every = [t.split() for t, _ in licenses.TEMPLATES.values()]
+    rows = []
+    for i in range(250):
+        words = ["foo"] * rng.randrange(40)
+        for t in rng.sample(every, rng.randrange(1, 4)):
+            low = rng.randrange(0, 12)
+            piece = [w for w in t[low : len(t) - rng.randrange(0, 25)] if rng.random() > 0.1]
+            for _ in range(rng.randrange(5)):
+                piece.insert(rng.randrange(len(piece)), rng.choice(["acme", "inc", rng.choice(t)]))
+            words += piece + ["bar"] * rng.randrange(15)
+        rows.append((i, " ".join(words), "a"))
+    out = frame(licenses.scan(documents(rows))).set_index("doc_id")
+    labels = 0
+    for i, t, _ in rows:
+        shares = best_cells(t.split(), names)
+        padded = f" {t} "
+        good = {n: s for n, s in zip(names, shares, strict=True) if s >= licenses.AGREE - 1e-9 and all(f" {p} " in padded for p in licenses.TEMPLATES[n][1])}
+        base = base_places(t)
+        assert set(filter(None, out.labels[i].split(","))) == {*good, *filter(None, base[4].split(","))}
+        assert abs(out.score[i] - (1.0 if base[1] else max(good.values(), default=0.0))) < 1e-9
+        labels += len(good)
+    assert labels > 100
+
+
+def test_licence_words_repeated_make_no_template(documents):
+    rows = [
+        (1, "conditions " * 30 + "source and binary forms following conditions are met", "a"),
+        (2, "permission " * 15 + "with or without fee appear in all copies", "a"),
+        (3, "the K\u212a MIT License \u212a", "a"),
+    ]
+    out = frame(licenses.scan(documents(rows))).set_index("doc_id")
+    assert out.labels.to_dict() == {1: "", 2: "", 3: "mit"}
+    assert out.score.to_dict() == {1: 0.0, 2: 0.0, 3: 1.0}
+    assert out.n_words[3] == 5 and out.first_word[3] == 2
