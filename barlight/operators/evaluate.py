@@ -38,21 +38,26 @@ def average_rank(value: str, by: Sequence[str]) -> Column:
     return ahead + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def pooled_ranks(df: DataFrame, value: str, out: str, buckets: int = 256) -> DataFrame:
-    """Average ranks over a whole table without sorting it in one task.
+def pooled_ranks(df: DataFrame, value: str, out: str, buckets: int = 256, by: Sequence[str] = ()) -> DataFrame:
+    """Average ranks over a whole table, or each of its few groups, without sorting one in one task.
 
     Distinct values are counted, cut into ranges by approximate quantiles, and summed within each range; a table of
-    the ranges' totals gives each its start.
+    the ranges' totals gives each its start. No column of ``by`` may be null.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(value))) if cuts else F.lit(0)
-    dealt = counts.withColumn("_b", bucket)
-    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("_b").agg(F.sum("_n").alias("_all")).withColumn("_start", F.coalesce(F.sum("_all").over(ahead), F.lit(0))).drop("_all")
-    upto = F.sum("_n").over(Window.partitionBy("_b").orderBy(value))
-    ranks = dealt.withColumn("_upto", upto).join(F.broadcast(totals), "_b").select(F.col(value).alias("_v"), (F.col("_start") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
+    group = list(by)
+    counts = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
+    # a row of cuts for each group: small, so it is sent to all
+    cuts = df.groupBy(*group).agg(F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).alias("_cuts"))
+    dealt = counts.join(F.broadcast(cuts), group) if group else counts.crossJoin(F.broadcast(cuts))
+    dealt = dealt.withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    ahead = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*group, "_b").agg(F.sum("_n").alias("_all")).withColumn("_start", F.coalesce(F.sum("_all").over(ahead), F.lit(0))).drop("_all")
+    upto = F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy(value))
+    ranks = dealt.withColumn("_upto", upto).join(F.broadcast(totals), [*group, "_b"]).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(value).alias("_v"), (F.col("_start") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
+    same = F.col(value) == F.col("_v")
+    for i, g in enumerate(group):
+        same &= F.col(g) == F.col(f"_g{i}")
+    return df.join(ranks, same).drop("_v", *[f"_g{i}" for i in range(len(group))])
 
 
 def complete(panel: DataFrame, *columns: str) -> DataFrame:
@@ -116,21 +121,21 @@ def long_short_returns(panel: DataFrame, n_groups: int = 5, value: str = "value"
 
 
 def ic_decay(bars: DataFrame, step: str, max_lag: int = 20, value: str = "value", close: str = "close", key: str = KEY, time: str = TIME, mode: str = "cumulative") -> DataFrame:
-    """lag, ic_mean, n_periods: mean rank IC against returns over 1 to ``max_lag`` steps, or with mode 'single' of that step alone."""
-    w = Window.partitionBy(key).orderBy(time)
+    """lag, ic_mean, n_periods: mean rank IC against returns over 1 to ``max_lag`` steps, or with mode 'single' of that step alone.
 
-    def price(k: int) -> Column:
-        """Close k steps on, if there is a bar at that time within the next k."""
-        out = F.lit(None).cast("double")
-        for j in range(1, k + 1):
-            out = F.when(F.lead(time, j).over(w) == F.col(time) + F.expr(f"INTERVAL {step}") * k, F.lead(close, j).over(w)).otherwise(out)
-        return out if k else F.col(close)
-
-    # one pass: leads of the times and closes, then a row for each lag
-    wide = bars.select(key, time, value, *[price(k).alias(f"_c{k}") for k in range(max_lag + 1)])
-    from_ = lambda k: F.col("_c0" if mode == "cumulative" else f"_c{k - 1}")
-    lags = F.array(*[F.struct(F.lit(k).alias("lag"), F.when(from_(k) != 0, F.col(f"_c{k}") / from_(k) - 1).alias("r")) for k in range(1, max_lag + 1)])
-    rows = wide.select(time, value, F.explode(lags).alias("_e")).select(time, value, "_e.lag", "_e.r")
+    ``step`` has a fixed length, so no months.
+    """
+    # each bar with the bars up to max_lag rows on, in one pass over its series; those at a whole number of steps become rows
+    coming = Window.partitionBy(key).orderBy(time).rowsBetween(0, max_lag)
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    length = micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {step}"))
+    near = bars.select(time, value, F.col(close).alias("_c"), F.collect_list(F.struct(F.col(time).alias("t"), F.col(close).alias("c"))).over(coming).alias("_on"))
+    ahead = lambda x: micros(x["t"]) - micros(F.col(time))
+    before = lambda i: F.get("_on", i - 1)
+    base = (lambda x, i: F.col("_c")) if mode == "cumulative" else (lambda x, i: F.when(micros(x["t"]) - micros(before(i)["t"]) == length, before(i)["c"]))
+    found = F.transform("_on", lambda x, i: F.struct((ahead(x) / length).alias("lag"), x["c"].alias("c"), base(x, i).alias("base")))
+    on_time = F.filter(found, lambda x: (x["lag"] >= 1) & (x["lag"] <= max_lag) & (x["lag"] == F.floor(x["lag"])) & (x["base"] != 0))
+    rows = near.where(F.col(value).isNotNull()).select(time, value, F.explode(on_time).alias("_e")).select(time, value, F.col("_e.lag").cast("int").alias("lag"), (F.col("_e.c") / F.col("_e.base") - 1).alias("r"))
     ics = ic_series(rows, value, "r", ("lag", time))
     return ics.where(F.col("ic").isNotNull()).groupBy("lag").agg(F.avg("ic").alias("ic_mean"), F.count("*").alias("n_periods"))
 
@@ -148,10 +153,8 @@ def turnover_analysis(panel: DataFrame, n_groups: int = 5, value: str = "value",
 def correlation_matrix(wide: DataFrame, factors: Sequence[str], method: str = "pearson", by: Sequence[str] = ()) -> DataFrame:
     """factor_a, factor_b, rho for all pairs a < b, over rows that have both.
 
-    Pooled, or the mean over cross-sections with ``by``. Spearman ranks within each cross-section and needs ``by``.
+    Pooled, or the mean over cross-sections with ``by``. Spearman ranks a pair's complete rows, all together or within each cross-section.
     """
-    if method == "spearman" and not by:
-        raise ValueError("rank correlations are taken by cross-section")
     if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown method: {method!r}")
     pairs = list(combinations(sorted(factors), 2))
@@ -161,7 +164,11 @@ def correlation_matrix(wide: DataFrame, factors: Sequence[str], method: str = "p
     else:
         rows = wide.select(*by, F.explode(F.array(*[F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])).alias("e")).select(*by, "e.*")
         group = ["factor_a", "factor_b", *by]
-        ranked = complete(rows, "x", "y").select(*group, average_rank("x", group).alias("x"), average_rank("y", group).alias("y"))
+        rows = complete(rows, "x", "y")
+        if by:
+            ranked = rows.select(*group, average_rank("x", group).alias("x"), average_rank("y", group).alias("y"))
+        else:
+            ranked = pooled_ranks(pooled_ranks(rows, "x", "_x", by=group), "y", "_y", by=group).select(*group, F.col("_x").alias("x"), F.col("_y").alias("y"))
         long = ranked.groupBy(*group).agg(correlation("x", "y").alias("rho"))
     return long.groupBy("factor_a", "factor_b").agg(F.avg("rho").alias("rho"))
 

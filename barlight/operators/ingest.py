@@ -62,12 +62,13 @@ def price_rules(open_: str = "open_time", close: str = "close_time") -> list[tup
     ]
 
 
-def parse_wire_klines(df: DataFrame, symbol: str, interval: str, value: str = "value") -> DataFrame:
-    """JSON arrays to Bronze rows with the column ``broken``."""
+def parse_wire_klines(df: DataFrame, symbol: str | Column, interval: str, value: str = "value") -> DataFrame:
+    """JSON arrays to Bronze rows with the column ``broken``. symbol: one for all, or a column."""
     a = F.from_json(F.col(value), "array<string>")
     at = lambda i: F.get("_a", F.lit(i))
     fields = [("open_time", 0, whole), ("open", 1, number), ("high", 2, number), ("low", 3, number), ("close", 4, number), ("volume", 5, number), ("close_time", 6, whole), ("quote_asset_volume", 7, number), ("number_of_trades", 8, whole), ("taker_buy_base_volume", 9, number), ("taker_buy_quote_volume", 10, number)]
-    rows = df.select(a.alias("_a")).select("_a", *[kind(at(i)).alias(n) for n, i, kind in fields], F.lit(symbol.upper()).alias("symbol"), F.lit(canonical_interval(interval)).alias("interval"))
+    named = F.upper(F.lit(symbol) if isinstance(symbol, str) else symbol)
+    rows = df.select(a.alias("_a"), named.alias("symbol")).select("_a", *[kind(at(i)).alias(n) for n, i, kind in fields], "symbol", F.lit(canonical_interval(interval)).alias("interval"))
     rules = [("twelve elements", F.size("_a") == WIRE_LENGTH), *price_rules(), ("safe symbol", is_safe_segment(F.col("symbol"))), ("safe interval", is_safe_segment(F.col("interval")))]
     return rows.withColumn("broken", first_broken(rules)).select(*BRONZE_COLUMNS, "broken")
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import factors as _catalogue  # noqa: F401  registers the factors
+from ..functions.identifiers import is_safe_segment
 from ..functions.timeutil import unix_ms_column, utc_column
 from ..operators import bars, evaluate, forward_check, ingest, medallion, quality, validate
 from ..operators.asof import asof_backward
 from ..operators.registry import compute_factor, compute_factors, list_factors, pandas_factor
 from ..operators.schemas import SILVER_COLUMNS
+from ..session import shared_folder
 from ..sources import files, replay
 from ..sources.layout import Lake
 from ..streaming import bars as streaming
@@ -175,6 +179,109 @@ def kline_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
 
 
+@query(
+    _with(_H, ("x", """SELECT CASE WHEN num_trades % 5 = 0 THEN '' ELSE upper(symbol) END AS symbol, CASE WHEN num_trades % 7 = 0 THEN NULL ELSE open_time END AS t,
+ CASE WHEN num_trades % 6 = 0 THEN open_time - INTERVAL 1 SECOND ELSE close_time END AS close_time FROM h UNION ALL SELECT upper(symbol), open_time, close_time FROM h WHERE num_trades % 4 = 0"""))
+    + """SELECT count(*) AS n_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT symbol, t FROM x)) AS n_duplicate_times, CAST(sum(CASE WHEN t IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_late,
+ CAST(sum(CASE WHEN close_time < t THEN 1 ELSE 0 END) AS BIGINT) AS n_close_early, CAST(sum(CASE WHEN symbol = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_nameless FROM x"""
+)
+def kline_time_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over candles with some times missing, some closes before the open, some rows twice and some names empty."""
+    silver, n = bars.as_silver(bars.hourly_bars(spark, sf_dir)).withColumn("symbol", F.upper("symbol")), F.col("num_trades")
+    again = silver.where(n % 4 == 0)
+    close = F.when(n % 6 == 0, F.expr("open_time_utc - INTERVAL 1 SECOND")).otherwise(F.col("close_time_utc"))
+    spoilt = silver.withColumn("close_time_utc", close).withColumns({"symbol": F.when(n % 5 == 0, "").otherwise(F.col("symbol")), "open_time_utc": F.when(n % 7 != 0, F.col("open_time_utc"))})
+    names = {"rows": "n_rows", "duplicate times": "n_duplicate_times", "times out of order": "n_late", "close before open time": "n_close_early", "symbol or interval empty": "n_nameless"}
+    return validate.violations(spoilt.unionByName(again)).select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
+
+
+_WIRE = """SELECT *, CASE WHEN num_trades % 9 = 0 THEN 'twelve elements' WHEN num_trades % 7 = 0 THEN 'high over 0' WHEN num_trades % 5 = 0 THEN 'volume at least 0'
+ WHEN num_trades % 4 = 0 THEN 'close time after open time' WHEN num_trades % 3 = 0 THEN 'high is highest' ELSE 'none' END AS rule FROM h"""
+
+
+def _messages(hourly: DataFrame, spoilt: bool = False) -> DataFrame:
+    """symbol and value: each candle as the message of an exchange, some of them spoilt."""
+    n, ms = F.col("num_trades"), lambda c: unix_ms_column(F.col(c))
+    put = lambda k, bad, good: F.when(n % k == 0, bad).otherwise(good) if spoilt else good
+    text = lambda c: c.cast("string")
+    close = put(4, ms("open_time") - 1, ms("close_time"))
+    low = put(3, F.col("high") * 2, F.col("low"))
+    fields = [text(ms("open_time")), text(F.col("open")), put(7, F.lit("none"), text(F.col("high"))), text(low), text(F.col("close")), put(5, F.lit("-1"), text(F.col("volume"))), text(close), text(F.col("quote_volume")), text(n), text(F.col("taker_buy_volume")), text(F.col("taker_buy_quote_volume")), F.lit("0")]
+    whole = F.array(*fields)
+    return hourly.select("symbol", F.to_json(put(9, F.slice(whole, 1, 11), whole)).alias("value"))
+
+
+@query(_with(_H, ("x", _WIRE)) + "SELECT rule, count(*) AS n FROM x GROUP BY rule")
+def wire_kline_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles as messages, some of them spoilt: how many break which rule first."""
+    rows = ingest.parse_wire_klines(_messages(bars.hourly_bars(spark, sf_dir), True), F.col("symbol"), "1h")
+    return rows.groupBy(F.coalesce("broken", F.lit("none")).alias("rule")).agg(F.count("*").alias("n"))
+
+
+@query(_with(_H, ("x", _WIRE)) + "SELECT upper(symbol) AS symbol, open_time, open, high, low, close, volume, num_trades FROM x WHERE rule = 'none'")
+def wire_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The good ones of these messages, as Bronze rows."""
+    rows = ingest.parse_wire_klines(_messages(bars.hourly_bars(spark, sf_dir), True), F.col("symbol"), "1h").where(F.col("broken").isNull())
+    return rows.select("symbol", F.timestamp_millis("open_time").cast("timestamp_ntz").alias("open_time"), "open", "high", "low", "close", "volume", F.col("number_of_trades").alias("num_trades"))
+
+
+#: Recordings are read from the second day on, for ten days.
+_RANGE = "open_time >= (SELECT date_trunc('day', min(open_time)) + INTERVAL 1 DAY FROM h) AND open_time < (SELECT date_trunc('day', min(open_time)) + INTERVAL 11 DAY FROM h)"
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> tuple[str, list[str], datetime, datetime]:
+    """Messages written as an exchange's recordings: their folder, the symbols and a range of ten days."""
+    root, hourly = _temporary(spark), bars.hourly_bars(spark, sf_dir)
+    placed = _messages(hourly).withColumns({"symbol": F.upper("symbol"), "interval": F.lit("1h")})
+    # one folder for each symbol and interval, as recordings have them
+    for (symbol,) in placed.select("symbol").distinct().collect():
+        placed.where(F.col("symbol") == symbol).select("value").write.text(f"{root}/klines/{symbol}/1h")
+    first = hourly.agg(F.date_trunc("DAY", F.min("open_time")).cast("timestamp_ntz")).first()[0].replace(tzinfo=timezone.utc)
+    return root, sorted(r[0] for r in placed.select("symbol").distinct().collect()), first + timedelta(days=1), first + timedelta(days=11)
+
+
+@query(_with(_H) + f"SELECT upper(symbol) AS symbol, open_time, close, num_trades FROM h WHERE {_RANGE}")
+def replay_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All symbols of a recording downloaded in two overlapping ranges; nothing stands twice."""
+    root, symbols, start, end = _recorded(spark, sf_dir)
+    loader = replay.Downloader(spark, root, f"{root}/bronze")
+    loader.download_all(symbols[:2], "1h", start, start + (end - start) / 2)
+    loader.download_all(symbols, "1h", start, end)
+    rows = files.read_bronze_klines(spark, f"{root}/bronze")
+    return rows.select("symbol", F.timestamp_millis("open_time").cast("timestamp_ntz").alias("open_time"), "close", F.col("number_of_trades").alias("num_trades"))
+
+
+@query(_with(_H) + f"SELECT upper(symbol) AS symbol, open_time, close FROM h WHERE {_RANGE} AND symbol = (SELECT min(symbol) FROM h) ORDER BY open_time LIMIT 50")
+def replay_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 candles of one symbol in a range: a fetch's limit."""
+    root, symbols, start, end = _recorded(spark, sf_dir)
+    rows = replay.ReplayClient(spark, root, symbols[0]).fetch_klines("1H", start, end, limit=50)
+    return rows.select("symbol", F.timestamp_millis("open_time").cast("timestamp_ntz").alias("open_time"), "close")
+
+
+@query("""SELECT event_id, value AS price, make_timestamp(epoch_us(ts) // 1000 * 1000) AS at FROM events WHERE value > 0 AND event_type = (SELECT min(event_type) FROM events)
+ AND ts >= (SELECT date_trunc('day', min(ts)) FROM events) AND ts < (SELECT date_trunc('day', min(ts)) + INTERVAL 20 DAY FROM events)""")
+def replay_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded trades of one symbol in a range of twenty days; the quantity carries the id."""
+    root, e = _temporary(spark), spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("value") > 0)
+    least, first = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min("event_type"), F.date_trunc("DAY", F.min("ts"))).first()
+    at = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    message = F.struct(at.alias("timestamp"), F.col("value").cast("string").alias("price"), (F.col("event_id") + 1).cast("string").alias("quantity"), F.lit("buy").alias("side"), F.upper("event_type").alias("symbol"))
+    e.where(F.col("event_type") == least).select(F.to_json(message).alias("value")).write.text(f"{root}/trades/{least.upper()}")
+    start = first.replace(tzinfo=timezone.utc)
+    rows = replay.ReplayClient(spark, root, least).fetch_trades(start, start + timedelta(days=20), limit=2**31 - 1)
+    return rows.select((F.col("quantity") - 1).cast("long").alias("event_id"), "price", F.col("timestamp").cast("timestamp_ntz").alias("at"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN event_type || '/x' WHEN 2 THEN '..' WHEN 3 THEN '' WHEN 4 THEN event_type || '_1.a-b' ELSE ' ' || event_type END AS name,
+ event_id % 6 IN (0, 4) AS safe FROM events""")
+def safe_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that may or may not stand in a path."""
+    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 6
+    name = F.when(k == 0, F.col("event_type")).when(k == 1, F.concat("event_type", F.lit("/x"))).when(k == 2, "..").when(k == 3, "").when(k == 4, F.concat("event_type", F.lit("_1.a-b"))).otherwise(F.concat(F.lit(" "), "event_type"))
+    return e.select("event_id", name.alias("name")).withColumn("safe", is_safe_segment(F.col("name")))
+
+
 @query(_with(_H, ("x", "SELECT *, CASE WHEN num_trades % 7 = 0 THEN low - 1 ELSE high END AS h2 FROM h")) + "SELECT symbol, open_time FROM x WHERE h2 < greatest(open, close, low) OR low > least(open, close, h2) OR h2 <= 0")
 def invalid_ohlc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bronze(spark, sf_dir)
@@ -355,9 +462,33 @@ def factor_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.correlation_matrix(_wide(spark, sf_dir), list(FACTORS), "spearman", ("open_time",)), "rho")
 
 
-@query(_with(_D, ("w", _WIDE), ("m", _MATRIX)) + "SELECT factor_a, factor_b, round(rho, 6) AS rho FROM m WHERE abs(rho) > CAST(0.5 AS DOUBLE)")
+_POOLED_PAIRS = _pairs_sql("SELECT '{a}' AS factor_a, '{b}' AS factor_b, {a} AS u, {b} AS v FROM w")
+
+
+@query(_with(_D, ("w", _WIDE), ("l", _POOLED_PAIRS), ("r", _ranks("l", "u", "v", "factor_a, factor_b"))) + f"SELECT factor_a, factor_b, round({_corr('x', 'y')}, 6) AS rho FROM r GROUP BY factor_a, factor_b")
+def factor_rank_correlation_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlations over all rows together."""
+    return rounded(evaluate.correlation_matrix(_wide(spark, sf_dir), list(FACTORS), "spearman"), "rho")
+
+
+_DOUBLED = f"SELECT *, 3 * momentum_1 + CASE WHEN symbol < '5' THEN sma_dev_3 ELSE 0 END AS momentum_copy FROM ({_WIDE})"
+
+
+def _double_pairs(select: str) -> str:
+    from itertools import combinations
+
+    return " UNION ALL ".join(select.format(a=a, b=b) for a, b in combinations(sorted([*FACTORS, "momentum_copy"]), 2))
+
+
+_DOUBLE_MATRIX = _double_pairs("SELECT '{a}' AS factor_a, '{b}' AS factor_b, " + _corr("{a}", "{b}") + " AS rho FROM w WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+
+
+@query(_with(_D, ("w", _DOUBLED), ("m", _DOUBLE_MATRIX)) + "SELECT factor_a, factor_b, round(rho, 6) AS rho FROM m WHERE abs(rho) > CAST(0.5 AS DOUBLE)")
 def redundant_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluate.redundant_factors(evaluate.correlation_matrix(_wide(spark, sf_dir), list(FACTORS)), 0.5), "rho")
+    """With one factor more that follows another closely."""
+    copy = 3 * F.col("momentum_1") + F.when(F.col("symbol") < "5", F.col("sma_dev_3")).otherwise(0.0)
+    wide = _wide(spark, sf_dir).withColumn("momentum_copy", copy)
+    return rounded(evaluate.redundant_factors(evaluate.correlation_matrix(wide, [*FACTORS, "momentum_copy"]), 0.5), "rho")
 
 
 _SHARES = "SELECT factor_name, open_time, symbol, (rank() OVER (PARTITION BY factor_name, open_time ORDER BY value) + (count(*) OVER (PARTITION BY factor_name, open_time, value) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER (PARTITION BY factor_name, open_time) AS share, ntile(5) OVER (PARTITION BY factor_name, open_time ORDER BY value, symbol) AS bucket FROM p WHERE value IS NOT NULL"
@@ -387,10 +518,19 @@ def factor_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- look-ahead
 
 
-@query(_with(_D) + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_duplicate, CAST(0 AS BIGINT) AS n_unmatched FROM d")
+_SPOILT_TIMES = """SELECT symbol, CASE WHEN num_trades % 5 = 0 THEN open_time + INTERVAL 1 HOUR ELSE open_time END AS t FROM d
+ UNION ALL SELECT symbol, open_time FROM d WHERE num_trades % 4 = 1"""
+
+
+@query(
+    _with(_D, ("f", _SPOILT_TIMES), ("c", "SELECT symbol, t, count(*) AS n FROM f GROUP BY symbol, t"))
+    + "SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_duplicate, CAST(sum(CASE WHEN d.symbol IS NULL THEN n ELSE 0 END) AS BIGINT) AS n_unmatched FROM c LEFT JOIN d ON d.symbol = c.symbol AND d.open_time = c.t"
+)
 def forward_check_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _panel(spark, sf_dir)
-    return forward_check.timestamp_alignment(p, bars.daily_bars(spark, sf_dir), "open_time", ("symbol",))
+    """Factor values of which some stand at times without a bar and some twice."""
+    p, n = _panel(spark, sf_dir), F.col("num_trades")
+    moved = p.withColumn("open_time", F.when(n % 5 == 0, F.expr("open_time + INTERVAL 1 HOUR")).otherwise(F.col("open_time")))
+    return forward_check.timestamp_alignment(moved.unionByName(p.where(n % 4 == 1)), bars.daily_bars(spark, sf_dir), "open_time", ("symbol",))
 
 
 _FIXED = _with(_D, ("p", f"SELECT *, {_FWD} FROM d"))
@@ -424,12 +564,8 @@ def forward_check_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _temporary(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barlight-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share: in the one for checkpoints, or a local one where all runs on this machine."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 _SILVER_SQL = _with(_H) + "SELECT open_time AS open_time_utc, close_time AS close_time_utc, open, high, low, close, volume, quote_volume, taker_buy_volume, taker_buy_quote_volume, num_trades, upper(symbol) AS symbol, \"interval\" FROM h"
@@ -472,9 +608,9 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     # a stream reads folders: of a table that is one file, the folder with this file's name alone
     source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque*")
-    name = "stream_" + _temporary(spark)[-32:]
-    streaming.run_available(streaming.stream_bars(source, "1 hour", "ts", "value", "value", "event_type"), name, f"{_temporary(spark)}/checkpoint")
-    return _naive(spark.table(name), "open_time")
+    root = _temporary(spark)
+    candles = streaming.stream_bars(source, "1 hour", "ts", "value", "value", "event_type")
+    return _naive(streaming.run_available(candles, f"{root}/bars", f"{root}/checkpoint"), "open_time")
 
 
 @query("""SELECT rule, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'time with zone' WHEN value <= 0 OR event_id % 7 = 0 THEN 'price over 0'

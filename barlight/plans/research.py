@@ -10,23 +10,27 @@ import logging
 import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import factors as _catalogue  # noqa: F401  registers the factors
-from ..functions.intervals import interval_ms
+from ..functions.intervals import canonical_interval, interval_ms
 from ..functions.timeutil import to_utc
 from ..operators import evaluate
-from ..operators.registry import compute_factor, get_factor_metadata, list_factors
+from ..operators.medallion import bronze_to_silver, silver_projection
+from ..operators.registry import compute_factor, compute_factors, list_factors
+from ..operators.schemas import SERIES
 from ..session import builder, require
-from ..sources.files import PLACE, build_silver, read_silver_klines, write_gold_factor
+from ..sources.files import build_silver, params_tag, read_bronze_klines, read_gold, read_silver_klines, write_gold_factor, write_gold_panel, write_silver_klines
 from ..sources.layout import Lake
 from ..sources.replay import Downloader
 from .report import report_data, write_report
 
 
+MARKET = "spot"
+
+
 def get_logger(name: str = "barlight") -> logging.Logger:
     """A console logger; asking again adds no second handler."""
     log = logging.getLogger(name)
@@ -91,32 +95,40 @@ def report(spark: SparkSession, run: Run) -> list[str]:
 STEPS = (download, clean, compute, assess, report)
 
 
-def look_back(factors: Sequence[str]) -> int:
-    """Bars before a change that the named factors can depend on: the largest of their default windows, and one for a lag."""
-    return 1 + max((v for f in factors for v in get_factor_metadata(f)["default_params"].values() if isinstance(v, int)), default=0)
+def pending_series(wanted: DataFrame, there: DataFrame | None, time: str) -> DataFrame:
+    """symbol and interval of the series that have bars in ``wanted`` which ``there`` lacks."""
+    keys = [*SERIES, time]
+    lacking = wanted.select(*keys) if there is None else wanted.select(*keys).join(there.select(*keys), keys, "left_anti")
+    return lacking.select(*SERIES).distinct()
 
 
 def incremental(spark: SparkSession, run: Run) -> None:
-    """Fetch what is new, clean it, and recompute the factors from the first changed time, with the bars before it that they look back to."""
-    from ..streaming.bars import refresh_silver
-
-    loader = Downloader(spark, run.recordings, run.lake.bronze, run.exchange)
-    new = loader.new_bars(run.symbols, run.interval, to_utc(run.start), to_utc(run.end)).persist()
-    if new.isEmpty():
-        return
-    from ..operators.medallion import silver_projection
-
-    first = to_utc(new.agg(F.min("open_time")).first()[0], numeric_unit="ms")
-    fresh = silver_projection(new).withColumns({"exchange": F.lit(run.exchange), "market": F.lit(loader.market)})
-    refresh_silver(fresh, f"{run.lake.silver}_live")
-    loader.download_all(run.symbols, run.interval, to_utc(run.start), to_utc(run.end))
-    new.unpersist()
-    since = first - timedelta(milliseconds=interval_ms(run.interval) * look_back(run.factors))
-    live = spark.read.parquet(f"{run.lake.silver}_live").where(F.col("open_time_utc") >= F.lit(since))
-    for name in run.factors:
-        values = compute_factor(name, live, keys=PLACE).where(F.col("open_time_utc") >= F.lit(first))
-        rows = values.select("open_time_utc", "value", *PLACE).withColumn("factor_name", F.lit(name))
-        rows.write.mode("append").partitionBy("factor_name", *PLACE).parquet(f"{run.lake.gold}_live")
+    """Fetch what is new and bring Silver and Gold up to it.
+
+    What a layer lacks is told from the layer below, not from what this run has fetched: a run that broke off between two layers is
+    finished by the next, and a run that finds nothing new writes nothing. Series with a new bar, also a late one, are replaced as a
+    whole, so that no value is stale or stands twice.
+    """
+    download(spark, run)
+    bronze = read_bronze_klines(spark, run.lake.bronze).where(F.col("interval") == canonical_interval(run.interval))
+    clean_bars = silver_projection(bronze)
+    try:
+        silver = read_silver_klines(spark, run.lake.silver)
+    except FileNotFoundError:
+        silver = None
+    touched = pending_series(clean_bars, silver, "open_time_utc")
+    if not touched.isEmpty():
+        rows = bronze.join(touched.withColumnRenamed("symbol", "_s").select("_s"), F.upper("symbol") == F.col("_s"), "left_semi")
+        write_silver_klines(bronze_to_silver(rows), run.lake.silver, SERIES)
+    silver = read_silver_klines(spark, run.lake.silver).where(F.col("interval") == canonical_interval(run.interval))
+    gold = read_gold(spark, run.lake)
+    if gold is not None:
+        ours = gold.where(F.col("factor_name").isin(run.factors) & (F.col("params") == params_tag(None)) & (F.col("exchange") == run.exchange) & (F.col("market") == MARKET))
+        gold = ours.groupBy(*SERIES, "open_time_utc").agg(F.count_distinct("factor_name").alias("n")).where(F.col("n") == len(set(run.factors)))
+    touched = pending_series(silver, gold, "open_time_utc")
+    if not touched.isEmpty():
+        values = compute_factors(silver.join(touched, list(SERIES), "left_semi"), {f: (f, None) for f in run.factors})
+        write_gold_panel(values, run.lake, run.factors, exchange=run.exchange, market=MARKET)
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -49,10 +49,13 @@ def read_silver_klines(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, SILVER_KLINE)
 
 
+def write_silver_klines(silver: DataFrame, path: str, parts: Sequence[str] = ()) -> None:
+    _write(silver.sortWithinPartitions("symbol", "interval", "open_time_utc"), path, parts)
+
+
 def build_silver(spark: SparkSession, bronze_path: str, silver_path: str, parts: Sequence[str] = ()) -> DataFrame:
     """Read Bronze, check and clean it, write Silver, give back what was written."""
-    silver = bronze_to_silver(read_bronze_klines(spark, bronze_path))
-    _write(silver.sortWithinPartitions("symbol", "interval", "open_time_utc"), silver_path, parts)
+    write_silver_klines(bronze_to_silver(read_bronze_klines(spark, bronze_path)), silver_path, parts)
     return read_silver_klines(spark, silver_path)
 
 
@@ -68,7 +71,16 @@ def write_gold_factor(values: DataFrame, lake: Lake, *, factor_name: str, exchan
     return lake.gold
 
 
-def _gold(spark: SparkSession, lake: Lake) -> DataFrame | None:
+def write_gold_panel(wide: DataFrame, lake: Lake, factors: Sequence[str], *, exchange: str, market: str = "spot") -> str:
+    """Several factors with default parameters, a column each, in one write; the series in ``wide`` are replaced as a whole."""
+    long = wide.select("symbol", "interval", "open_time_utc", *factors).unpivot(["symbol", "interval", "open_time_utc"], list(factors), "factor_name", "value")
+    rows = long.withColumns({"params": F.lit(params_tag(None)), "exchange": F.lit(exchange), "market": F.lit(market)})
+    _write(rows.repartition("factor_name", "symbol", "interval").sortWithinPartitions("symbol", "interval", "open_time_utc"), lake.gold, GOLD_PARTS)
+    return lake.gold
+
+
+def read_gold(spark: SparkSession, lake: Lake) -> DataFrame | None:
+    """All factors' values with their partition columns, or None without a table."""
     schema = StructType.fromDDL("open_time_utc timestamp, value double, " + ", ".join(f"{p} string" for p in GOLD_PARTS))
     try:
         return _read(spark, lake.gold, schema)
@@ -78,7 +90,7 @@ def _gold(spark: SparkSession, lake: Lake) -> DataFrame | None:
 
 def read_gold_factor(spark: SparkSession, lake: Lake, *, factor_name: str, symbol: str | None = None, interval: str | None = None, params: dict[str, Any] | None = None) -> DataFrame | None:
     """The factor's values, or None if there are none. Only its partitions are read."""
-    gold = _gold(spark, lake)
+    gold = read_gold(spark, lake)
     if gold is None:
         return None
     rows = gold.where((F.col("factor_name") == factor_name) & (F.col("params") == params_tag(params)))
@@ -89,7 +101,7 @@ def read_gold_factor(spark: SparkSession, lake: Lake, *, factor_name: str, symbo
 
 def list_gold_factors(spark: SparkSession, lake: Lake, *, symbol: str | None = None, interval: str | None = None) -> list[str]:
     """Sorted names; empty without a table."""
-    gold = _gold(spark, lake)
+    gold = read_gold(spark, lake)
     if gold is None:
         return []
     for column, wanted in (("symbol", symbol), ("interval", interval)):

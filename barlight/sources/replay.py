@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from ..functions.identifiers import segment
 from ..functions.intervals import canonical_interval
 from ..functions.timeutil import to_unix_ms
-from ..operators.ingest import parse_funding, parse_trades, parse_wire_klines, strict
+from ..operators.ingest import parse_funding, parse_trades, parse_wire_klines, strict, whole
 from ..operators.schemas import BRONZE_COLUMNS
 from .files import PLACE, read_bronze_klines
 
@@ -54,6 +54,20 @@ def earliest(df: DataFrame, time: str, limit: int, keys: Sequence[str] = ("symbo
     return df.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
+def recorded_klines(spark: SparkSession, root: str, symbols: Sequence[str], interval: str, start: datetime, end: datetime) -> DataFrame:
+    """Candles of all these symbols in [start, end), by one scan and one check; the symbol is that of the path.
+
+    Messages whose time is out of the range are left out before they are read in full, as an exchange doesn't send them.
+    """
+    interval = canonical_interval(segment(interval, field="interval"))
+    names = [segment(s, field="symbol", case="upper") for s in symbols]
+    lines = spark.read.text([f"{root.rstrip('/')}/klines/{n}/{interval}" for n in dict.fromkeys(names)])
+    at = whole(F.get_json_object("value", "$[0]"))
+    asked = lines.where(at.isNull() | ((at >= to_unix_ms(start)) & (at < to_unix_ms(end))))
+    placed = asked.select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("symbol"))
+    return strict(parse_wire_klines(placed, F.col("symbol"), interval))
+
+
 class ReplayClient(ExchangeClient):
     """Reads ``root``/klines/SYMBOL/interval, ``root``/trades/SYMBOL and ``root``/funding/SYMBOL: a JSON message in each line."""
 
@@ -72,9 +86,7 @@ class ReplayClient(ExchangeClient):
         return earliest(df.where((ms >= to_unix_ms(start)) & (ms < to_unix_ms(end))), time, limit)
 
     def fetch_klines(self, interval: str, start: datetime, end: datetime, limit: int = DEFAULT_LIMIT) -> DataFrame:
-        interval = canonical_interval(segment(interval, field="interval"))
-        rows = strict(parse_wire_klines(self._lines("klines", self.symbol, interval), self.symbol, interval))
-        return self._between(rows, F.col("open_time"), "open_time", start, end, limit)
+        return earliest(recorded_klines(self.spark, self.root, [self.symbol], interval, start, end), "open_time", limit)
 
     def fetch_trades(self, start: datetime, end: datetime, limit: int = DEFAULT_LIMIT) -> DataFrame:
         return self._between(strict(parse_trades(self._lines("trades", self.symbol))), F.unix_millis("timestamp"), "timestamp", start, end, limit)
@@ -97,10 +109,7 @@ class Downloader:
         self.spark, self.root, self.bronze, self.exchange, self.market = spark, root, bronze, exchange, market
 
     def new_bars(self, symbols: Sequence[str], interval: str, start: datetime, end: datetime) -> DataFrame:
-        frames = [ReplayClient(self.spark, self.root, s, self.exchange).fetch_klines(interval, start, end, limit=2**31 - 1) for s in symbols]
-        rows = frames[0]
-        for f in frames[1:]:
-            rows = rows.unionByName(f)
+        rows = recorded_klines(self.spark, self.root, symbols, interval, start, end)
         rows = rows.dropDuplicates(["symbol", "interval", "open_time"])
         try:
             there = read_bronze_klines(self.spark, self.bronze).select("symbol", "interval", "open_time")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.validate import validate_klines
+from ..operators.validate import ContractError, validate_klines
 from ..sources.files import PLACE, _write
 
 
@@ -20,38 +21,52 @@ def stream_bars(trades: DataFrame, length: str, time: str, price: str, quantity:
     return bars.select("symbol", F.col("window.start").alias("open_time"), F.col("_first.p").alias("open"), "high", "low", F.col("_last.p").alias("close"), "volume", "num_trades")
 
 
-def run_available(bars: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Process what is there and stop; the result is the in-memory table ``name``."""
-    query = bars.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(bars: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process what is there and stop; the candles are the table at ``path``, written by the executors anew with each batch."""
+    bars.sparkSession.createDataFrame([], bars.schema).write.mode("ignore").parquet(path)
+    query = bars.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    return bars.sparkSession.read.schema(bars.schema).parquet(path)
+
+
+def _finish(spark: SparkSession, staged: str, silver_path: str) -> None:
+    """Check the staged series and put them in the place of the old, if they have been staged as a whole; done again, it changes nothing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+        rows = spark.read.parquet(staged)
+        try:
+            validate_klines(rows, PLACE)
+        except ContractError:
+            files.delete(folder, True)
+            raise
+        _write(rows.sortWithinPartitions("open_time_utc"), silver_path, PLACE)
+    files.delete(folder, True)
 
 
 def refresh_silver(arrived: DataFrame, silver_path: str, refresh: Callable[[DataFrame], None] | None = None) -> None:
     """Merge a batch of clean candles into Silver: new rows stand for old ones of the same bar, and only touched series are rewritten.
 
     For use in foreachBatch. ``refresh`` gets the batch's series with the first time that changed, to recompute factors from there.
+    The touched series are first written beside Silver and replaced from there: what is read is never what is
+    overwritten. A refresh that broke off while it replaced them is finished by the next.
     """
-    spark = arrived.sparkSession
+    spark, staged = arrived.sparkSession, f"{silver_path.rstrip('/')}_staged"
+    _finish(spark, staged, silver_path)
     keys = [*PLACE, "open_time_utc"]
-    batch = arrived.dropDuplicates(keys).persist()
+    batch = arrived.dropDuplicates(keys)
+    touched = batch.groupBy(*PLACE).agg(F.min("open_time_utc").alias("changed_from"))
     try:
-        touched = batch.groupBy(*PLACE).agg(F.min("open_time_utc").alias("changed_from"))
-        try:
-            old = spark.read.schema(batch.schema).parquet(silver_path).join(touched.select(*PLACE), list(PLACE), "left_semi").join(batch.select(*keys), keys, "left_anti")
-            merged = old.unionByName(batch)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            merged = batch
-        # rows of the touched series are read and replaced in one go: cut them loose first
-        merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()
-        validate_klines(merged, PLACE)
-        _write(merged.sortWithinPartitions("open_time_utc"), silver_path, PLACE)
-        if refresh:
-            refresh(touched)
-    finally:
-        batch.unpersist()
+        old = spark.read.schema(batch.schema).parquet(silver_path).join(touched.select(*PLACE), list(PLACE), "left_semi").join(batch.select(*keys), keys, "left_anti")
+        merged = old.unionByName(batch)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        merged = batch
+    merged.write.mode("overwrite").option("compression", "zstd").parquet(staged)
+    _finish(spark, staged, silver_path)
+    if refresh:
+        refresh(touched)
 
 
 def stream_into_silver(spark: SparkSession, source: DataFrame, silver_path: str, checkpoint: str, refresh: Callable[[DataFrame], None] | None = None) -> StreamingQuery:

@@ -16,6 +16,7 @@ from barlight.operators import evaluate, forward_check, registry
 from barlight.operators.asof import asof_backward
 from barlight.plans import catalogue, research
 from barlight.plans.report import report_data, write_report
+from barlight.sources.files import read_gold
 from barlight.sources.layout import Lake
 from barlight.sources.replay import Downloader, ReplayClient
 from barlight.streaming import bars as streaming
@@ -224,7 +225,7 @@ def test_correlations(spark):
     assert got["a", "flat"] is None
     assert [p[:2] for p in evaluate.find_redundant_factors(evaluate.correlation_matrix(wide, ["a", "b", "c"]))] == [("a", "b")]
     with pytest.raises(ValueError):
-        evaluate.correlation_matrix(wide, ["a", "b"], "spearman")
+        evaluate.correlation_matrix(wide, ["a", "b"], "kendall")
 
 
 def test_forward_returns_stop_at_gaps(spark):
@@ -301,9 +302,121 @@ def test_command_line(spark, recordings, tmp_path):
     assert research.assess(spark, run).count() == 1
     page = write_report("momentum", report_data(research.panel(spark, run, "momentum"), run.step, max_lag=3), recordings / "r.html")
     assert page.read_text().count("<svg") == 4
-    research.incremental(spark, research.Run(run.recordings, run.lake, run.symbols, "1h", "2024-01-03", "2024-01-03T06:00:00", factors=["momentum"]))
-    live = spark.read.parquet(f"{run.lake.gold}_live")
-    assert live.count() == 18
+
+
+def gold_rows(spark, lake, factors):
+    rows = read_gold(spark, lake).where(F.col("factor_name").isin(factors)).collect()
+    out = {(r.factor_name, r.symbol, r.open_time_utc): r.value for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def alike(a, b):
+    return a.keys() == b.keys() and all(a[k] == b[k] or abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+FEW = ["momentum", "vol_reversion", "rsi"]
+
+
+def from_scratch(spark, recordings, name, end):
+    run = research.Run(str(recordings / "rec"), Lake(str(recordings / name)), ["AAA", "BBB", "CCC"], "1h", "2024-01-01", end, factors=FEW)
+    research.download(spark, run)
+    research.clean(spark, run)
+    research.compute(spark, run)
+    return gold_rows(spark, run.lake, FEW)
+
+
+def test_incremental_runs_agree_with_full_ones(spark, recordings):
+    """Into the same Silver and Gold, after a full run, with a late bar, again, and after runs that broke off between layers."""
+    from dataclasses import replace
+
+    late = recordings / "rec" / "klines" / "BBB" / "1h" / "x.json"
+    lines = late.read_text().split("\n")
+    late.write_text("\n".join(lines[:20] + lines[21:]))
+    run = research.Run(str(recordings / "rec"), Lake(str(recordings / "lake")), ["AAA", "BBB", "CCC"], "1h", "2024-01-01", "2024-01-02", factors=FEW)
+    for step in (research.download, research.clean, research.compute):
+        step(spark, run)
+    more = replace(run, end="2024-01-02T06:00:00")
+    research.incremental(spark, more)
+    assert alike(gold_rows(spark, run.lake, FEW), from_scratch(spark, recordings, "scratch", more.end))
+    late.write_text("\n".join(lines))
+    research.incremental(spark, more)
+    want = from_scratch(spark, recordings, "scratch2", more.end)
+    assert len(want) == 3 * 3 * 30
+    assert alike(gold_rows(spark, run.lake, FEW), want)
+    files = sorted(str(p) for p in (recordings / "lake").rglob("*.parquet"))
+    research.incremental(spark, more)
+    assert sorted(str(p) for p in (recordings / "lake").rglob("*.parquet")) == files
+    # a run that ended after Bronze, and one that ended after Silver
+    more = replace(run, end="2024-01-02T09:00:00")
+    research.download(spark, more)
+    research.incremental(spark, more)
+    assert alike(gold_rows(spark, run.lake, FEW), from_scratch(spark, recordings, "scratch3", more.end))
+    more = replace(run, end="2024-01-02T12:00:00")
+    research.download(spark, more)
+    research.clean(spark, more)
+    research.incremental(spark, more)
+    assert alike(gold_rows(spark, run.lake, FEW), from_scratch(spark, recordings, "scratch4", more.end))
+
+
+def test_refresh_is_finished_by_the_next_one(spark, tmp_path):
+    """A refresh that broke off with its series staged, one that broke off before, and one whose rows are refused."""
+    from .test_candles import silver
+
+    place = {"exchange": F.lit("x"), "market": F.lit("spot")}
+    path = str(tmp_path / "s")
+    streaming.refresh_silver(silver(spark, (0, 1, 2)).withColumns(place), path)
+    hours = lambda: sorted(r.open_time_utc.hour for r in spark.read.parquet(path).collect())
+    silver(spark, (0, 1, 2, 5)).withColumns(place).write.parquet(f"{path}_staged")
+    streaming.refresh_silver(silver(spark, (6,)).withColumns(place), path)
+    assert hours() == [0, 1, 2, 5, 6]
+    silver(spark, (9,)).withColumns(place).write.parquet(f"{path}_staged")
+    (tmp_path / "s_staged" / "_SUCCESS").unlink()
+    streaming.refresh_silver(silver(spark, (7,)).withColumns(place), path)
+    assert hours() == [0, 1, 2, 5, 6, 7]
+    bad = silver(spark, (8,)).withColumns(place | {"high": F.lit(0.1)})
+    with pytest.raises(ValueError):
+        streaming.refresh_silver(bad, path)
+    streaming.refresh_silver(silver(spark, (8,)).withColumns(place), path)
+    assert hours() == [0, 1, 2, 5, 6, 7, 8]
+
+
+def test_decay_by_steps(spark):
+    """Returns to bars at exactly so many steps, across gaps, by plain counting."""
+    rng = random.Random(4)
+    rows = [(f"s{k}", datetime(2024, 1, 1) + timedelta(hours=h), rng.uniform(1, 2), rng.uniform(-1, 1)) for k in range(6) for h in range(40) if rng.random() > 0.2]
+    bars = spark.createDataFrame(rows, "symbol string, open_time timestamp_ntz, close double, value double")
+    close = {(s, t): c for s, t, c, _ in rows}
+    for mode in ("cumulative", "single"):
+        want = {}
+        for lag in range(1, 6):
+            ics = []
+            for t in sorted({t for _, t, _, _ in rows}):
+                pts = []
+                for s, at, c, v in rows:
+                    base = c if mode == "cumulative" else close.get((s, t + timedelta(hours=lag - 1)))
+                    if at == t and base and (later := close.get((s, t + timedelta(hours=lag)))):
+                        pts.append((v, later / base - 1))
+                if len(pts) > 1:
+                    x, y = (pd.Series(z).rank() for z in zip(*pts, strict=True))
+                    if x.std() and y.std():
+                        ics.append(x.corr(y))
+            want[lag] = (sum(ics) / len(ics), len(ics))
+        got = {r.lag: (r.ic_mean, r.n_periods) for r in evaluate.ic_decay(bars, "1 HOUR", 5, mode=mode).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
+def test_pooled_rank_correlations(spark):
+    rng = random.Random(5)
+    rows = [(i, float(rng.randrange(9)), rng.gauss(0, 1) if i % 5 else None, 0.0 if i % 3 else rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double")
+    frame = pd.DataFrame(rows, columns=["i", "a", "b", "c"])
+    got = {(r.factor_a, r.factor_b): r.rho for r in evaluate.correlation_matrix(df, ["a", "b", "c"], "spearman").collect()}
+    for (x, y), rho in got.items():
+        both = frame[[x, y]].dropna()
+        assert abs(rho - both[x].rank().corr(both[y].rank())) < 1e-9
+    assert len(got) == 3
 
 
 def test_logger_is_attached_once():
