@@ -28,15 +28,35 @@ from .common import map_texts
 TAG = re.compile(r"""<!--|<(/?)([A-Za-z][^\s>/]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|<(/?)([A-Za-z][^\s>/]*)([^>]*)>|<[!?][^>]*>""")
 #: A tag that the page breaks off in.
 OPEN_END = re.compile(r"<[/A-Za-z!?]")
-RAW = frozenset(("script", "style", "template", "textarea", "title", "iframe", "noscript", "svg", "select", "math", "object", "canvas", "audio", "video"))
+#: What a page doesn't show as text, or only in a form.
+RAW = frozenset(("script", "style", "template", "textarea", "title", "iframe", "noscript", "svg", "select", "annotation", "annotation-xml"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"))
-INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "acronym", "ruby", "rt", "rp"))
+INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "acronym", "ruby", "rt", "rp", "math", "semantics", "mrow", "mi", "mo", "mn", "ms", "mtext", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mspace", "mfenced", "mpadded", "object", "canvas", "audio", "video", "picture"))
 #: An opening tag that ends an open element of these names.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PLACES = frozenset(("nav", "header", "footer", "aside", "article", "main", "form", "menu", "dialog", "button", "section", "figure", "table", "ul", "ol", "p", "h1", "h2", "h3", "blockquote", "pre", "a", "address"))
-NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Attributes whose values name the part of the page.
+NAMING = frozenset(("class", "id", "role", "aria-label"))
 WORD = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"display\s*:\s*none|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+
+
+def attributes_of(source: str) -> tuple[set[str], bool]:
+    """Words of the values that name an element, and whether it is hidden."""
+    names: set[str] = set()
+    hidden = False
+    for name, *values in ATTRIBUTE.findall(source):
+        name, value = name.lower(), "".join(values)
+        if name in NAMING:
+            names.update(WORD.findall(value.lower()))
+        elif name == "hidden":
+            hidden = True
+        elif name == "aria-hidden":
+            hidden |= value.strip().lower() == "true"
+        elif name == "style":
+            hidden |= bool(NOT_SHOWN.search(value))
+    return names, hidden
 
 
 @dataclass
@@ -46,6 +66,12 @@ class Block:
     linked: float
 
 
+    @property
+    def linked_list(self) -> bool:
+        """Mostly links, as menus are; in an article that says nothing: its paragraphs may be links too."""
+        return self.linked > 0.5 and not {"article", "main"} & self.around
+
+
 @dataclass
 class Tag:
     name: str
@@ -122,9 +148,9 @@ def parse(page: str) -> list[Tag | Block]:
         inside, own = stack[-1][1], set()
         if name in PLACES:
             own.add(f"{name} in article" if name in ("header", "footer", "section") and "article" in inside else name)
-        for value in NAMES.findall(attributes):
-            own.update(f".{w}" for w in WORD.findall("".join(value).lower()))
-        if name == "head" or attributes and HIDDEN.search(attributes):
+        named, hidden = attributes_of(attributes) if attributes else ((), False)
+        own.update(f".{w}" for w in named)
+        if name == "head" or hidden:
             own.add("head")
         if attributes.endswith("/") and name not in ("p", "div", "a", "span"):
             continue
@@ -147,7 +173,7 @@ NOISE = {
 CONTENT = [("article", ""), ("main", ""), ("article", "post"), ("div", "content"), ("div", "post"), ("div", "entry"), ("div", "article"), ("section", "article"), ("div", "main"), ("div", "story"), ("div", "body"), ("div", "text"), ("section", ""), ("div", "")]
 
 
-def labelled_pages(n: int, seed: int) -> Iterator[list[tuple[str, frozenset[str], float, int, bool]]]:
+def labelled_pages(n: int, seed: int) -> Iterator[list[tuple[str, frozenset[str], bool, int, bool]]]:
     """Pages as the blocks and tags that parse() gives, each with whether it is of the article."""
     rng = np.random.default_rng(seed)
     pick = lambda x: x[int(rng.integers(len(x)))]
@@ -186,7 +212,7 @@ def labelled_pages(n: int, seed: int) -> Iterator[list[tuple[str, frozenset[str]
         items = parse(f"<html><head><title>x</title></head><body>{pick((page, f'<div class={chr(34)}{pick(('page', 'wrapper', 'container', 'site'))}{chr(34)}>{page}</div>'))}</body></html>")
         kinds = [x.text.split()[0] == mark[True] if isinstance(x, Block) else None for x in items]
         inside = [i for i, k in enumerate(kinds) if k]
-        yield [(x.name if isinstance(x, Tag) else "", x.around, 0.0 if isinstance(x, Tag) else x.linked, 0 if isinstance(x, Tag) else len(x.text.split()), bool(kinds[i]) if kinds[i] is not None else inside[0] - 1 <= i <= inside[-1] + 1) for i, x in enumerate(items)]
+        yield [(x.name if isinstance(x, Tag) else "", x.around, False if isinstance(x, Tag) else x.linked_list, 0 if isinstance(x, Tag) else len(x.text.split()), bool(kinds[i]) if kinds[i] is not None else inside[0] - 1 <= i <= inside[-1] + 1) for i, x in enumerate(items)]
 
 
 @dataclass
@@ -202,7 +228,7 @@ class Weights:
         return self.bias + sum(self.words.get(f, 0.0) for f in around)
 
     def block(self, b: Block) -> float:
-        return self.place(b.around) + self.linked * (b.linked > 0.5)
+        return self.place(b.around) + self.linked * b.linked_list
 
     def tag(self, t: Tag) -> float:
         """A menu or an advert counts once, by its own tags: what is inside it scores nothing."""
@@ -215,7 +241,7 @@ def learn(n: int = 600, seed: int = 17) -> Weights:
     for page in labelled_pages(n, seed):
         for name, around, linked, size, inside in page:
             if size:
-                blocks.append((around, linked > 0.5, inside))
+                blocks.append((around, linked, inside))
             else:
                 tags[inside][name] += 1
     seen = Counter(f for around, _, _ in blocks for f in around)
