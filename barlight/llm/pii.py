@@ -29,7 +29,8 @@ Span = tuple[str, int, int]
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match begins where a run of digits does, and takes whole runs: said so, a long run is read once and not from each of its digits.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
@@ -92,9 +93,12 @@ FORMS = {
     "card": re.compile(r"[0-9](?:[ .\-]?[0-9]){11,18}"),
     "phone": re.compile(r"\+?\(?[0-9][0-9 ().\-]{5,20}[0-9]"),
 }
+#: No segment of such a form is shorter.
+SHORTEST = {"ip": 7, "card": 12, "phone": 7}
 GROUPS = re.compile(r"[0-9]+")
 
 
+@lru_cache(maxsize=1 << 15)
 def describe(kind: str, span: str, left: str, right: str) -> list[str]:
     """Features of a whole span, the character before it and the two behind it."""
     groups = GROUPS.findall(span)
@@ -149,7 +153,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int,
                 if number[j]:
                     span = text[tokens[i][0] : tokens[j][1]]
                     for kind in KINDS[1:]:
-                        if FORMS[kind].fullmatch(span):
+                        if len(span) >= SHORTEST[kind] and FORMS[kind].fullmatch(span):
                             yield i, j + 1, kind
     for k, w in enumerate(words):
         spelt = w.lower() == "at" and 0 < k < len(words) - 1 and words[k - 1] in "[({" and words[k + 1] in "])}"
@@ -321,7 +325,7 @@ def masked(text: str | None, weights: dict[str, float]) -> str | None:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Personal data of every whole text: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans.
+    """Personal data of every whole text: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and n_spans (their number, the field's included).
 
     Spans are kind:start:end in code points, end exclusive. A null text counts as empty; an empty text has no spans. Repeated
     rows are scanned alike. An empty table gives no rows. Further columns are ignored.
@@ -333,15 +337,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         for t in texts:
             base, spans = find(t, weights)
             kinds = [k for k, _, _ in base]
-            rows.append((*map(kinds.count, KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-        return None, list(zip(*rows, strict=True)) or [[]] * 6
+            rows.append((*map(kinds.count, KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans)))
+        return None, list(zip(*rows, strict=True)) or [[]] * 7
 
-    out = map_texts(docs, [key], text, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", make)
+    out = map_texts(docs, [key], text, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", make)
     return out.withColumnRenamed(key, "doc_id")
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The same rows and columns, with personal data in the text replaced by its kind. A null text stays null."""
+    """The same rows and columns, with personal data in the text replaced by its kind.
+
+    A null text stays null and an empty one empty. Rows with a null id and repeated rows are masked like others. An empty table gives no rows. Further
+    columns may have any names.
+    """
     small_batches(docs.sparkSession)
     weights = train()
 
