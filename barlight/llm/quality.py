@@ -1,8 +1,8 @@
 """Quality rules: isolation forest on rule statistics.
 
-Each document is reduced to the statistics of the rules. For each statistic an isolation forest, grown on a bounded
-sample of labelled documents, isolates a row by random splits; a short mean path marks it as anomalous. The
-thresholds on the anomaly scores are calibrated on labelled documents that the forests were not grown on.
+Each document is reduced to the statistics of the rules, each told as how far it lies outside of what good documents have. An isolation
+forest over all of them together, grown on a bounded sample of labelled documents, isolates a row by random splits; a short mean path marks it as
+anomalous. The threshold on the anomaly score is calibrated on labelled documents that the forest was not grown on.
 """
 
 from __future__ import annotations
@@ -112,27 +112,43 @@ def grow(x: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 17) -> Fo
     return Forest(*arrays, norm=max(_expected(min(rows, len(x))), 1.0), levels=levels)
 
 
+@dataclass
+class Scale:
+    """The range of each feature among good rows, and its width without the outermost hundredths."""
+
+    low: np.ndarray
+    high: np.ndarray
+    width: np.ndarray
+
+    @classmethod
+    def of(cls, good: np.ndarray) -> Scale:
+        inner = np.quantile(good, 0.99, axis=0) - np.quantile(good, 0.01, axis=0)
+        return cls(good.min(axis=0), good.max(axis=0), np.maximum(inner, 1e-3))
+
+    def outside(self, x: np.ndarray) -> np.ndarray:
+        """How far above or below the range, in widths, as a logarithm; 0 inside: among good rows, rare values are no more isolated than common ones."""
+        above, below = np.maximum(0, x - self.high), np.maximum(0, self.low - x)
+        return np.log1p(above / self.width) - np.log1p(below / self.width)
+
+
 @dataclass
 class Verdict:
-    """A forest and a threshold for each rule statistic that tells the labelled rows apart: (column of features(), forest, threshold)."""
+    """A forest over all rule statistics, the scale of its features, and the threshold on its score."""
 
-    rules: list[tuple[int, Forest, float]]
+    forest: Forest
+    scale: Scale
+    threshold: float
 
     def keep(self, stats: np.ndarray) -> np.ndarray:
-        x, out = features(stats), np.ones(len(stats), dtype=bool)
-        for column, forest, threshold in self.rules:
-            out &= forest.score(x[:, [column]]) <= threshold
-        return out
+        return self.forest.score(self.scale.outside(features(stats))) <= self.threshold
 
 
 def calibrate(stats: np.ndarray, good: np.ndarray, contamination: float = 0.02, most_lost: float = 0.0005, seed: int = 17) -> Verdict | None:
-    """Grow a forest for each rule statistic on one half of the labelled rows, put its threshold on the other.
+    """Grow the forest on one half of the labelled rows, put the threshold on the other.
 
-    The growing half holds its good rows and, as anomalies, no more than ``contamination`` of bad ones. Each
-    threshold rejects the most bad rows of the other half that it can with at most ``most_lost`` of the good.
-    A statistic by which this rejects fewer than one in a hundred bad rows is left out. One forest over all
-    statistics together does worse: good rows with a rare but harmless value of one are as isolated as bad rows.
-    None if there are no rows of both kinds.
+    The growing half holds its good rows and, as anomalies, no more than ``contamination`` of bad ones. The
+    threshold rejects the most bad rows of the other half that it can with at most ``most_lost`` of the good. None if there are no rows
+    of both kinds.
     """
     rng = np.random.default_rng(seed)
     half = rng.permutation(len(stats)) % 2 == 0
@@ -140,18 +156,16 @@ def calibrate(stats: np.ndarray, good: np.ndarray, contamination: float = 0.02,
     kind = good[~half]
     if len(well) < 8 or not len(ill) or kind.all() or not kind.any():
         return None
-    x, rules = features(stats), []
-    chosen = np.concatenate([well, ill[: max(1, int(contamination * len(well)))]])
-    for column in range(x.shape[1]):
-        forest = grow(x[chosen][:, [column]], seed=seed + column)
-        scores = forest.score(x[~half][:, [column]])
-        clean, junk = np.sort(scores[kind]), np.sort(scores[~kind])
-        floor = clean[min(len(clean) - 1, int(np.ceil((1 - most_lost) * len(clean))))]
-        above = junk[junk > floor]
-        if 100 * len(above) >= len(junk) and len(above):
-            # midway between the clean scores and the next junk, so that neither kind stands at the edge
-            rules.append((column, forest, float((floor + above[0]) / 2)))
-    return Verdict(rules)
+    x = features(stats)
+    scale = Scale.of(x[well])
+    x = scale.outside(x)
+    forest = grow(x[np.concatenate([well, ill[: max(1, int(contamination * len(well)))]])], seed=seed)
+    scores = forest.score(x[~half])
+    clean, junk = np.sort(scores[kind]), np.sort(scores[~kind])
+    floor = clean[min(len(clean) - 1, int(np.ceil((1 - most_lost) * len(clean))))]
+    above = junk[junk > floor]
+    # midway between the clean scores and the next junk, so that neither kind stands at the edge
+    return Verdict(forest, scale, float((floor + above[0]) / 2 if len(above) else max(floor, scores.max())))
 
 
 def rule_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -178,7 +192,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Verdic
 
 
 def keep(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of documents that neither the base rules nor the forest rejects, with all columns, in one pass over the texts."""
+    """The rows of documents that neither the base rules nor the forest rejects, with all columns, in one pass over the texts.
+
+    A null or empty text has no words and goes. Rows with a null id and repeated rows are judged like others, by their text. An empty table
+    gives no rows. Further columns may have any names.
+    """
     small_batches(docs.sparkSession)
     verdict = learn(docs, labels, rows)
 
