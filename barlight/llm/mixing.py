@@ -114,6 +114,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """The rows of documents, each as often as the mix takes it, with all columns."""
-    taken = mix(docs, weights, max_epochs, seed, keep=tuple(docs.columns))
-    return taken.where(F.col("passes") > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("passes").cast("int"))).alias("_pass")).drop("_pass")
+    """The rows of documents, each as often as the mix takes it, with all columns.
+
+    Nulls are read as in mix(): a null text has no words, a null source stands last, and rows with a null id are chosen together, as are rows of
+    one id. Rows without words stay as often as their source is whole. An empty table gives no rows. Further columns may have any
+    names: they travel under numbers.
+    """
+    other = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    plain = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(other)])
+    taken = mix(plain, weights, max_epochs, seed, keep=tuple(plain.columns)).where(F.col("passes") > 0)
+    often = taken.withColumn("_pass", F.explode(F.array_repeat(F.lit(0), F.col("passes").cast("int"))))
+    names = {c: f"_{i}" for i, c in enumerate(other)}
+    return often.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
