@@ -5,6 +5,7 @@ Built from DataFrame functions alone: no Python runs on the executors.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations, product
 
@@ -121,6 +122,18 @@ def near_pairs(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: i
     return found.where((F.col("distance") <= radius) & (F.col("t") == first)).select("q0", "q1", "f0", "f1", "distance")
 
 
+def among(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are no greater than the value: first among every so many, then between two of these."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    pieces = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    upto = lambda array: F.size(F.filter(array, lambda b: b <= value))
+    longs = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    piece = upto(longs([p[0] for p in pieces]))
+    return F.when(piece > 0, (piece - 1) * step + upto(F.get(F.array(*map(longs, pieces)), piece - 1))).otherwise(0)
+
+
 def _dealt(docs: DataFrame, key: str, text: str, per_part: int, most: int) -> DataFrame:
     """Rows in buckets of neighbouring ids; the first row of the next lower bucket stands in each bucket once more, as its last.
 
@@ -129,9 +142,8 @@ def _dealt(docs: DataFrame, key: str, text: str, per_part: int, most: int) -> Da
     ids = docs.select(F.col(key).cast("long").alias("id"))
     n = ids.count()
     parts = min(most, max(1, n // per_part))
-    cut = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * most)).first()[0] if parts > 1 else []
-    bounds = sorted(set(cut or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
+    cut = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
+    bucket = among(F.col("id"), sorted(set(cut or [])))
     heads = ids.withColumn("b", bucket).groupBy("b").agg(F.max("id").alias("id")).orderBy("b").collect()
     used = [r["b"] for r in heads]
     again = docs.sparkSession.createDataFrame([(r["id"], used[(i + 1) % len(used)]) for i, r in enumerate(heads)], "head long, up int")
@@ -141,7 +153,7 @@ def _dealt(docs: DataFrame, key: str, text: str, per_part: int, most: int) -> Da
     return rows.select("id", "text", F.explode(places).alias("p")).select("p.b", "p.guest", "id", "text")
 
 
-def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, per_part: int = 500, most_parts: int = 2000) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, per_part: int = 500, most_parts: int = 20_000) -> DataFrame:
     """Fingerprint each text and its edited text, whose second half is the start of the next document.
 
     Next: in descending order of the id, after the last the first; rows of one id stand in the order of a hash of the
@@ -152,7 +164,8 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     n_near: for documents whose id 100 divides, how many other documents have a fingerprint within ``radius`` bits; else null; and
     near_ids: the ids of these in ascending order, one for each row; rows with a null id are counted but have none to give.
 
-    The texts are shuffled once, by ranges of the id; all that follows stays in these partitions.
+    The texts are shuffled once, by ranges of the id; all that follows stays in these partitions. A range holds about ``per_part`` rows, or more
+    where that would make over ``most_parts`` ranges, of which the driver knows the bounds.
     """
     dealt = _dealt(docs, key, text, per_part, most_parts)
     order = Window.partitionBy("b").orderBy("guest", F.col("id").desc_nulls_last(), "tie")
