@@ -461,3 +461,20 @@ def test_entry(spark, sf):
     assert entry.entry(spark).count() > 0
     assert {"bars_hourly", "ic_summary"} <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from barlight.session import shared_folder
+
+    def session(master, named):
+        put = []
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: put[-1] if put else None, setCheckpointDir=put.append)
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: named or d))
+
+    assert shared_folder(session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
+    assert shared_folder(session("local[4]", None))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, None))
