@@ -9,6 +9,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
 from copy import deepcopy
+from dataclasses import dataclass, fields
 from typing import Any, Protocol, runtime_checkable
 
 import pandas as pd
@@ -43,40 +44,59 @@ class BaseFactor(ABC):
 
 
 Factory = Callable[[Params], FactorFunction]
-FACTOR_REGISTRY: dict[str, dict[str, Any]] = {}
+
+
+@dataclass(frozen=True)
+class Family:
+    """A factory with what the registry tells of it. Parameters are copied in and out, so that no caller changes them."""
+
+    factory: Factory
+    category: str
+    description: str
+    default_params: Params
+
+    def enter(self, name: str, families: dict[str, Family]) -> None:
+        if families.setdefault(name, self) is not self:
+            raise ValueError(f"factor {name!r} exists already")
+
+    def build(self, params: Params | None) -> FactorFunction:
+        return self.factory(deepcopy(self.default_params if params is None else params))
+
+    def told(self) -> dict[str, Any]:
+        return {f.name: deepcopy(getattr(self, f.name)) for f in fields(self)}
+
+
+FACTOR_REGISTRY: dict[str, Family] = {}
 
 
 def register_factor(name: str | None = None, *, category: str = "uncategorised", description: str = "", default_params: Params | None = None) -> Callable[[Factory], Factory]:
     """Put a factory into the registry under a new name, its own by default."""
 
     def put(factory: Factory) -> Factory:
-        key = factory.__name__ if name is None else name
-        if key in FACTOR_REGISTRY:
-            raise ValueError(f"factor {key!r} exists already")
-        FACTOR_REGISTRY[key] = {"factory": factory, "category": category, "description": description or (factory.__doc__ or "").strip(), "default_params": deepcopy(default_params or {})}
+        told = description or (factory.__doc__ or "").strip()
+        Family(factory, category, told, deepcopy(default_params or {})).enter(name if name is not None else factory.__name__, FACTOR_REGISTRY)
         return factory
 
     return put
 
 
-def _entry(name: str) -> dict[str, Any]:
+def _family(name: str) -> Family:
     if name not in FACTOR_REGISTRY:
         raise KeyError(f"no factor {name!r}; there are {sorted(FACTOR_REGISTRY)}")
     return FACTOR_REGISTRY[name]
 
 
 def get_factor_metadata(name: str) -> dict[str, Any]:
-    return deepcopy(_entry(name))
+    return _family(name).told()
 
 
 def build_factor(name: str, params: Params | None = None) -> FactorFunction:
     """Given parameters stand for the defaults as a whole: {} means none. The factory gets a copy."""
-    entry = _entry(name)
-    return entry["factory"](deepcopy(entry["default_params"] if params is None else params))
+    return _family(name).build(params)
 
 
 def list_factors(category: str | None = None) -> list[str]:
-    return [n for n, e in FACTOR_REGISTRY.items() if category is None or e["category"] == category]
+    return [n for n, f in FACTOR_REGISTRY.items() if category is None or f.category == category]
 
 
 def validate_factor_input(df: DataFrame) -> None:
