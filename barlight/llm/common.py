@@ -94,11 +94,11 @@ def numbered(df: DataFrame, group: list[str], order: list, salt: Column, rows: i
 ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, made: str, make: Callable[[list[str | None]], tuple]) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], text: str, made: str, make: Callable[[list[str | None]], tuple], end: Callable[[], None] | None = None) -> DataFrame:
     """Columns in ``keep``, untouched, with those in ``made`` ("name type, ...") that ``make`` gives for a batch of texts.
 
     ``make`` gives the row of the batch that each of its rows belongs to (None: one for each), and the columns. What is kept never
-    leaves Arrow, so that large numbers beside nulls stay what they are.
+    leaves Arrow, so that large numbers beside nulls stay what they are. ``end`` is called when a task's rows are done.
     """
     small_batches(df.sparkSession)
     fields = [f.split() for f in made.split(", ")]
@@ -114,6 +114,10 @@ def map_texts(df: DataFrame, keep: list[str], text: str, made: str, make: Callab
                 old = [c.take(rows) for c in old]
             new = [c if isinstance(c, pa.Array) else pa.array(c, type=ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*old, *new], names=[*kept, *(n for n, _ in fields)])
+        if end:
+            end()
+        # a worker serves later stages too: it keeps no buffers for them
+        pa.default_memory_pool().release_unused()
 
     source = df.select(*[F.col(c).alias(n) for c, n in zip(keep, kept, strict=True)], F.col(text).cast("string").alias("_text"))
     out = source.mapInArrow(each, ", ".join([*(f"{n} {t}" for n, t in zip(kept, types, strict=True)), *(f"{n} {t}" for n, t in fields)]))

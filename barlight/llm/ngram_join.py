@@ -46,11 +46,11 @@ PIVOTS, TRIES = 4, 8
 
 
 class Hashes(dict):
-    """Hashes of words, remembered up to a bound."""
+    """Hashes of words, remembered up to a bound and until a task ends."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
@@ -58,6 +58,11 @@ class Hashes(dict):
 HASHES = Hashes()
 
 
+def forget() -> None:
+    """Called where a task ends: the worker may serve other stages next."""
+    HASHES.clear()
+
+
 def shingle_hashes(text: str | None, n: int = N) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; of a text with fewer words, one for all of them; of none, none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
@@ -94,7 +99,7 @@ def _full_sets(docs: DataFrame) -> DataFrame:
         sets = {class_of(h): h for t in texts if len(h := shingle_hashes(t))}
         return [0] * len(sets), [list(sets), _lists(list(sets.values()))]
 
-    return map_texts(docs, [], "text", "c long, s array<long>", make)
+    return map_texts(docs, [], "text", "c long, s array<long>", make, forget)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -188,7 +193,7 @@ def _sets(docs: DataFrame, percent: int, keep: list[str]) -> DataFrame:
             warm.append(prefix[is_hot])
         return None, [*(zip(*rows, strict=True) if rows else ([], [])), _lists(maps), _lists(cold), _lists(warm)]
 
-    return stored(map_texts(docs, keep, "text", "n long, c long, m array<long>, p array<long>, q array<long>", make))
+    return stored(map_texts(docs, keep, "text", "n long, c long, m array<long>, p array<long>, q array<long>", make, forget))
 
 
 def _columns(full: DataFrame) -> DataFrame:

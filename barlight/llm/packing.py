@@ -23,7 +23,7 @@ CAPACITY = 4096
 #: The id that ends a document.
 END = array("I", [1]).tobytes()
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Letters below this are of the Latin blocks, whose case doesn't hang on their neighbours.
 LATIN = "\u0250"
 #: Byte-level vocabularies write a byte that is no visible Latin-1 character as the next free character from 256 on.
@@ -71,9 +71,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         # special tokens have a fixed case: their strings must not be made by lower-casing
-        split = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
-        for at in range(0, len(split), 64):
-            part = split[at : at + 64]
+        for at in range(0, len(texts), 64):
+            part = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts[at : at + 64]]
             self.learn(set().union(*part))
             for words in part:
                 yield b"".join(map(self.known.__getitem__, words))

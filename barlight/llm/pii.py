@@ -98,7 +98,7 @@ SHORTEST = {"ip": 7, "card": 12, "phone": 7}
 GROUPS = re.compile(r"[0-9]+")
 
 
-@lru_cache(maxsize=1 << 15)
+@lru_cache(maxsize=1 << 12)
 def describe(kind: str, span: str, left: str, right: str) -> list[str]:
     """Features of a whole span, the character before it and the two behind it."""
     groups = GROUPS.findall(span)
