@@ -25,10 +25,13 @@ LANES = 0x0000000100000001
 RADIUS, BLOCKS, FLIPS = 22, 8, 2
 
 
-def terms(text: Column) -> Column:
-    """Hashes of a text's terms: pairs of neighbouring words, lower-cased; of a text of one word, that word."""
+def word_hashes(text: Column) -> Column:
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def terms(hashes: Column) -> Column:
+    """Hashes of a text's terms: pairs of neighbouring words, lower-cased; of a text of one word, that word. hashes: a column, as it is read several times."""
     n = F.size(hashes)
     pairs = F.zip_with(F.slice(hashes, 1, F.greatest(n - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     return F.when(n == 1, hashes).otherwise(pairs)
@@ -39,11 +42,11 @@ def votes() -> list[Column]:
 
     A term that a text has several times votes as often: its weight is its count.
     """
-    second = F.xxhash64("h", F.lit(1))
+    second = F.when(F.col("h").isNotNull(), F.xxhash64("h", F.lit(1)))
     out = []
     for half, h in enumerate((F.col("h"), second)):
         for k in range(32):
-            out.append(F.sum(F.when(F.col("h").isNotNull(), F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES)))).alias(f"v{half}_{k}"))
+            out.append(F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES))).alias(f"v{half}_{k}"))
     return [*out, F.count("h").alias("weight")]
 
 
@@ -73,7 +76,8 @@ def fingerprints(rows: DataFrame, by: list[str], text: str, carry: list[str] = (
 
     What is carried must be numbers: with a string among its values the aggregation would sort all terms instead of hashing.
     """
-    exploded = rows.select(*by, *carry, F.explode_outer(terms(F.col(text))).alias("h"))
+    words = rows.select(*by, *carry, word_hashes(F.col(text)).alias("words"))
+    exploded = words.select(*by, *carry, F.explode_outer(terms(F.col("words"))).alias("h"))
     voted = exploded.groupBy(*by).agg(*votes(), *[F.max(c).alias(c) for c in carry])
     return voted.select(*by, *carry, half(0).alias("f0"), half(1).alias("f1"))
 

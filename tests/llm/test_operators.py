@@ -178,7 +178,7 @@ def test_turned_blocks_find_all_within_the_radius(spark):
 
 def test_simhash_bits_against_brute_force(spark, documents):
     t = "a b c a b d a b"
-    h = frame(spark.createDataFrame([(t,)], "t string").select(fingerprint.terms(F.col("t")).alias("h"))).h[0]
+    h = frame(spark.createDataFrame([(t,)], "t string").select(fingerprint.terms(fingerprint.word_hashes(F.col("t"))).alias("h"))).h[0]
     assert len(h) == 7 and max(Counter(h).values()) == 3
     votes = [sum(1 if x >> k & 1 else -1 for x in h) for k in range(64)]
     want = sum(1 << k for k in range(64) if votes[k] > 0)
