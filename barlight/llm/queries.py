@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, fingerprint, html_extract, licenses, mixing, ngram_join, packing, pii, quality, sharding
+from . import cdc, fingerprint, html_extract, licenses, merkle, mixing, ngram_join, packing, pii, quality, sharding
 from .common import table
 
 
@@ -50,8 +50,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_html, op4_packing, op5_mixing, op6_sharding, op7_ngram_join, op8_quality, op9_substrings, op10_licenses)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_html, op4_packing, op5_mixing, op6_sharding, op7_ngram_join, op8_quality, op9_substrings, op10_licenses, op11_merkle)}
 
 
 #: Links and their components by all pairs that share a shingle, without prefixes, hashes or bounds.
