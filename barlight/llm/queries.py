@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, fingerprint, html_extract, licenses, merkle, mixing, ngram_join, packing, pii, quality, sharding
+from . import alignment, cdc, chat, fingerprint, html_extract, licenses, merkle, mixing, ngram_join, packing, pii, quality, sharding
 from .common import table
 
 
@@ -54,8 +54,20 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents")).drop("n_one_to_one")
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are made of control strings."""
+    control = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_chats(turns.unionByName(own)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_html, op4_packing, op5_mixing, op6_sharding, op7_ngram_join, op8_quality, op9_substrings, op10_licenses, op11_merkle)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_html, op4_packing, op5_mixing, op6_sharding, op7_ngram_join, op8_quality, op9_substrings, op10_licenses, op11_merkle, op12_alignment, op13_chat)}
 
 
 #: Links and their components by all pairs that share a shingle, without prefixes, hashes or bounds.
