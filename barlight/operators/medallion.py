@@ -13,8 +13,8 @@ from .schemas import BRONZE_COLUMNS, PRICES, RENAMED, SERIES, SILVER_COLUMNS
 from .validate import ContractError, validate_klines
 
 
-def silver_projection(bronze: DataFrame) -> DataFrame:
-    """Types, names and order of Silver, lazily and unchecked. Further columns are dropped."""
+def silver_projection(bronze: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Types, names and order of Silver, lazily and unchecked. Further columns are dropped but for those in ``keep``, which stand last."""
     named = bronze.withColumnsRenamed(RENAMED)
     interval = F.when(F.col("interval").isin(MONTH, *INTERVAL_MS), F.col("interval")).otherwise(F.lower("interval"))
     made = {
@@ -24,7 +24,7 @@ def silver_projection(bronze: DataFrame) -> DataFrame:
         "interval": interval,
         "num_trades": F.col("num_trades").cast("long"),
     }
-    return named.select(*[made[c].alias(c) if c in made else F.col(c).cast("double").alias(c) for c in SILVER_COLUMNS])
+    return named.select(*[made[c].alias(c) if c in made else F.col(c).cast("double").alias(c) for c in SILVER_COLUMNS], *keep)
 
 
 def bronze_to_silver(bronze: DataFrame, keys: Sequence[str] = SERIES, ordinal: str | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import SeriesFrame
+from .reach import reaches
 from .schemas import FACTOR_INPUT, SERIES
 
 Params = dict[str, Any]
@@ -122,6 +123,12 @@ def compute_factor(name: str, df: DataFrame, params: Params | None = None, keys:
     return compute_factors(df, {column: (name, params)}, keys, time)
 
 
+def lookback(factors: dict[str, tuple[str, Params | None]], df: DataFrame, keys: Sequence[str] = SERIES, time: str = "open_time_utc") -> float:
+    """How many bars before its own a value of any of these factors hangs on, worked out from their windows over a table like ``df``; infinite without bound."""
+    empty = df.sparkSession.createDataFrame([], df.schema)
+    return max((r.back for r in reaches(compute_factors(empty, factors, keys, time), list(factors), time).values()), default=0)
+
+
 def panel(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES, time: str = "open_time_utc") -> DataFrame:
     """Wide factor columns to long rows: keys, time, factor_name, value."""
     return df.select(*keys, time, *columns).unpivot([*keys, time], list(columns), "factor_name", "value")

@@ -39,6 +39,20 @@ def row_rules() -> list[tuple[str, Column]]:
     ]
 
 
+TIME_RULES = ("close before open time", "duplicate times", "times out of order")
+
+
+def contract_rules() -> list[str]:
+    """The rules in the order in which they are reported."""
+    return [*TIME_RULES, *(name for name, _ in row_rules() if name not in TIME_RULES)]
+
+
+def first_broken_rule(duplicate: Column) -> Column:
+    """Name of the first rule that a row breaks, null for a good one. ``duplicate``: whether a row of its series has the same time."""
+    bad = dict(row_rules()) | {"duplicate times": duplicate, "times out of order": F.col("open_time_utc").isNull()}
+    return F.coalesce(*[F.when(F.coalesce(bad[r], F.lit(False)), F.lit(r)) for r in contract_rules()])
+
+
 def violations(df: DataFrame, keys: Sequence[str] = SERIES, ordinal: str | None = None) -> DataFrame:
     """One row of counts: rows, duplicate times, times out of order and each row rule.
 
@@ -74,8 +88,7 @@ def validate_klines(df: DataFrame, keys: Sequence[str] = SERIES, ordinal: str |
             raise ContractError(f"{n} is not an instant")
     if df.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
         raise ContractError("session time zone is not UTC")
-    order = ("close before open time", "duplicate times", "times out of order")
-    for rule in order if found else ():
+    for rule in TIME_RULES if found else ():
         if found[rule]:
             raise ContractError(rule, found[rule])
     for n in (*PRICES, *AMOUNTS):
@@ -84,5 +97,5 @@ def validate_klines(df: DataFrame, keys: Sequence[str] = SERIES, ordinal: str |
     if not isinstance(types["num_trades"], T.IntegralType):
         raise ContractError("num_trades is not whole")
     for rule, n in found.items():
-        if rule not in ("rows", *order) and n:
+        if rule not in ("rows", *TIME_RULES) and n:
             raise ContractError(rule, n)

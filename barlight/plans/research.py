@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import factors as _catalogue  # noqa: F401  registers the factors
-from ..functions.intervals import canonical_interval, interval_ms
+from ..functions.intervals import interval_ms
 from ..functions.timeutil import to_utc
 from ..operators import evaluate
-from ..operators.medallion import bronze_to_silver, silver_projection
-from ..operators.registry import compute_factor, compute_factors, list_factors
-from ..operators.schemas import SERIES
+from ..operators.medallion import silver_projection
+from ..operators.registry import compute_factors, list_factors
+from ..operators.validate import ContractError
 from ..session import builder, require
-from ..sources.files import build_silver, params_tag, read_bronze_klines, read_gold, read_silver_klines, write_gold_factor, write_gold_panel, write_silver_klines
-from ..sources.layout import Lake
+from ..sources import refresh
+from ..sources.files import PLACE, partitions, read_lake_bronze, read_lake_silver, write_gold_panel
+from ..sources.layout import Lake, series_names
 from ..sources.replay import Downloader
 from .report import report_data, write_report
 
@@ -52,6 +53,8 @@ class Run:
     start: str
     end: str
     exchange: str = "replay"
+    market: str = MARKET
+    quarantine: bool = False
     reports: str = "reports"
     factors: list[str] = field(default_factory=lambda: [f for f in list_factors() if f != "funding_momentum"])
 
@@ -61,31 +64,54 @@ class Run:
 
 
 def download(spark: SparkSession, run: Run) -> None:
-    Downloader(spark, run.recordings, run.lake.bronze, run.exchange).download_all(run.symbols, run.interval, to_utc(run.start), to_utc(run.end))
+    Downloader(spark, run.recordings, run.lake.bronze, run.exchange, run.market).download_all(run.symbols, run.interval, to_utc(run.start), to_utc(run.end))
 
 
-def clean(spark: SparkSession, run: Run) -> DataFrame:
-    return build_silver(spark, run.lake.bronze, run.lake.silver, ("symbol", "interval"))
+def batches(spark: SparkSession, run: Run) -> list[str]:
+    return sorted(p["batch"] for p in partitions(spark, run.lake.bronze, ("batch",)))
+
+
+def _clean_rows(spark: SparkSession, run: Run, names: Sequence[str]) -> DataFrame:
+    return silver_projection(read_lake_bronze(spark, run.lake.bronze, names), PLACE[:2])
+
+
+def clean(spark: SparkSession, run: Run) -> None:
+    """All of Bronze into Silver: one scan, which is checked while it is written."""
+    names = batches(spark, run)
+    if not names:
+        raise ContractError("no rows")
+    refresh.merge_silver(_clean_rows(spark, run, names), run.lake, run.quarantine)
+    refresh.mark(spark, run.lake, "silver", names)
 
 
 def compute(spark: SparkSession, run: Run) -> None:
-    silver = read_silver_klines(spark, run.lake.silver)
-    for name in run.factors:
-        write_gold_factor(compute_factor(name, silver), run.lake, factor_name=name, exchange=run.exchange)
+    """All factors of all series in one pass."""
+    names = refresh.done(spark, run.lake, "silver")
+    silver = read_lake_silver(spark, run.lake)
+    write_gold_panel(compute_factors(silver, {f: (f, None) for f in run.factors}, PLACE), run.lake, run.factors)
+    for factor in run.factors:
+        refresh.mark(spark, run.lake, f"gold/{factor}", sorted(names))
+
+
+def _own(silver: DataFrame, run: Run) -> DataFrame:
+    """The run's exchange, market and interval, whose series a symbol tells apart."""
+    place = series_names(run.exchange, run.market, "x", run.interval)
+    return silver.where((F.col("exchange") == place["exchange"]) & (F.col("market") == place["market"]) & (F.col("interval") == place["interval"]))
+
+
+def panels(spark: SparkSession, run: Run, factors: Sequence[str]) -> DataFrame:
+    """The run's series with forward returns and a column for each factor, in one pass."""
+    silver = _own(read_lake_silver(spark, run.lake), run).withColumnRenamed("open_time_utc", "open_time")
+    return compute_factors(evaluate.forward_returns(silver, run.step), {f: (f, None) for f in factors}, ("symbol",), "open_time")
 
 
 def panel(spark: SparkSession, run: Run, factor: str) -> DataFrame:
-    silver = read_silver_klines(spark, run.lake.silver).where(F.col("interval") == run.interval).withColumnRenamed("open_time_utc", "open_time")
-    returns = evaluate.forward_returns(silver, run.step)
-    return compute_factor(factor, returns, keys=("symbol",), time="open_time")
+    return panels(spark, run, [factor]).withColumnRenamed(factor, "value")
 
 
 def assess(spark: SparkSession, run: Run) -> DataFrame:
-    rows = [panel(spark, run, f).select(F.lit(f).alias("factor_name"), "symbol", "open_time", "value", "fwd_ret") for f in run.factors]
-    long = rows[0]
-    for r in rows[1:]:
-        long = long.unionByName(r)
-    return evaluate.ic_summary(long)
+    keys = ["symbol", "open_time", "fwd_ret"]
+    return evaluate.ic_summary(panels(spark, run, run.factors).select(*keys, *run.factors).unpivot(keys, list(run.factors), "factor_name", "value"))
 
 
 def report(spark: SparkSession, run: Run) -> list[str]:
@@ -95,49 +121,39 @@ def report(spark: SparkSession, run: Run) -> list[str]:
 STEPS = (download, clean, compute, assess, report)
 
 
-def pending_series(wanted: DataFrame, there: DataFrame | None, time: str) -> DataFrame:
-    """symbol and interval of the series that have bars in ``wanted`` which ``there`` lacks."""
-    keys = [*SERIES, time]
-    lacking = wanted.select(*keys) if there is None else wanted.select(*keys).join(there.select(*keys), keys, "left_anti")
-    return lacking.select(*SERIES).distinct()
-
-
 def incremental(spark: SparkSession, run: Run) -> None:
-    """Fetch what is new and bring Silver and Gold up to it.
+    """Fetch what is new and bring Silver and Gold up to it, reading and writing only the time buckets that the new bars reach.
 
-    What a layer lacks is told from the layer below, not from what this run has fetched: a run that broke off between two layers is
-    finished by the next, and a run that finds nothing new writes nothing. Series with a new bar, also a late one, are replaced as a
-    whole, so that no value is stale or stands twice.
+    Each download is a batch of Bronze; a log tells which batches a layer has taken up. A run that broke off between two layers is finished by the next, a
+    batch taken up twice changes nothing, and a run that finds nothing new writes nothing. A factor that has never been computed lacks all batches, and so gets
+    all its values.
     """
     download(spark, run)
-    bronze = read_bronze_klines(spark, run.lake.bronze).where(F.col("interval") == canonical_interval(run.interval))
-    clean_bars = silver_projection(bronze)
-    try:
-        silver = read_silver_klines(spark, run.lake.silver)
-    except FileNotFoundError:
-        silver = None
-    touched = pending_series(clean_bars, silver, "open_time_utc")
-    if not touched.isEmpty():
-        rows = bronze.join(touched.withColumnRenamed("symbol", "_s").select("_s"), F.upper("symbol") == F.col("_s"), "left_semi")
-        write_silver_klines(bronze_to_silver(rows), run.lake.silver, SERIES)
-    silver = read_silver_klines(spark, run.lake.silver).where(F.col("interval") == canonical_interval(run.interval))
-    gold = read_gold(spark, run.lake)
-    if gold is not None:
-        ours = gold.where(F.col("factor_name").isin(run.factors) & (F.col("params") == params_tag(None)) & (F.col("exchange") == run.exchange) & (F.col("market") == MARKET))
-        gold = ours.groupBy(*SERIES, "open_time_utc").agg(F.count_distinct("factor_name").alias("n")).where(F.col("n") == len(set(run.factors)))
-    touched = pending_series(silver, gold, "open_time_utc")
-    if not touched.isEmpty():
-        values = compute_factors(silver.join(touched, list(SERIES), "left_semi"), {f: (f, None) for f in run.factors})
-        write_gold_panel(values, run.lake, run.factors, exchange=run.exchange, market=MARKET)
+    known = batches(spark, run)
+    if pending := [b for b in known if b not in refresh.done(spark, run.lake, "silver")]:
+        refresh.merge_silver(_clean_rows(spark, run, pending), run.lake, run.quarantine)
+        refresh.mark(spark, run.lake, "silver", pending)
+    lacking: dict[tuple[str, ...], list[str]] = {}
+    for factor in run.factors:
+        have = refresh.done(spark, run.lake, f"gold/{factor}")
+        lacking.setdefault(tuple(b for b in known if b not in have), []).append(factor)
+    for names, factors in lacking.items():
+        if names:
+            refresh.refresh_gold(spark, run.lake, refresh.changes(_clean_rows(spark, run, names)), factors)
+            for factor in factors:
+                refresh.mark(spark, run.lake, f"gold/{factor}", names)
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--dry-run", action="store_true", help="name the steps and touch nothing")
     parser.add_argument("--incremental", action="store_true")
+    parser.add_argument("--quarantine", action="store_true", help="set candles that break the contract aside instead of stopping")
     for name in ("recordings", "lake", "symbols", "interval", "start", "end"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--reports", default="reports")
+    parser.add_argument("--exchange", default="replay")
+    parser.add_argument("--market", default=MARKET)
     args, log = parser.parse_args(argv), get_logger()
     steps = (incremental,) if args.incremental else STEPS
     if args.dry_run:
@@ -148,7 +164,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         log.error("recordings, lake, symbols, interval, start and end are needed")
         return 2
     spark = require(spark or builder().getOrCreate())
-    run = Run(args.recordings, Lake(args.lake), args.symbols.split(","), args.interval, args.start, args.end, reports=args.reports)
+    run = Run(args.recordings, Lake(args.lake), args.symbols.split(","), args.interval, args.start, args.end, args.exchange, args.market, args.quarantine, args.reports)
     for i, step in enumerate(steps, 1):
         log.info("step %d: %s", i, step.__name__)
         step(spark, run)

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from hashlib import sha256
 from pathlib import Path
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.medallion import bronze_to_silver
 from ..operators.schemas import BRONZE_KLINE, SILVER_KLINE
 from .layout import Lake
 
 PLACE = ("exchange", "market", "symbol", "interval")
-GOLD_PARTS = ("factor_name", "params", *PLACE)
+BUCKET = "bucket"
+BRONZE_PARTS = ("batch", *PLACE)
+SILVER_PARTS = (*PLACE, BUCKET)
+GOLD_PARTS = ("factor_name", "params", *SILVER_PARTS)
 
 
 def _read(spark: SparkSession, path: str, schema: StructType | None, kind: str = "parquet", **options: str) -> DataFrame:
@@ -59,6 +64,40 @@ def build_silver(spark: SparkSession, bronze_path: str, silver_path: str, parts:
     return read_silver_klines(spark, silver_path)
 
 
+def in_buckets(df: DataFrame, lake: Lake) -> DataFrame:
+    return df.withColumn(BUCKET, F.date_format("open_time_utc", lake.bucket))
+
+
+def read_lake_bronze(spark: SparkSession, path: str, batches: Sequence[str] | None = None) -> DataFrame:
+    """Bronze with exchange, market and batch; of the given batches alone no other folder is looked into."""
+    schema = StructType([*BRONZE_KLINE.fields, *(StructField(p, StringType()) for p in BRONZE_PARTS[:3])])
+    if batches is None:
+        return _read(spark, path, schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*[f"{path.rstrip('/')}/batch={b}" for b in batches])
+
+
+def read_lake_silver(spark: SparkSession, lake: Lake) -> DataFrame:
+    """Silver with its partition columns."""
+    return _read(spark, lake.silver, StructType([*SILVER_KLINE.fields, *(StructField(p, StringType()) for p in (*PLACE[:2], BUCKET))]))
+
+
+def write_lake_silver(silver: DataFrame, lake: Lake) -> None:
+    """Rows with exchange and market; the buckets of series that they touch are replaced."""
+    rows = in_buckets(silver, lake)
+    _write(rows.repartition(*SILVER_PARTS).sortWithinPartitions(*SILVER_PARTS, "open_time_utc"), lake.silver, SILVER_PARTS)
+
+
+def partitions(spark: SparkSession, path: str, columns: Sequence[str], **wanted: str) -> list[dict[str, str]]:
+    """The values of a table's first partition columns, those in ``wanted`` as given, from the names of its folders alone."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    literal = lambda v: re.sub(r"([\\{}\[\]*?,])", r"\\\1", escape(v))
+    pattern = fs_path("/".join([path.rstrip("/"), *(f"{c}={literal(wanted[c]) if c in wanted else '*'}" for c in columns)]))
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    places = [str(s.getPath().toString()).split("/")[-len(columns) :] for s in found]
+    return [{c: unquote(part.split("=", 1)[1]) for c, part in zip(columns, place, strict=True)} for place in places]
+
+
 def params_tag(params: dict[str, Any] | None) -> str:
     """A short name of parameters, so that factors of one family with others don't overwrite each other."""
     return "default" if not params else sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:12]
@@ -67,18 +106,22 @@ def params_tag(params: dict[str, Any] | None) -> str:
 def write_gold_factor(values: DataFrame, lake: Lake, *, factor_name: str, exchange: str, market: str = "spot", params: dict[str, Any] | None = None) -> str:
     """Values of many series (symbol, interval, open_time_utc, value) under the factor's name and parameters."""
     rows = values.select("open_time_utc", "value", "symbol", "interval").withColumns({"factor_name": F.lit(factor_name), "params": F.lit(params_tag(params)), "exchange": F.lit(exchange), "market": F.lit(market)})
-    _write(rows.repartition("symbol", "interval").sortWithinPartitions("symbol", "interval", "open_time_utc"), lake.gold, GOLD_PARTS)
-    return lake.gold
+    return _write_gold(rows, lake)
 
 
-def write_gold_panel(wide: DataFrame, lake: Lake, factors: Sequence[str], *, exchange: str, market: str = "spot") -> str:
-    """Several factors with default parameters, a column each, in one write; the series in ``wide`` are replaced as a whole."""
-    long = wide.select("symbol", "interval", "open_time_utc", *factors).unpivot(["symbol", "interval", "open_time_utc"], list(factors), "factor_name", "value")
-    rows = long.withColumns({"params": F.lit(params_tag(None)), "exchange": F.lit(exchange), "market": F.lit(market)})
-    _write(rows.repartition("factor_name", "symbol", "interval").sortWithinPartitions("symbol", "interval", "open_time_utc"), lake.gold, GOLD_PARTS)
+def _write_gold(rows: DataFrame, lake: Lake) -> str:
+    """The buckets that the rows touch are replaced; a series' bucket of a factor is one file."""
+    _write(in_buckets(rows, lake).repartition(*GOLD_PARTS).sortWithinPartitions(*GOLD_PARTS, "open_time_utc"), lake.gold, GOLD_PARTS)
     return lake.gold
 
 
+def write_gold_panel(wide: DataFrame, lake: Lake, factors: Sequence[str]) -> str:
+    """Several factors with default parameters, a column each beside exchange, market, symbol, interval and time, in one write."""
+    keys = [*PLACE, "open_time_utc"]
+    long = wide.select(*keys, *factors).unpivot(keys, list(factors), "factor_name", "value")
+    return _write_gold(long.withColumn("params", F.lit(params_tag(None))), lake)
+
+
 def read_gold(spark: SparkSession, lake: Lake) -> DataFrame | None:
     """All factors' values with their partition columns, or None without a table."""
     schema = StructType.fromDDL("open_time_utc timestamp, value double, " + ", ".join(f"{p} string" for p in GOLD_PARTS))
@@ -100,13 +143,10 @@ def read_gold_factor(spark: SparkSession, lake: Lake, *, factor_name: str, symbo
 
 
 def list_gold_factors(spark: SparkSession, lake: Lake, *, symbol: str | None = None, interval: str | None = None) -> list[str]:
-    """Sorted names; empty without a table."""
-    gold = read_gold(spark, lake)
-    if gold is None:
-        return []
-    for column, wanted in (("symbol", symbol), ("interval", interval)):
-        gold = gold.where(F.col(column) == wanted) if wanted else gold
-    return [r[0] for r in gold.select("factor_name").distinct().orderBy("factor_name").collect()]
+    """Sorted names; empty without a table. No file is opened."""
+    wanted = {k: v for k, v in (("symbol", symbol), ("interval", interval)) if v}
+    columns = GOLD_PARTS[: max((GOLD_PARTS.index(k) + 1 for k in wanted), default=1)]
+    return sorted({p["factor_name"] for p in partitions(spark, lake.gold, columns, **wanted)})
 
 
 def import_nanosecond_parquet(spark: SparkSession, path: str, times: Sequence[str]) -> DataFrame:

@@ -13,9 +13,13 @@ FORMATS = ("parquet", "json")
 
 @dataclass(frozen=True)
 class Lake:
-    """Layer tables under a root, which may be any URI that Spark can write to."""
+    """Layer tables under a root, which may be any URI that Spark can write to.
+
+    ``bucket``: the pattern by which times are dealt into buckets, whose names must sort as their times do.
+    """
 
     root: str
+    bucket: str = "yyyy-MM"
 
     def table(self, layer: str, name: str) -> str:
         return f"{self.root.rstrip('/')}/{layer}/{name}"
@@ -32,6 +36,14 @@ class Lake:
     def gold(self) -> str:
         return self.table("gold", "factors")
 
+    @property
+    def quarantine(self) -> str:
+        return self.table("quarantine", "klines")
+
+    @property
+    def log(self) -> str:
+        return self.table("log", "batches")
+
 
 def series_names(exchange: str, market: str, symbol: str, interval: str) -> dict[str, str]:
     """Safe names in the case that paths use, by partition column."""

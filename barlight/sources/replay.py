@@ -9,6 +9,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,8 @@ from ..functions.intervals import canonical_interval
 from ..functions.timeutil import to_unix_ms
 from ..operators.ingest import parse_funding, parse_trades, parse_wire_klines, strict, whole
 from ..operators.schemas import BRONZE_COLUMNS
-from .files import PLACE, read_bronze_klines
+from .files import BRONZE_PARTS, read_lake_bronze
+from .layout import series_names
 
 DEFAULT_LIMIT = 1000
 
@@ -109,20 +111,25 @@ class Downloader:
         self.spark, self.root, self.bronze, self.exchange, self.market = spark, root, bronze, exchange, market
 
     def new_bars(self, symbols: Sequence[str], interval: str, start: datetime, end: datetime) -> DataFrame:
-        rows = recorded_klines(self.spark, self.root, symbols, interval, start, end)
-        rows = rows.dropDuplicates(["symbol", "interval", "open_time"])
+        keys = ["symbol", "interval", "open_time"]
+        rows = recorded_klines(self.spark, self.root, symbols, interval, start, end).dropDuplicates(keys)
         try:
-            there = read_bronze_klines(self.spark, self.bronze).select("symbol", "interval", "open_time")
+            there = read_lake_bronze(self.spark, self.bronze)
         except FileNotFoundError:
             return rows
-        return rows.join(there, ["symbol", "interval", "open_time"], "left_anti")
-
-    def download_all(self, symbols: Sequence[str], interval: str, start: datetime, end: datetime) -> None:
-        rows = self.new_bars(symbols, interval, start, end).select(*BRONZE_COLUMNS)
-        placed = rows.withColumns({"exchange": F.lit(self.exchange), "market": F.lit(self.market)})
-        placed.write.mode("append").option("compression", "zstd").partitionBy(*PLACE).parquet(self.bronze)
-
-    def download_klines(self, symbol: str, interval: str, start: datetime, end: datetime) -> None:
-        self.download_all([symbol], interval, start, end)
-
-
+        # another exchange's or market's candles of the same name are others
+        place = series_names(self.exchange, self.market, "x", interval)
+        own = (F.col("exchange") == place["exchange"]) & (F.col("market") == place["market"]) & (F.col("interval") == place["interval"])
+        between = (F.col("open_time") >= to_unix_ms(start)) & (F.col("open_time") < to_unix_ms(end))
+        return rows.join(there.where(own & between).select(*keys), keys, "left_anti")
+
+    def download_all(self, symbols: Sequence[str], interval: str, start: datetime, end: datetime) -> str:
+        """Append the new bars as a batch of their own, whose name is given back."""
+        rows, batch = self.new_bars(symbols, interval, start, end).select(*BRONZE_COLUMNS), uuid4().hex
+        place = series_names(self.exchange, self.market, "x", interval)
+        placed = rows.withColumns({c: F.lit(place[c]) for c in ("exchange", "market")} | {"batch": F.lit(batch)})
+        placed.write.mode("append").option("compression", "zstd").partitionBy(*BRONZE_PARTS).parquet(self.bronze)
+        return batch
+
+    def download_klines(self, symbol: str, interval: str, start: datetime, end: datetime) -> str:
+        return self.download_all([symbol], interval, start, end)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.validate import ContractError, validate_klines
-from ..sources.files import PLACE, _write
+from ..sources.layout import Lake
+from ..sources.refresh import changes, merge_silver
 
 
 def stream_bars(trades: DataFrame, length: str, time: str, price: str, quantity: str, symbol: str, late: str = "1 hour") -> DataFrame:
@@ -29,48 +28,15 @@ def run_available(bars: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return bars.sparkSession.read.schema(bars.schema).parquet(path)
 
 
-def _finish(spark: SparkSession, staged: str, silver_path: str) -> None:
-    """Check the staged series and put them in the place of the old, if they have been staged as a whole; done again, it changes nothing."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-        rows = spark.read.parquet(staged)
-        try:
-            validate_klines(rows, PLACE)
-        except ContractError:
-            files.delete(folder, True)
-            raise
-        _write(rows.sortWithinPartitions("open_time_utc"), silver_path, PLACE)
-    files.delete(folder, True)
-
-
-def refresh_silver(arrived: DataFrame, silver_path: str, refresh: Callable[[DataFrame], None] | None = None) -> None:
-    """Merge a batch of clean candles into Silver: new rows stand for old ones of the same bar, and only touched series are rewritten.
-
-    For use in foreachBatch. ``refresh`` gets the batch's series with the first time that changed, to recompute factors from there.
-    The touched series are first written beside Silver and replaced from there: what is read is never what is
-    overwritten. A refresh that broke off while it replaced them is finished by the next.
-    """
-    spark, staged = arrived.sparkSession, f"{silver_path.rstrip('/')}_staged"
-    _finish(spark, staged, silver_path)
-    keys = [*PLACE, "open_time_utc"]
-    batch = arrived.dropDuplicates(keys)
-    touched = batch.groupBy(*PLACE).agg(F.min("open_time_utc").alias("changed_from"))
-    try:
-        old = spark.read.schema(batch.schema).parquet(silver_path).join(touched.select(*PLACE), list(PLACE), "left_semi").join(batch.select(*keys), keys, "left_anti")
-        merged = old.unionByName(batch)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        merged = batch
-    merged.write.mode("overwrite").option("compression", "zstd").parquet(staged)
-    _finish(spark, staged, silver_path)
+def refresh_silver(arrived: DataFrame, lake: Lake, refresh: Callable[[DataFrame], None] | None = None, quarantine: bool = False) -> None:
+    """Merge a batch of clean candles into Silver; for use in foreachBatch. ``refresh`` gets the batch's series with the first and last time that changed, to recompute factors there."""
+    merge_silver(arrived, lake, quarantine)
     if refresh:
-        refresh(touched)
+        refresh(changes(arrived))
 
 
-def stream_into_silver(spark: SparkSession, source: DataFrame, silver_path: str, checkpoint: str, refresh: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """A stream of clean candles into Silver, batch by batch, until what is there is done."""
-    query = source.writeStream.foreachBatch(lambda df, _: refresh_silver(df, silver_path, refresh)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_into_silver(spark: SparkSession, source: DataFrame, lake: Lake, checkpoint: str, refresh: Callable[[DataFrame], None] | None = None, quarantine: bool = False) -> StreamingQuery:
+    """A stream of clean candles into Silver, batch by batch, until what is there is done. A batch that is given again after a failure changes nothing."""
+    query = source.writeStream.foreachBatch(lambda df, _: refresh_silver(df, lake, refresh, quarantine)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

@@ -19,7 +19,6 @@ from barlight.plans.report import report_data, write_report
 from barlight.sources.files import read_gold
 from barlight.sources.layout import Lake
 from barlight.sources.replay import Downloader, ReplayClient
-from barlight.streaming import bars as streaming
 
 T0 = datetime(2024, 1, 1, tzinfo=UTC)
 COLUMNS = "symbol string, interval string, open_time_utc timestamp, open double, high double, low double, close double, volume double, quote_volume double, taker_buy_volume double, funding_rate double"
@@ -359,28 +358,6 @@ def test_incremental_runs_agree_with_full_ones(spark, recordings):
     assert alike(gold_rows(spark, run.lake, FEW), from_scratch(spark, recordings, "scratch4", more.end))
 
 
-def test_refresh_is_finished_by_the_next_one(spark, tmp_path):
-    """A refresh that broke off with its series staged, one that broke off before, and one whose rows are refused."""
-    from .test_candles import silver
-
-    place = {"exchange": F.lit("x"), "market": F.lit("spot")}
-    path = str(tmp_path / "s")
-    streaming.refresh_silver(silver(spark, (0, 1, 2)).withColumns(place), path)
-    hours = lambda: sorted(r.open_time_utc.hour for r in spark.read.parquet(path).collect())
-    silver(spark, (0, 1, 2, 5)).withColumns(place).write.parquet(f"{path}_staged")
-    streaming.refresh_silver(silver(spark, (6,)).withColumns(place), path)
-    assert hours() == [0, 1, 2, 5, 6]
-    silver(spark, (9,)).withColumns(place).write.parquet(f"{path}_staged")
-    (tmp_path / "s_staged" / "_SUCCESS").unlink()
-    streaming.refresh_silver(silver(spark, (7,)).withColumns(place), path)
-    assert hours() == [0, 1, 2, 5, 6, 7]
-    bad = silver(spark, (8,)).withColumns(place | {"high": F.lit(0.1)})
-    with pytest.raises(ValueError):
-        streaming.refresh_silver(bad, path)
-    streaming.refresh_silver(silver(spark, (8,)).withColumns(place), path)
-    assert hours() == [0, 1, 2, 5, 6, 7, 8]
-
-
 def test_decay_by_steps(spark):
     """Returns to bars at exactly so many steps, across gaps, by plain counting."""
     rng = random.Random(4)
@@ -424,19 +401,6 @@ def test_logger_is_attached_once():
     assert len(research.get_logger("x").handlers) == 1
 
 
-def test_stream_refresh_replaces_touched_series(spark, tmp_path):
-    from .test_candles import silver
-
-    place = {"exchange": F.lit("x"), "market": F.lit("spot")}
-    path, touched = str(tmp_path / "s"), []
-    streaming.refresh_silver(silver(spark, (0, 1, 2)).withColumns(place), path)
-    newer = silver(spark, (2, 3)).withColumns(place | {"close": F.lit(1.75)})
-    streaming.refresh_silver(newer, path, lambda t: touched.extend(t.collect()))
-    rows = spark.read.parquet(path).orderBy("open_time_utc").collect()
-    assert [r.close for r in rows] == [1.5, 1.5, 1.75, 1.75]
-    assert [(t.symbol, t.changed_from.hour) for t in touched] == [("BTC", 2)]
-
-
 # ---- catalogue
 
 
