@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .spread import average_ranks, ntiles
+
 KEY, TIME = "symbol", "open_time"
 
 
@@ -38,28 +40,6 @@ def average_rank(value: str, by: Sequence[str]) -> Column:
     return ahead + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def pooled_ranks(df: DataFrame, value: str, out: str, buckets: int = 256, by: Sequence[str] = ()) -> DataFrame:
-    """Average ranks over a whole table, or each of its few groups, without sorting one in one task.
-
-    Distinct values are counted, cut into ranges by approximate quantiles, and summed within each range; a table of
-    the ranges' totals gives each its start. No column of ``by`` may be null.
-    """
-    group = list(by)
-    counts = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    # a row of cuts for each group: small, so it is sent to all
-    cuts = df.groupBy(*group).agg(F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).alias("_cuts"))
-    dealt = counts.join(F.broadcast(cuts), group) if group else counts.crossJoin(F.broadcast(cuts))
-    dealt = dealt.withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-    ahead = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy(*group, "_b").agg(F.sum("_n").alias("_all")).withColumn("_start", F.coalesce(F.sum("_all").over(ahead), F.lit(0))).drop("_all")
-    upto = F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy(value))
-    ranks = dealt.withColumn("_upto", upto).join(F.broadcast(totals), [*group, "_b"]).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(value).alias("_v"), (F.col("_start") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    same = F.col(value) == F.col("_v")
-    for i, g in enumerate(group):
-        same &= F.col(g) == F.col(f"_g{i}")
-    return df.join(ranks, same).drop("_v", *[f"_g{i}" for i in range(len(group))])
-
-
 def complete(panel: DataFrame, *columns: str) -> DataFrame:
     good = F.lit(True)
     for c in columns:
@@ -67,10 +47,12 @@ def complete(panel: DataFrame, *columns: str) -> DataFrame:
     return panel.where(good)
 
 
-def ic_series(panel: DataFrame, value: str = "value", ret: str = "fwd_ret", by: Sequence[str] = (TIME,), method: str = "spearman", min_obs: int = 2) -> DataFrame:
-    """Information coefficient of each cross-section: by, ic, n."""
+def ic_series(panel: DataFrame, value: str = "value", ret: str = "fwd_ret", by: Sequence[str] = (TIME,), method: str = "spearman", min_obs: int = 2, spread: bool = False) -> DataFrame:
+    """Information coefficient of each cross-section: by, ic, n. ``spread``: ranks by ranges of values, for cross-sections that are too large for one task."""
     rows = complete(panel, value, ret)
-    if method == "spearman":
+    if method == "spearman" and spread:
+        rows = average_ranks(average_ranks(rows.select(*by, value, ret), value, "_x", by), ret, "_y", by)
+    elif method == "spearman":
         rows = rows.select(*by, average_rank(value, by).alias("_x"), average_rank(ret, by).alias("_y"))
     elif method == "pearson":
         rows = rows.select(*by, F.col(value).alias("_x"), F.col(ret).alias("_y"))
@@ -86,7 +68,7 @@ def compute_rank_ic(panel: DataFrame, value: str = "value", ret: str = "fwd_ret"
 
 def pooled_rank_ic(panel: DataFrame, value: str = "value", ret: str = "fwd_ret") -> DataFrame:
     rows = complete(panel, value, ret).select(value, ret)
-    ranked = pooled_ranks(pooled_ranks(rows, value, "_x"), ret, "_y")
+    ranked = average_ranks(average_ranks(rows, value, "_x"), ret, "_y")
     return ranked.agg(correlation("_x", "_y").alias("ic"), F.count("*").alias("n"))
 
 
@@ -102,9 +84,11 @@ def ranked_factors(summary: DataFrame, k: int, factor: str = "factor_name") -> D
     return summary.orderBy(F.abs("ic_mean").desc_nulls_last(), factor).limit(k)
 
 
-def grouped(panel: DataFrame, n_groups: int = 5, value: str = "value", ret: str = "fwd_ret", key: str = KEY, time: str = TIME) -> DataFrame:
-    """Complete rows with ``bucket``: 1 to n_groups by value in each cross-section, equal values by key."""
+def grouped(panel: DataFrame, n_groups: int = 5, value: str = "value", ret: str = "fwd_ret", key: str = KEY, time: str = TIME, spread: bool = False) -> DataFrame:
+    """Complete rows with ``bucket``: 1 to n_groups by value in each cross-section, equal values by key. ``spread``: for cross-sections that are too large for one task."""
     rows = complete(panel, value, ret)
+    if spread:
+        return ntiles(rows, n_groups, [value, key], "bucket", [time])
     return rows.withColumn("bucket", F.ntile(n_groups).over(Window.partitionBy(time).orderBy(value, key)))
 
 
@@ -168,7 +152,7 @@ def correlation_matrix(wide: DataFrame, factors: Sequence[str], method: str = "p
         if by:
             ranked = rows.select(*group, average_rank("x", group).alias("x"), average_rank("y", group).alias("y"))
         else:
-            ranked = pooled_ranks(pooled_ranks(rows, "x", "_x", by=group), "y", "_y", by=group).select(*group, F.col("_x").alias("x"), F.col("_y").alias("y"))
+            ranked = average_ranks(average_ranks(rows, "x", "_x", group), "y", "_y", group).select(*group, F.col("_x").alias("x"), F.col("_y").alias("y"))
         long = ranked.groupBy(*group).agg(correlation("x", "y").alias("rho"))
     return long.groupBy("factor_a", "factor_b").agg(F.avg("rho").alias("rho"))
 

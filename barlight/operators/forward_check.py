@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .reach import reaches
 from .schemas import SERIES
 
 Compute = Callable[[DataFrame], DataFrame]
@@ -38,18 +38,11 @@ def prefix_mismatches(compute: Compute, df: DataFrame, cuts: Sequence, time: str
     return joined.groupBy(F.col(time).alias("cut")).agg(F.count("*").alias("n_rows"), F.sum((~same).cast("long")).alias("n_mismatch"))
 
 
-def looks_ahead(df: DataFrame) -> list[str]:
-    """Window frames of the analyzed plan that reach beyond the current row.
-
-    A help, not a proof: it reads the plan's text, and what pandas functions do isn't in it.
+def looks_ahead(df: DataFrame, columns: Sequence[str] | None = None, time: str = "open_time_utc") -> list[str]:
+    """Those of the columns (all by default) that hang on rows of later times, by a walk through the analysed plan: leads, frames that reach behind the own row, whole
+    partitions, and joins with rows whose time is later. What functions in Python do can't be seen, and so counts as looking ahead.
     """
-    plan = df._jdf.queryExecution().analyzed().toString()
-    bad = []
-    for frame in re.findall(r"specifiedwindowframe\((\w+), (.+?), (.+?)\)(?=[,)\s])", plan):
-        upper = frame[2].rstrip(")")
-        if upper == "unboundedfollowing$()" or upper.startswith("unboundedfollowing") or re.fullmatch(r"[1-9]\d*", upper):
-            bad.append(", ".join(frame))
-    return bad
+    return [c for c, r in reaches(df, columns or df.columns, time).items() if r.ahead > 0]
 
 
 def timestamp_alignment(factor: DataFrame, data: DataFrame, time: str = "open_time_utc", keys: Sequence[str] = SERIES) -> DataFrame:

@@ -10,12 +10,14 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
 from copy import deepcopy
 from dataclasses import dataclass, fields
+from math import isinf
 from typing import Any, Protocol, runtime_checkable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import BLOCK, HALO, own_rows, with_halo
 from ..functions.series import SeriesFrame
 from .reach import reaches
 from .schemas import FACTOR_INPUT, SERIES
@@ -119,6 +121,15 @@ def compute_factors(df: DataFrame, factors: dict[str, tuple[str, Params | None]]
     return frame.finish(**values)
 
 
+def compute_factors_in_blocks(df: DataFrame, factors: dict[str, tuple[str, Params | None]], keys: Sequence[str] = SERIES, time: str = "open_time_utc", width: str = "30 DAYS") -> DataFrame:
+    """As compute_factors(), with series cut into blocks of time, so that a series may be most of the table. Factors whose windows have no bound are refused."""
+    validate_factor_input(df)
+    rows = lookback(factors, df, keys, time)
+    if isinf(rows):
+        raise ValueError("a factor without a bounded lookback can't be computed in blocks")
+    return own_rows(compute_factors(with_halo(df, keys, time, int(rows), width), factors, [*keys, BLOCK], time))
+
+
 def compute_factor(name: str, df: DataFrame, params: Params | None = None, keys: Sequence[str] = SERIES, time: str = "open_time_utc", column: str = "value") -> DataFrame:
     return compute_factors(df, {column: (name, params)}, keys, time)
 
@@ -134,23 +145,27 @@ def panel(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES, t
     return df.select(*keys, time, *columns).unpivot([*keys, time], list(columns), "factor_name", "value")
 
 
-def pandas_factor(function: Callable[[pd.DataFrame], pd.Series], df: DataFrame, keys: Sequence[str] = SERIES, time: str = "open_time_utc", column: str = "value") -> DataFrame:
+def pandas_factor(function: Callable[[pd.DataFrame], pd.Series], df: DataFrame, keys: Sequence[str] = SERIES, time: str = "open_time_utc", column: str = "value", lookback: int | None = None, width: str = "30 DAYS") -> DataFrame:
     """A factor written in pandas, series by series: keys, time and value.
 
-    The function gets a series indexed by time and must give a value for each of its times.
+    The function gets a series indexed by time and must give a value for each of its times. With ``lookback``, the number of bars before its own that a value hangs on,
+    it gets a block of time with so many bars before it, so that no series is held as a whole.
     """
     validate_factor_input(df)
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in (*keys, time)), f"{column} double"])
+    rows = df if lookback is None else with_halo(df, keys, time, lookback, width)
 
     def each(series: pd.DataFrame) -> pd.DataFrame:
-        indexed = series.sort_values(time).set_index(time)
-        values = function(indexed)
+        ordered = series.sort_values(time)
+        given = ordered.drop(columns=[BLOCK, HALO], errors="ignore").set_index(time)
+        values = function(given)
         if not isinstance(values, pd.Series):
             raise TypeError("a pandas factor must give a Series")
-        if not values.index.equals(indexed.index):
+        if not values.index.equals(given.index):
             raise ValueError("a pandas factor must give a value for each time")
-        out = indexed[list(keys)].assign(**{column: values.astype(float)}).reset_index()
+        out = given[list(keys)].assign(**{column: values.astype(float)}).reset_index()
         out[column] = out[column].astype(object).where(out[column].notna(), None)
-        return out[[*keys, time, column]]
+        own = out if lookback is None else out[~ordered[HALO].to_numpy()]
+        return own[[*keys, time, column]]
 
-    return df.groupBy(*[F.col(k) for k in keys]).applyInPandas(each, schema)
+    return rows.groupBy(*[F.col(k) for k in keys], *([] if lookback is None else [F.col(BLOCK)])).applyInPandas(each, schema)

@@ -1,0 +1,246 @@
+"""Series in time blocks, as-of joins in blocks, ranks of huge cross-sections, and the walk that finds look-ahead."""
+
+import bisect
+import random
+from datetime import UTC, datetime, timedelta
+from statistics import median
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+import barlight.factors  # noqa: F401
+from barlight.functions import blocks
+from barlight.operators import evaluate, forward_check, reach, registry, spread
+from barlight.operators.asof import asof_backward
+
+from .test_factors import COLUMNS
+
+T0 = datetime(2024, 1, 1, tzinfo=UTC)
+
+
+@pytest.fixture
+def small_partitions(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def gappy(spark, sizes, seed=1):
+    """Hourly series of so many bars by symbol, a third of the hours and some whole weeks missing."""
+    rng, rows = random.Random(seed), []
+    for s, n in sizes.items():
+        h = 0
+        while n:
+            h += 1 if rng.random() > 0.01 else 24 * 20
+            if rng.random() < 0.7:
+                c = rng.uniform(1, 2)
+                rows.append((s, "1h", T0 + timedelta(hours=h), c, c, c, c, 1.0 + h % 3, 2.0 + h % 5, 0.5, 0.01 * h if h % 4 else None))
+                n -= 1
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+def same(a, b, columns):
+    key = lambda r: (r.symbol, r.open_time_utc)
+    x, y = (sorted(d.collect(), key=key) for d in (a, b))
+    assert len(x) == len(y) > 0
+    for r, q in zip(x, y, strict=True):
+        assert key(r) == key(q)
+        for c in columns:
+            assert (r[c] is None) == (q[c] is None) and (r[c] is None or abs(r[c] - q[c]) < 1e-9), (key(r), c)
+
+
+# ---- series in blocks
+
+
+@pytest.mark.parametrize("width", ["1 DAY", "7 DAYS", "1 HOUR"])
+def test_factors_in_blocks_are_those_of_whole_series(spark, width):
+    df, names = gappy(spark, {"A": 400, "B": 30, "C": 1}), registry.list_factors()
+    factors = {f: (f, None) for f in names}
+    same(registry.compute_factors_in_blocks(df, factors, width=width), registry.compute_factors(df, factors), names)
+
+
+def test_a_block_has_few_rows_of_others(spark):
+    df = gappy(spark, {"A": 300, "B": 20})
+    got = blocks.with_halo(df, ["symbol"], "open_time_utc", 7, "1 DAY")
+    counts = got.groupBy("symbol", blocks.BLOCK).agg(F.sum(F.col(blocks.HALO).cast("int")).alias("h"), F.count("*").alias("n")).orderBy("symbol", blocks.BLOCK).collect()
+    before = {}
+    for r in counts:
+        assert r.h == min(7, before.get(r.symbol, 0))
+        before[r.symbol] = before.get(r.symbol, 0) + r.n - r.h
+    assert blocks.own_rows(got).count() == 320
+    assert blocks.with_halo(df, ["symbol"], "open_time_utc", 0, "1 DAY").where(blocks.HALO).count() == 0
+
+
+def test_no_task_has_most_of_a_long_series(spark, small_partitions):
+    """One symbol has nine in ten rows: plain windows put them into one task, blocks don't."""
+    df = gappy(spark, {"hot": 9000, **{f"s{i}": 100 for i in range(10)}})
+    factors = {"v": ("vol_reversion", None)}
+    tasks = lambda d: sorted(r.n for r in d.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("v")).collect())
+    plain = tasks(registry.compute_factors(df, factors))
+    assert plain[-1] >= 9000
+    spread_out = tasks(registry.compute_factors_in_blocks(df, factors, width="3 DAYS"))
+    assert len(spread_out) == 8 and spread_out[-1] <= 4 * median(spread_out)
+
+
+def test_pandas_factors_in_blocks(spark):
+    df = gappy(spark, {"A": 300, "B": 40})
+    longest = spark.sparkContext.accumulator(0)
+    function = lambda d: d.close.rolling(14).mean() / d.close.shift(5)
+    same(registry.pandas_factor(function, df, lookback=13, width="2 DAYS"), registry.pandas_factor(function, df), ["value"])
+
+    def counted(d):
+        longest.add(1 if len(d) > 13 + 48 else 0)
+        return function(d)
+
+    registry.pandas_factor(counted, df, lookback=13, width="2 DAYS").count()
+    assert longest.value == 0
+
+
+def test_factors_without_bound_are_refused_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(registry, "FACTOR_REGISTRY", {})
+    registry.register_factor("ever")(lambda p: lambda s: F.max("close").over(s.window))
+    with pytest.raises(ValueError, match="bounded"):
+        registry.compute_factors_in_blocks(gappy(spark, {"A": 5}), {"v": ("ever", None)})
+
+
+# ---- as-of in blocks
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("width", [5, 40, 10_000])
+def test_asof_in_blocks(spark, keyed, width):
+    """Against bisection: gaps of many blocks, equal times, null keys and times, values that are null."""
+    rng = random.Random(width)
+    left = [(rng.choice("abc") if rng.random() > 0.05 else None, rng.randrange(-50, 900) if rng.random() > 0.03 else None, i) for i in range(400)]
+    right = [(rng.choice("ab") if rng.random() > 0.05 else None, t, rng.choice([None, *range(5)])) for t in rng.sample(range(900), 40) for _ in range(rng.choice([1, 1, 2])) if not 200 < t < 600]
+    right.append(("a", None, 9))
+    got = asof_backward(spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "k string, u int, v int"), "t", "u", ["v"], ["k"] if keyed else [], width) if keyed else asof_backward(spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "q string, u int, v int"), "t", "u", ["v"], [], width)
+    null_low = lambda v: (v is not None, v or 0)
+    known = {}
+    for k, u, v in sorted((r for r in right if r[1] is not None), key=lambda r: (r[1], null_low(r[2]))):
+        known.setdefault(k if keyed else 0, []).append((u, v))
+    want = {}
+    for k, t, i in left:
+        series = known.get(k if keyed else 0, [])
+        at = 0 if t is None else bisect.bisect_right([u for u, _ in series], t)
+        want[i] = series[at - 1][1] if at else None
+    assert {r.i: r.v for r in got.collect()} == want
+
+
+def test_a_side_without_keys_is_shared_not_multiplied(spark, small_partitions):
+    left = spark.range(9000).select((F.col("id") % 9).cast("string").alias("k"), (F.col("id") / 9).cast("long").alias("t"))
+    right = spark.range(0, 1000, 5).select(F.col("id").alias("u"), (F.col("id") * 2).alias("v"))
+    got = asof_backward(left, right, "t", "u", ["v"], width=20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    tasks = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("v")).collect()]
+    assert len(tasks) == 8 and max(tasks) <= 4 * median(tasks)
+    assert got.where("v = 2 * (t - t % 5)").count() == 9000
+
+
+# ---- huge cross-sections
+
+
+def test_spread_ranks_and_ntiles(spark, small_partitions):
+    """One time has nine in ten rows, and a third of these one value."""
+    rng = random.Random(6)
+    rows = [(1 if rng.random() < 0.9 else rng.choice([2, 3, None]), 0.0 if rng.random() < 0.33 else round(rng.gauss(0, 1), rng.choice([1, 6])), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "t int, v double, i int").repartition(8)
+    got = spread.average_ranks(df, "v", "k", ["t"])
+    frame = pd.DataFrame(rows, columns=["t", "v", "i"])
+    want = dict(zip(frame.i, frame.groupby("t", dropna=False).v.rank(), strict=True))
+    assert {r.i: r.k for r in got.collect()} == want
+    tiles = {r.i: r.g for r in spread.ntiles(df, 7, ["v", "i"], "g", ["t"]).collect()}
+    plain = {r.i: r.g for r in df.withColumn("g", F.ntile(7).over(Window.partitionBy("t").orderBy("v", "i"))).collect()}
+    assert tiles == plain
+    few = spark.createDataFrame([(1, float(i), i) for i in range(3)], "t int, v double, i int")
+    assert sorted(r.g for r in spread.ntiles(few, 5, ["v"], "g", ["t"]).collect()) == [1, 2, 3]
+    # ranges are no larger than others, though one group is nearly all
+    tasks = [r["count"] for r in spread.placed(df, ["t"], ["v"]).groupBy("_part").count().collect()]
+    assert len(tasks) == 8 and max(tasks) <= 2 * median(tasks)
+
+
+def test_spread_evaluation_agrees_with_windows(spark):
+    rng = random.Random(9)
+    rows = [(f"s{i}", 1 if i % 10 else 2, rng.choice([None, 0.0, rng.random()]), rng.choice([0.0, rng.random()])) for i in range(600)]
+    panel = spark.createDataFrame(rows, "symbol string, open_time int, value double, fwd_ret double")
+    ics = lambda **k: {r.open_time: (round(r.ic, 9), r.n) for r in evaluate.ic_series(panel, **k).collect()}
+    assert ics(spread=True) == ics()
+    told = lambda **k: {r.symbol: r.bucket for r in evaluate.grouped(panel, **k).collect()}
+    assert told(spread=True) == told()
+
+
+def test_ranks_of_nothing(spark):
+    empty = spark.createDataFrame([], "t int, v double")
+    assert spread.average_ranks(empty, "v", "k", ["t"]).count() == 0
+    assert spread.ntiles(empty, 3, ["v"], "g").count() == 0
+
+
+# ---- look-ahead by the plan
+
+
+def test_reaches(spark):
+    d, t = spark.createDataFrame([], COLUMNS), "open_time_utc"
+    w = Window.partitionBy("symbol").orderBy(t)
+    inf = float("inf")
+    windows = {
+        "lag": (F.lag("close", 3).over(w), (3, 0)),
+        "lead": (F.lead("close", 2).over(w), (0, 2)),
+        "negative": (F.lag("close", -1).over(w), (0, 1)),
+        "frame": (F.avg("close").over(w.rowsBetween(-4, 0)), (4, 0)),
+        "centred": (F.avg("close").over(w.rowsBetween(-2, 2)), (2, 2)),
+        "whole": (F.avg("close").over(Window.partitionBy("symbol")), (inf, inf)),
+        "running": (F.sum("close").over(w), (inf, 0)),
+        "last": (F.last("close").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)), (0, inf)),
+        "first": (F.first("close").over(w.rowsBetween(0, Window.unboundedFollowing)), (0, inf)),
+        "seconds": (F.sum("close").over(w.orderBy(F.col(t).cast("long")).rangeBetween(-3600, 3600)), (inf, inf)),
+        "seconds back": (F.sum("close").over(w.orderBy(F.col(t).cast("long")).rangeBetween(-3600, 0)), (inf, 0)),
+        "descending": (F.lag("close").over(Window.partitionBy("symbol").orderBy(F.desc(t))), (0, 1)),
+        "nulls": (F.lag("close", 1, None).over(w), (1, 0)),
+        "cross-section": (F.rank().over(Window.partitionBy(t).orderBy("close")), (0, 0)),
+        "by value": (F.lag("close").over(Window.partitionBy("symbol").orderBy("close")), (inf, inf)),
+    }
+    df = d.withColumns({c: v for c, (v, _) in windows.items()}).withColumn("on top", F.avg("lag").over(w.rowsBetween(-4, 0)) + F.col("centred"))
+    got = reach.reaches(df, [*windows, "on top", "close"])
+    assert {c: (r.back, r.ahead) for c, r in got.items()} == {c: r for c, (_, r) in windows.items()} | {"on top": (7, 2), "close": (0, 0)}
+
+
+def test_reaches_of_joins_and_groups(spark):
+    d, t, inf = spark.createDataFrame([], COLUMNS), "open_time_utc", float("inf")
+
+    def moved(shift):
+        return d.join(d.select("symbol", F.expr(shift).alias(t), F.col("close").alias("other")), ["symbol", t], "left")
+
+    other = d.select(F.col("symbol").alias("s"), F.col(t).alias("u"), F.col("close").alias("other"))
+    on = lambda c: d.join(other, (F.col("s") == F.col("symbol")) & c)
+    u, v = F.col("u"), F.col(t)
+    cases = {
+        "next hour": (moved(f"{t} - INTERVAL 1 HOUR"), True),
+        "last hour": (moved(f"{t} + INTERVAL 1 HOUR"), False),
+        "same hour": (moved(t), False),
+        "later": (on(u > v), True),
+        "earlier": (on(u <= v), False),
+        "up to an hour on": (on((u >= v) & (u <= v + F.expr("INTERVAL 1 HOUR"))), True),
+        "the hour before": (on((u > v - F.expr("INTERVAL 1 HOUR")) & (v >= u)), False),
+        "any": (on(F.lit(True)), True),
+        "mean of the series": (d.join(d.groupBy("symbol").agg(F.avg("close").alias("other")), "symbol"), True),
+        "mean of the hour": (d.join(d.groupBy(t).agg(F.avg("close").alias("other")), t), False),
+        "pandas": (d.groupBy("symbol").applyInPandas(lambda x: x, d.schema).withColumn("other", F.col("close")), True),
+    }
+    for name, (df, leaks) in cases.items():
+        assert forward_check.looks_ahead(df, ["other"]) == (["other"] if leaks else []), name
+        if name not in ("pandas",):
+            assert forward_check.looks_ahead(df, ["close"]) == [], name
+    union = d.withColumn("other", F.lead("close").over(Window.partitionBy("symbol").orderBy(t)))
+    both = d.withColumn("other", F.col("close")).unionByName(union)
+    assert forward_check.looks_ahead(both, ["other", "close"]) == ["other"]
+    assert reach.reaches(registry.panel(registry.compute_factors(d, {"m": ("momentum", None), "r": ("rsi", None)}), ["m", "r"]), ["value"])["value"] == reach.Reach(14, 0)
+    assert reach.reaches(d.withColumn("x", F.expr("avg(close) over (partition by symbol order by open_time_utc rows between 2 preceding and current row)")), ["x"])["x"] == reach.Reach(2, 0)
+    assert inf == reach.ANYWHERE.back

@@ -14,6 +14,7 @@ import barlight.factors  # noqa: F401
 from barlight.functions.series import SeriesFrame
 from barlight.operators import evaluate, forward_check, registry
 from barlight.operators.asof import asof_backward
+from barlight.operators.spread import average_ranks
 from barlight.plans import catalogue, research
 from barlight.plans.report import report_data, write_report
 from barlight.sources.files import read_gold
@@ -182,7 +183,7 @@ def test_average_ranks(spark):
     df = spark.createDataFrame([(1, v) for v in (3.0, 1.0, 3.0, 2.0)], "g int, v double")
     assert sorted((r.v, r.k) for r in df.withColumn("k", evaluate.average_rank("v", ["g"])).collect()) == [(1, 1), (2, 2), (3, 3.5), (3, 3.5)]
     many = spark.createDataFrame([(float(random.Random(i).randrange(60)),) for i in range(500)], "v double")
-    got = evaluate.pooled_ranks(many, "v", "k", buckets=7).toPandas()
+    got = average_ranks(many, "v", "k").toPandas()
     assert np.allclose(got.k, got.v.rank())
 
 
