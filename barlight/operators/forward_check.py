@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,18 @@ def prefix_mismatches(compute: Compute, df: DataFrame, cuts: Sequence, time: str
     return joined.groupBy(F.col(time).alias("cut")).agg(F.count("*").alias("n_rows"), F.sum((~same).cast("long")).alias("n_mismatch"))
 
 
+def changed_by_later_rows(compute: Compute, df: DataFrame, cut: Any, columns: Sequence[str], time: str = "open_time_utc", keys: Sequence[str] = SERIES, tolerance: float = 1e-9) -> DataFrame:
+    """name, n_rows, n_changed: for each column, how many of the rows up to the cut get another value when the rows behind it are taken away."""
+    on = [*keys, time]
+    full = compute(df).where(F.col(time) <= F.lit(cut)).select(*on, *[F.col(c).alias(f"_full{i}") for i, c in enumerate(columns)])
+    part = compute(df.where(F.col(time) <= F.lit(cut))).select(*on, *[F.col(c).alias(f"_part{i}") for i, c in enumerate(columns)])
+    a, b = lambda i: F.col(f"_full{i}"), lambda i: F.col(f"_part{i}")
+    same = lambda i: F.coalesce(F.abs(a(i) - b(i)) <= tolerance * F.greatest(F.lit(1.0), F.abs(a(i))), F.lit(False)) | a(i).eqNullSafe(b(i))
+    counts = full.join(part, on).agg(F.count("*").alias("n_rows"), *[F.sum((~same(i)).cast("long")).alias(f"n{i}") for i in range(len(columns))])
+    told = F.array(*[F.struct(F.lit(c).alias("name"), F.col("n_rows"), F.coalesce(f"n{i}", F.lit(0)).alias("n_changed")) for i, c in enumerate(columns)])
+    return counts.select(F.explode(told).alias("e")).select("e.*")
+
+
 def looks_ahead(df: DataFrame, columns: Sequence[str] | None = None, time: str = "open_time_utc") -> list[str]:
     """Those of the columns (all by default) that hang on rows of later times, by a walk through the analysed plan: leads, frames that reach behind the own row, whole
     partitions, and joins with rows whose time is later. What functions in Python do can't be seen, and so counts as looking ahead.

@@ -8,16 +8,18 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import factors as _catalogue  # noqa: F401  registers the factors
 from ..functions.identifiers import is_safe_segment
+from ..functions.intervals import interval_ms_column
 from ..functions.timeutil import unix_ms_column, utc_column
 from ..operators import bars, evaluate, forward_check, ingest, medallion, quality, validate
 from ..operators.asof import asof_backward
-from ..operators.registry import compute_factor, compute_factors, list_factors, pandas_factor
+from ..operators.registry import compute_factor, compute_factors, compute_factors_in_blocks, list_factors, pandas_factor
 from ..operators.schemas import SILVER_COLUMNS
 from ..session import shared_folder
-from ..sources import files, replay
+from ..sources import files, refresh, replay
 from ..sources.layout import Lake
 from ..streaming import bars as streaming
 
@@ -353,10 +355,8 @@ _ASOF = "SELECT c.*, f.funding_rate FROM h c ASOF LEFT JOIN f ON c.open_time >=
 
 
 def _funded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hourly = bars.hourly_bars(spark, sf_dir)
-    symbols = hourly.select("symbol").distinct()
-    rates = bars.funding_rates(spark, sf_dir).join(symbols, how="cross")
-    return asof_backward(hourly, rates, "open_time", "funding_time", ["funding_rate"], ["symbol"])
+    """The rates have no symbol: all share them."""
+    return asof_backward(bars.hourly_bars(spark, sf_dir), bars.funding_rates(spark, sf_dir), "open_time", "funding_time", ["funding_rate"])
 
 
 @query(_with(_H, ("f", _FUNDING), ("j", _ASOF)) + "SELECT symbol, open_time, funding_rate FROM j")
@@ -640,6 +640,236 @@ def earliest_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.earliest(bars.daily_bars(spark, sf_dir), "open_time", 3).select("symbol", "open_time", "close")
 
 
+# ---- time buckets and blocks
+
+
+_LATE = "num_trades % 3 = 0 AND open_time >= (SELECT date_trunc('day', min(open_time)) + INTERVAL 9 DAY FROM h) AND open_time < (SELECT date_trunc('day', min(open_time)) + INTERVAL 12 DAY FROM h)"
+
+
+def _placed_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.as_silver(bars.hourly_bars(spark, sf_dir)).withColumns({"exchange": F.lit("replay"), "market": F.lit("spot")})
+
+
+def _named(name: str) -> str:
+    return f"SELECT symbol, open_time, '{name}' AS factor_name, value FROM ({_FACTOR_SQL[name][2]})"
+
+
+@query(f"{_named('momentum')} UNION ALL {_named('sma_dev')}")
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold after bars in the middle of all series came late: the same as from all bars at once. Only the days that the late bars reach are read and written again."""
+    lake, silver, names = Lake(_temporary(spark), "yyyy-MM-dd"), _placed_silver(spark, sf_dir), ["momentum", "sma_dev"]
+    first = silver.agg(F.date_trunc("DAY", F.min("open_time_utc")).alias("t")).first()["t"]
+    late = (F.col("num_trades") % 3 == 0) & (F.col("open_time_utc") >= F.lit(first) + F.expr("INTERVAL 9 DAYS")) & (F.col("open_time_utc") < F.lit(first) + F.expr("INTERVAL 12 DAYS"))
+    for arrived in (silver.where(~late), silver.where(late)):
+        refresh.merge_silver(arrived, lake)
+        changed = refresh.changes(arrived)
+        if not changed.isEmpty():
+            refresh.refresh_gold(spark, lake, changed, names)
+    rows = files.read_gold(spark, lake).select("symbol", F.col("open_time_utc").alias("open_time"), "factor_name", "value")
+    return rounded(_naive(rows, "open_time"), "value")
+
+
+_SPOILT_ROWS = """SELECT *, CASE WHEN num_trades % 7 = 0 THEN low - 1 ELSE high END AS h2, CASE WHEN num_trades % 3 = 0 THEN -1 ELSE num_trades END AS n2 FROM h"""
+
+
+@query(
+    _with(_H, ("x", _SPOILT_ROWS), ("r", """SELECT CASE WHEN least(open, h2, low, close) <= 0 THEN 'price not over 0' WHEN h2 < greatest(open, close, low) OR low > least(open, close, h2) THEN 'prices out of order'
+ WHEN n2 < 0 THEN 'amount below 0' ELSE 'good' END AS rule FROM x UNION ALL SELECT 'duplicate times' FROM h WHERE num_trades % 4 = 0"""))
+    + "SELECT rule, count(*) AS n FROM r GROUP BY rule"
+)
+def quarantined_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoilt candles merged into Silver in one checked pass: how many came there, and how many went to quarantine by which rule."""
+    lake, n = Lake(_temporary(spark)), F.col("num_trades")
+    silver = _placed_silver(spark, sf_dir)
+    spoilt = silver.withColumn("high", F.when(n % 7 == 0, F.col("low") - 1).otherwise(F.col("high"))).withColumn("num_trades", F.when(n % 3 == 0, F.lit(-1)).otherwise(n))
+    again = spoilt.withColumn("close_time_utc", F.col("close_time_utc") + F.expr("INTERVAL 1 SECOND")).join(silver.where(n % 4 == 0).select("symbol", "open_time_utc"), ["symbol", "open_time_utc"])
+    refresh.merge_silver(spoilt.unionByName(again), lake, quarantine=True)
+    rules = spark.read.parquet(lake.quarantine).select(F.col("broken").alias("rule")).unionByName(files.read_lake_silver(spark, lake).select(F.lit("good").alias("rule")))
+    return rules.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+_HALF = _RANGE.replace("INTERVAL 11 DAY", "INTERVAL 6 DAY")
+
+
+@query(_with(_H) + f"SELECT 'alpha' AS exchange, upper(symbol) AS symbol, open_time, close FROM h WHERE {_HALF} UNION ALL SELECT 'beta', upper(symbol), open_time, close FROM h WHERE {_RANGE}")
+def replay_two_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same symbols of two exchanges downloaded into one Bronze, one of them twice: neither takes the other's candles for its own."""
+    root, symbols, start, end = _recorded(spark, sf_dir)
+    for exchange, until in (("alpha", start + (end - start) / 2), ("beta", end), ("beta", end)):
+        replay.Downloader(spark, root, f"{root}/bronze", exchange).download_all(symbols, "1h", start, until)
+    rows = files.read_lake_bronze(spark, f"{root}/bronze")
+    return rows.select("exchange", "symbol", F.timestamp_millis("open_time").cast("timestamp_ntz").alias("open_time"), "close")
+
+
+@query("""SELECT event_id, round(value / 1000, 6) AS funding_rate, make_timestamp(epoch_us(ts) // 1000 * 1000) AS at FROM events WHERE event_type = (SELECT max(event_type) FROM events)
+ AND ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 3 DAY FROM events) AND ts < (SELECT date_trunc('day', min(ts)) + INTERVAL 8 DAY FROM events)""")
+def replay_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded funding rates of one symbol, a file for each day, in a range of five days; the limit is above their number."""
+    root, e = _temporary(spark), spark.read.parquet(f"{sf_dir}/events.parquet")
+    most, first = e.agg(F.max("event_type"), F.date_trunc("DAY", F.min("ts"))).first()
+    at = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    message = F.struct(at.alias("timestamp"), F.round(F.col("value") / 1000, 6).cast("string").alias("funding_rate"), F.col("event_id").cast("string").alias("symbol"))
+    rows = e.where(F.col("event_type") == most).select(F.to_json(message).alias("value"))
+    rows.write.text(f"{root}/funding/{most.upper()}")
+    start = first.replace(tzinfo=timezone.utc) + timedelta(days=3)
+    # each message has a symbol of its own here, so that the limit holds none back
+    got = replay.ReplayClient(spark, root, most).fetch_funding_rate(start, start + timedelta(days=5))
+    return got.select(F.col("symbol").cast("long").alias("event_id"), "funding_rate", F.col("timestamp").cast("timestamp_ntz").alias("at"))
+
+
+_UP = "avg(CASE WHEN close > open THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
+_RISING = f"SELECT symbol FROM h GROUP BY symbol HAVING {_UP} > (SELECT {_UP} FROM h)"
+
+
+@query(_with(_H, ("u", _RISING)) + "SELECT DISTINCT symbol, 'momentum' AS factor_name FROM h UNION ALL SELECT symbol, 'sma_dev' FROM u")
+def gold_catalog_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which factors Gold has for which symbol, from folders alone; one factor was written only for symbols that rise in more hours than all together."""
+    lake, silver = Lake(_temporary(spark)), _placed_silver(spark, sf_dir)
+    up = F.avg((F.col("close") > F.col("open")).cast("double")).alias("up")
+    rising = silver.groupBy("symbol").agg(up).where(F.col("up") > silver.agg(up).first()["up"])
+    for name, rows in (("momentum", silver), ("sma_dev", silver.join(rising, "symbol", "left_semi"))):
+        files.write_gold_factor(compute_factor(name, rows), lake, factor_name=name, exchange="replay")
+    found = files.partitions(spark, lake.gold, files.GOLD_PARTS[:5])
+    return spark.createDataFrame([(p["symbol"], p["factor_name"]) for p in found], "symbol string, factor_name string")
+
+
+@query(_with(_H, ("a", _FACTOR_SQL["sma_dev"][2]), ("b", _rsi_sql(14))) + "SELECT symbol, open_time, a.value AS sma_dev, b.value AS rsi FROM a JOIN b USING (symbol, open_time)")
+def factors_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors over series that are cut into blocks of three days, with as many bars before each as the factors look back."""
+    out = compute_factors_in_blocks(bars.hourly_bars(spark, sf_dir), {"sma_dev": ("sma_dev", None), "rsi": ("rsi", None)}, **SERIES_TIME, width="3 DAYS")
+    return rounded(out.select("symbol", "open_time", "sma_dev", "rsi"), "sma_dev", "rsi")
+
+
+@query(_factor_sql("v", ("v", _full("avg", "close", 10))))
+def pandas_factor_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A factor in pandas that gets blocks of four days with nine bars before each."""
+    return rounded(pandas_factor(lambda d: d["close"].rolling(10).mean(), bars.hourly_bars(spark, sf_dir), ("symbol",), "open_time", lookback=9, width="4 DAYS"), "value")
+
+
+@query(_rsi_sql(14))
+def bucketed_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A factor over Silver that is stored in buckets of its series: no shuffle."""
+    path = _temporary(spark)
+    table = f"silver_{path.rsplit('/', 1)[-1]}"
+    files.save_bucketed_silver(_placed_silver(spark, sf_dir), table, 8, path)
+    out = compute_factor("rsi", spark.table(table), keys=files.PLACE)
+    return rounded(_naive(out.select("symbol", F.col("open_time_utc").alias("open_time"), "value"), "open_time"), "value")
+
+
+@query(_with(_D, _P, ("r", _ranks("p", "value", "fwd_ret", "open_time")), ("i", _IC)) + "SELECT open_time, round(ic, 6) AS ic, n FROM i")
+def spread_rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank ICs by ranges of values, as cross-sections need them that are too large for one task."""
+    return rounded(evaluate.ic_series(_panel(spark, sf_dir), spread=True), "ic")
+
+
+@query(_with(_D, _P, ("g", _GROUPED)) + "SELECT symbol, open_time, CAST(bucket AS INTEGER) AS bucket FROM g")
+def spread_ntiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantile groups in the same way."""
+    return evaluate.grouped(_panel(spark, sf_dir), spread=True).select("symbol", "open_time", "bucket")
+
+
+_LEAKS = {
+    "next_close": f"lead(close) OVER ({_W})",
+    "final_close": f"last_value(close) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+    "hours_around": f"sum(close) OVER ({_W} RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 HOUR FOLLOWING)",
+    "series_mean": "avg(close) OVER (PARTITION BY symbol)",
+    "hours_before": f"sum(close) OVER ({_W} RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW)",
+    "mean_of_4": f"avg(close) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
+}
+_AHEAD = {"next_close", "final_close", "hours_around", "series_mean", "joined_ahead"}
+_LEAKY = "SELECT b.*, " + ", ".join(f"{e} AS {n}" for n, e in _LEAKS.items()) + ", (SELECT max(n.close) FROM {0} n WHERE n.symbol = b.symbol AND n.open_time = b.open_time + INTERVAL 2 HOUR) AS joined_ahead FROM {0} b"
+_CUT = "(SELECT date_trunc('day', min(open_time)) + INTERVAL 15 DAY FROM h)"
+_DIFFER = " UNION ALL ".join(f"SELECT '{n}' AS name, {str(n in _AHEAD).lower()} AS flagged, count(*) AS n_rows, CAST(coalesce(sum(CASE WHEN (f.{n} IS NULL) <> (p.{n} IS NULL) OR abs(f.{n} - p.{n}) > CAST(0.000000001 AS DOUBLE) * greatest(1, abs(f.{n})) THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_changed FROM f JOIN p USING (symbol, open_time)" for n in [*_LEAKS, "joined_ahead"])
+
+
+@query(_with(_H, ("before", f"SELECT * FROM h WHERE open_time <= {_CUT}"), ("f", _LEAKY.format("h")), ("p", _LEAKY.format("before"))) + _DIFFER)
+def forward_check_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of which five look ahead: what the walk through the plan says of each, and how many values up to a cut change when later bars are taken away."""
+
+    def compute(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy("symbol").orderBy("open_time")
+        seconds = Window.partitionBy("symbol").orderBy(F.unix_seconds(F.col("open_time").cast("timestamp")))
+        later = df.select("symbol", F.expr("open_time - INTERVAL 2 HOURS").alias("open_time"), F.col("close").alias("joined_ahead"))
+        columns = {"next_close": F.lead("close").over(w), "final_close": F.last("close").over(w.rowsBetween(0, Window.unboundedFollowing)), "hours_around": F.sum("close").over(seconds.rangeBetween(-3600, 3600)), "series_mean": F.avg("close").over(Window.partitionBy("symbol")), "hours_before": F.sum("close").over(seconds.rangeBetween(-7200, 0)), "mean_of_4": F.avg("close").over(w.rowsBetween(-3, 0))}
+        return df.withColumns(columns).join(later, ["symbol", "open_time"], "left")
+
+    hourly, names = bars.hourly_bars(spark, sf_dir).select("symbol", "open_time", "close"), [*_LEAKS, "joined_ahead"]
+    cut = hourly.agg((F.date_trunc("DAY", F.min("open_time")) + F.expr("INTERVAL 15 DAYS")).cast("timestamp_ntz").alias("t")).first()["t"]
+    flagged = forward_check.looks_ahead(compute(spark.createDataFrame([], hourly.schema)), names, "open_time")
+    return forward_check.changed_by_later_rows(compute, hourly, cut, names, "open_time", ("symbol",)).withColumn("flagged", F.col("name").isin(flagged))
+
+
+# ---- streams that append
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table that a stream appends to, which gets these parts of the events one after another, and then its end."""
+    root, schema = _temporary(spark), parts[0].schema
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts").cast("timestamp")).first()[0]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        rows = make(streaming.with_sentinels(spark.readStream.schema(schema).parquet(f"{root}/in"), f"{root}/ends"))
+        streaming.run_append(rows, f"{root}/out", f"{root}/checkpoint")
+    streaming.put_sentinel(spark, schema, f"{root}/ends", ts=last + timedelta(days=400), event_id=-1, event_type="", value=1.0)
+    streaming.run_append(make(streaming.with_sentinels(spark.readStream.schema(schema).parquet(f"{root}/in"), f"{root}/ends")), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
+def _timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def stream_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which many come twice, in the same batch or in the next: each is given once."""
+    e = _timed_events(spark, sf_dir)
+    parts = [e.unionByName(e.where(F.col("event_id") % 5 == 0)), e.where(F.col("event_id") % 3 == 0)]
+    rows = _event_stream(spark, sf_dir, parts, lambda s: streaming.distinct_rows(s, ["event_id"], "ts", "2 days"))
+    return rows.where(F.col("event_id") >= 0).select("event_id", "event_type", "value")
+
+
+_IN_TIME = "(event_id % 4 <> 0 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > (SELECT max(ts) - INTERVAL 10 DAY FROM events WHERE event_id % 4 <> 0))"
+
+
+@query(f"SELECT event_type AS symbol, date_trunc('hour', ts) AS open_time, max(value) AS high, min(value) AS low, count(*) AS num_trades FROM events WHERE value > 0 AND {_IN_TIME} GROUP BY 1, 2")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the trades come after the others: those whose window was closed meanwhile, ten days behind, are left out."""
+    e = _timed_events(spark, sf_dir).where(F.col("value") > 0)
+    late = F.col("event_id") % 4 == 0
+    rows = _event_stream(spark, sf_dir, [e.where(~late), e.where(late)], lambda s: streaming.stream_bars(s, "1 hour", "ts", "value", "value", "event_type", "10 days"))
+    return _naive(rows, "open_time").select("symbol", "open_time", "high", "low", "num_trades")
+
+
+# ---- contract by order of arrival, factor input, intervals
+
+
+@query(
+    _with(_H, ("o", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN num_trades % 4 = 0 THEN open_time + INTERVAL 5 HOUR ELSE open_time END, open_time) AS arrived FROM h"), ("l", "SELECT *, lag(open_time) OVER (PARTITION BY symbol ORDER BY arrived) AS before FROM o"))
+    + "SELECT count(*) AS n_rows, CAST(sum(CASE WHEN open_time < before THEN 1 ELSE 0 END) AS BIGINT) AS n_late FROM l"
+)
+def klines_by_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles of which some arrive five hours late: how many times fall along the order of arrival."""
+    silver, n = bars.as_silver(bars.hourly_bars(spark, sf_dir)), F.col("num_trades")
+    moved = F.when(n % 4 == 0, F.expr("open_time_utc + INTERVAL 5 HOURS")).otherwise(F.col("open_time_utc"))
+    ordered = silver.withColumn("arrived", F.row_number().over(Window.partitionBy("symbol").orderBy(moved, "open_time_utc")))
+    return validate.violations(ordered, ordinal="arrived").select(F.col("rows").alias("n_rows"), F.col("`times out of order`").alias("n_late"))
+
+
+@query(_with(_D) + "SELECT upper(symbol) AS symbol, open_time, close_time AS available_at, close FROM d")
+def factor_input_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked candles with the time from which they are known."""
+    silver = bars.as_silver(bars.daily_bars(spark, sf_dir)).withColumn("symbol", F.upper("symbol"))
+    return _naive(medallion.factor_input(silver).select("symbol", F.col("open_time_utc").alias("open_time"), "available_at", "close"), "open_time", "available_at")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 60000 WHEN 1 THEN 900000 WHEN 2 THEN 86400000 WHEN 3 THEN NULL ELSE NULL END AS ms FROM events""")
+def interval_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of named intervals; months and unknown names have none."""
+    k = F.col("event_id") % 5
+    name = F.when(k == 0, "1m").when(k == 1, "15m").when(k == 2, "1d").when(k == 3, "1M").otherwise("7m")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", interval_ms_column(name).cast("int").alias("ms"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -87,6 +87,14 @@ def write_lake_silver(silver: DataFrame, lake: Lake) -> None:
     _write(rows.repartition(*SILVER_PARTS).sortWithinPartitions(*SILVER_PARTS, "open_time_utc"), lake.silver, SILVER_PARTS)
 
 
+def save_bucketed_silver(silver: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """Silver as a table of the catalogue, dealt by exchange, market, symbol and interval: windows over these series read it without a shuffle."""
+    keys = [*PLACE, "open_time_utc"]
+    dealt = silver.repartition(buckets, *PLACE).sortWithinPartitions(*keys)
+    writer = dealt.write.mode("overwrite").format("parquet").option("compression", "zstd")
+    (writer.option("path", path) if path else writer).bucketBy(buckets, *PLACE).sortBy(*keys).saveAsTable(table)
+
+
 def partitions(spark: SparkSession, path: str, columns: Sequence[str], **wanted: str) -> list[dict[str, str]]:
     """The values of a table's first partition columns, those in ``wanted`` as given, from the names of its folders alone."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path

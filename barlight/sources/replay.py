@@ -23,6 +23,7 @@ from ..operators.ingest import parse_funding, parse_trades, parse_wire_klines, s
 from ..operators.schemas import BRONZE_COLUMNS
 from .files import BRONZE_PARTS, read_lake_bronze
 from .layout import series_names
+from .recorded import register
 
 DEFAULT_LIMIT = 1000
 
@@ -71,7 +72,7 @@ def recorded_klines(spark: SparkSession, root: str, symbols: Sequence[str], inte
 
 
 class ReplayClient(ExchangeClient):
-    """Reads ``root``/klines/SYMBOL/interval, ``root``/trades/SYMBOL and ``root``/funding/SYMBOL: a JSON message in each line."""
+    """Reads ``root``/klines/SYMBOL/interval, ``root``/trades/SYMBOL and ``root``/funding/SYMBOL: a JSON message in each line. Only files and messages of the time asked for are read."""
 
     def __init__(self, spark: SparkSession, root: str, symbol: str, name: str = "replay"):
         super().__init__(symbol)
@@ -81,20 +82,20 @@ class ReplayClient(ExchangeClient):
     def exchange_name(self) -> str:
         return self.name
 
-    def _lines(self, *parts: str) -> DataFrame:
-        return self.spark.read.text("/".join((self.root, *parts)))
-
-    def _between(self, df: DataFrame, ms, time: str, start: datetime, end: datetime, limit: int) -> DataFrame:
-        return earliest(df.where((ms >= to_unix_ms(start)) & (ms < to_unix_ms(end))), time, limit)
+    def _messages(self, kind: str, start: datetime, end: datetime, **options: str) -> DataFrame:
+        register(self.spark)
+        lines = self.spark.read.format("recorded").options(root=self.root, kind=kind, symbol=self.symbol, **options).load()
+        return lines.where((F.col("at") >= to_unix_ms(start)) & (F.col("at") < to_unix_ms(end)))
 
     def fetch_klines(self, interval: str, start: datetime, end: datetime, limit: int = DEFAULT_LIMIT) -> DataFrame:
-        return earliest(recorded_klines(self.spark, self.root, [self.symbol], interval, start, end), "open_time", limit)
+        rows = parse_wire_klines(self._messages("klines", start, end, interval=interval), F.col("symbol"), canonical_interval(interval))
+        return earliest(strict(rows), "open_time", limit)
 
     def fetch_trades(self, start: datetime, end: datetime, limit: int = DEFAULT_LIMIT) -> DataFrame:
-        return self._between(strict(parse_trades(self._lines("trades", self.symbol))), F.unix_millis("timestamp"), "timestamp", start, end, limit)
+        return earliest(strict(parse_trades(self._messages("trades", start, end).select("value"))), "timestamp", limit)
 
     def fetch_funding_rate(self, start: datetime, end: datetime, limit: int = DEFAULT_LIMIT) -> DataFrame:
-        return self._between(strict(parse_funding(self._lines("funding", self.symbol))), F.unix_millis("timestamp"), "timestamp", start, end, limit)
+        return earliest(strict(parse_funding(self._messages("funding", start, end).select("value"))), "timestamp", limit)
 
     def ping(self) -> bool:
         try:
