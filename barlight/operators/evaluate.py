@@ -36,8 +36,9 @@ def forward_returns(bars: DataFrame, step: str, horizon: int = 1, key: str = KEY
 
 def average_rank(value: str, by: Sequence[str]) -> Column:
     """Rank from 1 within ``by``; equal values share the mean of their ranks. Filter nulls out first."""
-    ahead = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    return ahead + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+    order = Window.partitionBy(*by).orderBy(value)
+    # equal values are a range frame of the same order, so that one pass gives both
+    return F.rank().over(order) + (F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
 def complete(panel: DataFrame, *columns: str) -> DataFrame:

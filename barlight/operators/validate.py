@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.identifiers import is_safe_segment
 from .schemas import AMOUNTS, PRICES, SERIES, SILVER_COLUMNS
 
 
@@ -39,18 +40,24 @@ def row_rules() -> list[tuple[str, Column]]:
     ]
 
 
+SAFE_NAMES = "symbol or interval is no safe name"
 TIME_RULES = ("close before open time", "duplicate times", "times out of order")
 
 
 def contract_rules() -> list[str]:
     """The rules in the order in which they are reported."""
-    return [*TIME_RULES, *(name for name, _ in row_rules() if name not in TIME_RULES)]
+    return [*TIME_RULES, *(name for name, _ in row_rules() if name not in TIME_RULES), SAFE_NAMES]
 
 
-def first_broken_rule(duplicate: Column) -> Column:
-    """Name of the first rule that a row breaks, null for a good one. ``duplicate``: whether a row of its series has the same time."""
-    bad = dict(row_rules()) | {"duplicate times": duplicate, "times out of order": F.col("open_time_utc").isNull()}
-    return F.coalesce(*[F.when(F.coalesce(bad[r], F.lit(False)), F.lit(r)) for r in contract_rules()])
+def judged(rows: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """The rows with the first rule of the contract that they break as ``broken``, null for good ones. Of rows with equal times of a series all but one break a rule.
+
+    ``parts``: columns by which rows of a series with equal times are dealt to the same place; that takes the only shuffle.
+    """
+    before = F.lag("open_time_utc").over(Window.partitionBy(*parts).orderBy("open_time_utc"))
+    safe = is_safe_segment(F.col("symbol")) & is_safe_segment(F.col("interval"))
+    bad = dict(row_rules()) | {"duplicate times": F.col("open_time_utc") == before, "times out of order": F.col("open_time_utc").isNull(), SAFE_NAMES: ~safe}
+    return rows.withColumn("broken", F.coalesce(*[F.when(F.coalesce(bad[r], F.lit(False)), F.lit(r)) for r in contract_rules()]))
 
 
 def violations(df: DataFrame, keys: Sequence[str] = SERIES, ordinal: str | None = None) -> DataFrame:

@@ -545,6 +545,18 @@ def forward_check_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forward_check.forward_return_alignment(values, returns, ("symbol", "open_time"))
 
 
+@query(_FIXED + """SELECT count(*) AS n_rows, CAST(sum(CASE WHEN fwd_ret IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unmatched,
+ CAST(sum(CASE WHEN fwd_ret IS NOT NULL AND (num_trades % 3 = 0 OR num_trades % 4 = 0) THEN 1 ELSE 0 END) AS BIGINT) AS n_misaligned FROM p""")
+def forward_check_misaligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns of which some begin before the value is known and some end where they begin."""
+    p, n = evaluate.forward_returns(bars.daily_bars(spark, sf_dir), "1 DAY"), F.col("num_trades")
+    values = p.select("symbol", "open_time", F.col("close_time").alias("available_at"))
+    start = F.when(n % 3 == 0, F.expr("close_time - INTERVAL 1 HOUR")).otherwise(F.col("close_time"))
+    end = F.when((n % 4 == 0) & (n % 3 != 0), F.col("close_time")).otherwise(F.expr("close_time + INTERVAL 1 DAY"))
+    returns = p.where(F.col("fwd_ret").isNotNull()).select("symbol", "open_time", start.alias("ret_start"), end.alias("ret_end"))
+    return forward_check.forward_return_alignment(values, returns, ("symbol", "open_time"))
+
+
 @query(_with(_H, ("c", "SELECT DISTINCT open_time FROM h ORDER BY open_time LIMIT 3 OFFSET 30")) + "SELECT h.open_time AS cut, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_mismatch FROM h JOIN c USING (open_time) GROUP BY 1")
 def forward_check_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every registered factor with its default parameters: taking later rows away changes nothing.

@@ -9,14 +9,16 @@ from hashlib import sha256
 from pathlib import Path
 from typing import Any
 from urllib.parse import unquote
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.medallion import bronze_to_silver
-from ..operators.schemas import BRONZE_KLINE, SILVER_KLINE
+from ..operators.medallion import silver_projection
+from ..operators.schemas import BRONZE_KLINE, SERIES, SILVER_KLINE
+from ..operators.validate import ContractError, contract_rules, judged
 from .layout import Lake
 
 PLACE = ("exchange", "market", "symbol", "interval")
@@ -58,12 +60,46 @@ def write_silver_klines(silver: DataFrame, path: str, parts: Sequence[str] = ())
     _write(silver.sortWithinPartitions("symbol", "interval", "open_time_utc"), path, parts)
 
 
+def stage(rows: DataFrame, path: str, parts: Sequence[str]) -> dict[str, int]:
+    """Write candles to a folder of their own, good and broken ones apart (``good=true`` and ``good=false``), and count them in the same pass: rows, and how many break which rule first."""
+    seen, rules = Observation(), contract_rules()
+    counted = judged(rows, parts).observe(seen, F.count("*").alias("rows"), *[F.count(F.when(F.col("broken") == r, 1)).alias(f"r{i}") for i, r in enumerate(rules)])
+    marked = counted.withColumns({"good": F.col("broken").isNull(), "staging": F.lit(uuid4().hex)})
+    # as a whole, so that a mark of success is written
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("good").parquet(path)
+    told = seen.get
+    return {"rows": told["rows"]} | {r: told[f"r{i}"] for i, r in enumerate(rules) if told[f"r{i}"]}
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def build_silver(spark: SparkSession, bronze_path: str, silver_path: str, parts: Sequence[str] = ()) -> DataFrame:
-    """Read Bronze, check and clean it, write Silver, give back what was written."""
-    write_silver_klines(bronze_to_silver(read_bronze_klines(spark, bronze_path)), silver_path, parts)
+    """Read Bronze, check and clean it, write Silver, give back what was written.
+
+    Bronze is read once: it is checked while it is written beside Silver, and comes into its place from there only if it keeps the contract.
+    """
+    bronze, staged = read_bronze_klines(spark, bronze_path), f"{silver_path.rstrip('/')}_staged"
+    told = stage(silver_projection(bronze), staged, (*SERIES, "open_time_utc"))
+    try:
+        if not told["rows"]:
+            raise ContractError("no rows")
+        for rule in contract_rules():
+            if rule in told:
+                raise ContractError(rule, told[rule])
+        write_silver_klines(spark.read.schema(SILVER_KLINE).parquet(f"{staged}/good=true"), silver_path, parts)
+    finally:
+        discard(spark, staged)
     return read_silver_klines(spark, silver_path)
 
 
+def params_tag(params: dict[str, Any] | None) -> str:
+    """A short name of parameters, so that factors of one family with others don't overwrite each other."""
+    return "default" if not params else sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:12]
+
+
 def in_buckets(df: DataFrame, lake: Lake) -> DataFrame:
     return df.withColumn(BUCKET, F.date_format("open_time_utc", lake.bucket))
 
@@ -106,11 +142,6 @@ def partitions(spark: SparkSession, path: str, columns: Sequence[str], **wanted:
     return [{c: unquote(part.split("=", 1)[1]) for c, part in zip(columns, place, strict=True)} for place in places]
 
 
-def params_tag(params: dict[str, Any] | None) -> str:
-    """A short name of parameters, so that factors of one family with others don't overwrite each other."""
-    return "default" if not params else sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:12]
-
-
 def write_gold_factor(values: DataFrame, lake: Lake, *, factor_name: str, exchange: str, market: str = "spot", params: dict[str, Any] | None = None) -> str:
     """Values of many series (symbol, interval, open_time_utc, value) under the factor's name and parameters."""
     rows = values.select("open_time_utc", "value", "symbol", "interval").withColumns({"factor_name": F.lit(factor_name), "params": F.lit(params_tag(params)), "exchange": F.lit(exchange), "market": F.lit(market)})

@@ -8,17 +8,15 @@ and those to be read.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from uuid import uuid4
-
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.registry import compute_factors, lookback
 from ..operators.schemas import SILVER_COLUMNS
-from ..operators.validate import ContractError, contract_rules, first_broken_rule
+from ..operators.validate import ContractError, contract_rules
 from ..session import shared_folder
-from .files import BUCKET, PLACE, SILVER_PARTS, _write, in_buckets, partitions, read_lake_silver, write_gold_panel, write_lake_silver
+from .files import BUCKET, PLACE, SILVER_PARTS, _write, in_buckets, partitions, read_lake_silver, stage, write_gold_panel, write_lake_silver
 from .layout import Lake
 
 #: Up to so many buckets are named one by one, which prunes the scan to them; beyond, the scan is pruned by least and greatest bucket and joined.
@@ -70,30 +68,10 @@ def reached(counts: DataFrame, changed: DataFrame, bars: float, lake: Lake) -> D
 # ---- Silver
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """The rows with the first rule of the contract that they break as ``broken``, null for good ones. Of rows with equal times of a series all but one break a rule.
-
-    Rows are dealt and sorted as they are written afterwards, so that this takes no shuffle of its own.
-    """
-    before = F.lag("open_time_utc").over(Window.partitionBy(*SILVER_PARTS).orderBy("open_time_utc"))
-    return rows.withColumn("broken", first_broken_rule(F.col("open_time_utc") == before))
-
-
 def _staged(lake: Lake) -> str:
     return f"{lake.silver}_staged"
 
 
-def _stage(rows: DataFrame, lake: Lake) -> dict[str, int]:
-    """Write rows beside Silver, the broken ones apart, and count them in the same pass: rows, and how many break which rule first."""
-    seen, rules = Observation(), contract_rules()
-    counted = judged(rows).observe(seen, F.count("*").alias("rows"), *[F.count(F.when(F.col("broken") == r, 1)).alias(f"r{i}") for i, r in enumerate(rules)])
-    marked = counted.withColumns({"good": F.col("broken").isNull(), "staging": F.lit(uuid4().hex)})
-    # as a whole, so that a mark of success is written
-    marked.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("good").parquet(_staged(lake))
-    told = seen.get
-    return {"rows": told["rows"]} | {r: told[f"r{i}"] for i, r in enumerate(rules) if told[f"r{i}"]}
-
-
 def _finish(spark: SparkSession, lake: Lake, quarantine: bool) -> None:
     """Put what is staged in its place, if it has been staged as a whole; done again, it changes nothing.
 
@@ -138,7 +116,7 @@ def merge_silver(arrived: DataFrame, lake: Lake, quarantine: bool = False) -> di
         merged = old.join(batch.select(*KEYS), list(KEYS), "left_anti").unionByName(batch)
     except FileNotFoundError:
         pass
-    told = _stage(merged, lake)
+    told = stage(merged, _staged(lake), SILVER_PARTS)
     _finish(spark, lake, quarantine)
     return told
 

@@ -176,10 +176,10 @@ def test_merges_that_broke_off(spark, tmp_path):
     rows = lambda hours: files.in_buckets(silver(spark, hours).withColumns(place()), at)
     hours = lambda: sorted(r.open_time_utc.hour for r in files.read_lake_silver(spark, at).collect())
     refresh.merge_silver(rows((0, 1, 2)), at)
-    refresh._stage(rows((0, 1, 2, 5)), at)
+    files.stage(rows((0, 1, 2, 5)), refresh._staged(at), files.SILVER_PARTS)
     refresh.merge_silver(rows((6,)), at)
     assert hours() == [0, 1, 2, 5, 6]
-    refresh._stage(rows((9,)), at)
+    files.stage(rows((9,)), refresh._staged(at), files.SILVER_PARTS)
     (tmp_path / "lake" / "silver" / "klines_staged" / "_SUCCESS").unlink()
     refresh.merge_silver(rows((7,)), at)
     assert hours() == [0, 1, 2, 5, 6, 7]
@@ -212,10 +212,39 @@ def test_the_contract_is_checked_in_the_pass_that_writes(spark, tmp_path):
 
     arrived = days(spark, 3).coalesce(1)
     counted = arrived.mapInArrow(count, arrived.schema)
-    refresh._stage(files.in_buckets(counted, at), at)
+    files.stage(files.in_buckets(counted, at), refresh._staged(at), files.SILVER_PARTS)
     assert seen.value == arrived.count()
 
 
+def test_bronze_is_read_once(spark, tmp_path):
+    """Building Silver scans Bronze in one job, and leaves what was there where the contract is broken."""
+    from .test_candles import WIRE, wire
+
+    later = [3_600_000, *WIRE[1:6], 7_199_999, *WIRE[7:]]
+    files.write_bronze_klines(wire(spark, WIRE, later).drop("broken"), f"{tmp_path}/b")
+    scans = []
+    kept = files.silver_projection
+
+    def watched(bronze, *a):
+        scans.append(bronze)
+        return kept(bronze, *a)
+
+    files.silver_projection = watched
+    try:
+        assert files.build_silver(spark, f"{tmp_path}/b", f"{tmp_path}/s").count() == 2
+    finally:
+        files.silver_projection = kept
+    assert len(scans) == 1 and not (tmp_path / "s_staged").exists()
+    files.write_bronze_klines(wire(spark, WIRE, WIRE).drop("broken"), f"{tmp_path}/bad")
+    with pytest.raises(ContractError, match="duplicate times"):
+        files.build_silver(spark, f"{tmp_path}/bad", f"{tmp_path}/s")
+    assert files.read_silver_klines(spark, f"{tmp_path}/s").count() == 2
+    unsafe = wire(spark, WIRE).drop("broken").withColumn("symbol", F.lit("a/b"))
+    files.write_bronze_klines(unsafe, f"{tmp_path}/unsafe")
+    with pytest.raises(ContractError, match="safe name"):
+        files.build_silver(spark, f"{tmp_path}/unsafe", f"{tmp_path}/s")
+
+
 # ---- runs
 
 
