@@ -1,8 +1,8 @@
 """Quality rules: isolation forest on rule statistics.
 
-Each document is reduced to the statistics of the rules, each told as how far it lies outside of what good documents have. An isolation
-forest over all of them together, grown on a bounded sample of labelled documents, isolates a row by random splits; a short mean path marks it as
-anomalous. The threshold on the anomaly score is calibrated on labelled documents that the forest was not grown on.
+Each document is reduced to the statistics of the rules, each told as its place among those of good documents. An isolation forest over all of them together, grown on a
+bounded sample of labelled documents, isolates a row by random splits; a short mean path marks it as anomalous. Statistics that tell good and bad labelled
+documents apart are drawn for a split more often than others. The threshold on the anomaly score is calibrated on labelled documents that the forest was not grown on.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ WINDOW = 5
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Labelled documents that are used at most, one half to grow the forest and one to calibrate it.
 SAMPLE_ROWS = 8000
+#: A statistic is drawn for a split at least so often, against one that tells good and bad documents apart wholly.
+LEAST_WEIGHT = 0.1
 
 
 def stats_of(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -85,26 +87,31 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
 
-def grow(x: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 17) -> Forest:
+def grow(x: np.ndarray, weights: np.ndarray, box: tuple[np.ndarray, np.ndarray] | None = None, trees: int = 100, rows: int = 256, seed: int = 17) -> Forest:
+    """Trees over samples of the rows. A split's feature is drawn by weight, its place evenly over what the node has of the ``box`` (by default the range of the rows).
+
+    Places are drawn over the box, not over the range of a node's rows, so that what lies where no row was seen is cut off as soon as a split falls between.
+    """
     rng, levels = np.random.default_rng(seed), 12
+    least, most = box or (x.min(axis=0), x.max(axis=0))
     grown = []
     for _ in range(trees):
         sample = x[rng.choice(len(x), min(rows, len(x)), replace=False)]
         feature, split, left, depth = [-1], [0.0], [0], [0.0]
-        todo = [(0, sample, 0)]
+        todo = [(0, sample, least, most, 0)]
         while todo:
-            node, part, level = todo.pop()
-            low, high = part.min(axis=0), part.max(axis=0)
+            node, part, low, high, level = todo.pop()
             wide = np.flatnonzero(high > low)
             if level == levels or len(part) < 2 or not len(wide):
                 depth[node] = level + _expected(len(part))
                 continue
-            f = int(rng.choice(wide))
+            f = int(rng.choice(wide, p=weights[wide] / weights[wide].sum()))
             s = rng.uniform(low[f], high[f])
-            s = high[f] if s <= low[f] else s
             feature[node], split[node], left[node] = f, s, len(feature)
-            for side in (part[part[:, f] < s], part[part[:, f] >= s]):
-                todo.append((len(feature), side, level + 1))
+            under, over = high.copy(), low.copy()
+            under[f] = over[f] = s
+            for side, a, b in ((part[part[:, f] < s], low, under), (part[part[:, f] >= s], over, high)):
+                todo.append((len(feature), side, a, b, level + 1))
                 feature.append(-1), split.append(0.0), left.append(0), depth.append(0.0)
         grown.append((feature, split, left, depth))
     size = max(len(g[0]) for g in grown)
@@ -114,21 +121,33 @@ def grow(x: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 17) -> Fo
 
 @dataclass
 class Scale:
-    """The range of each feature among good rows, and its width without the outermost hundredths."""
+    """Quantiles of each feature among good rows without the outermost thousandths, and its width without the outermost tenths."""
 
-    low: np.ndarray
-    high: np.ndarray
+    quantiles: np.ndarray
     width: np.ndarray
 
     @classmethod
-    def of(cls, good: np.ndarray) -> Scale:
-        inner = np.quantile(good, 0.99, axis=0) - np.quantile(good, 0.01, axis=0)
-        return cls(good.min(axis=0), good.max(axis=0), np.maximum(inner, 1e-3))
+    def of(cls, good: np.ndarray, knots: int = 64) -> Scale:
+        spread = np.quantile(good, 0.9, axis=0) - np.quantile(good, 0.1, axis=0)
+        return cls(np.quantile(good, np.linspace(0.001, 0.999, knots), axis=0), np.maximum(spread, 0.02))
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The share of good rows below, so that good rows are spread evenly from 0 to 1; beyond the quantiles, further by the logarithm of the distance in widths."""
+        shares, out = np.linspace(0, 1, len(self.quantiles)), np.empty(x.shape)
+        for k, q in enumerate(self.quantiles.T):
+            # equal quantiles are one place, the lowest of theirs
+            knots, first = np.unique(q, return_index=True)
+            out[:, k] = np.interp(x[:, k], knots, shares[first])
+            out[:, k] += np.log1p(np.maximum(0, x[:, k] - q[-1]) / self.width[k]) - np.log1p(np.maximum(0, q[0] - x[:, k]) / self.width[k])
+        return out
 
-    def outside(self, x: np.ndarray) -> np.ndarray:
-        """How far above or below the range, in widths, as a logarithm; 0 inside: among good rows, rare values are no more isolated than common ones."""
-        above, below = np.maximum(0, x - self.high), np.maximum(0, self.low - x)
-        return np.log1p(above / self.width) - np.log1p(below / self.width)
+
+def told_apart(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """For each feature how well it alone tells good rows from bad ones, from 0 to 1: the squared rank difference of a bad and a good row."""
+    ranks = pd.DataFrame(x).rank().to_numpy()
+    n, m = good.sum(), (~good).sum()
+    share = (ranks[~good].sum(axis=0) - m * (m + 1) / 2) / (n * m)
+    return (2 * share - 1) ** 2
 
 
 @dataclass
@@ -140,26 +159,29 @@ class Verdict:
     threshold: float
 
     def keep(self, stats: np.ndarray) -> np.ndarray:
-        return self.forest.score(self.scale.outside(features(stats))) <= self.threshold
+        return self.score(stats) <= self.threshold
+
+    def score(self, stats: np.ndarray) -> np.ndarray:
+        return self.forest.score(self.scale.place(features(stats)))
 
 
-def calibrate(stats: np.ndarray, good: np.ndarray, contamination: float = 0.02, most_lost: float = 0.0005, seed: int = 17) -> Verdict | None:
+def calibrate(stats: np.ndarray, good: np.ndarray, most_lost: float = 0.0005, seed: int = 17) -> Verdict | None:
     """Grow the forest on one half of the labelled rows, put the threshold on the other.
 
-    The growing half holds its good rows and, as anomalies, no more than ``contamination`` of bad ones. The
-    threshold rejects the most bad rows of the other half that it can with at most ``most_lost`` of the good. None if there are no rows
+    Trees grow on the good rows of the growing half, in the box of all its rows. The threshold rejects the most bad rows of the other half that it can with at most ``most_lost`` of the good. None if there are no rows
     of both kinds.
     """
     rng = np.random.default_rng(seed)
     half = rng.permutation(len(stats)) % 2 == 0
-    well, ill = np.flatnonzero(half & good), np.flatnonzero(half & ~good)
-    kind = good[~half]
-    if len(well) < 8 or not len(ill) or kind.all() or not kind.any():
+    well, kind = np.flatnonzero(half & good), good[~half]
+    if len(well) < 8 or not (half & ~good).any() or kind.all() or not kind.any():
         return None
     x = features(stats)
     scale = Scale.of(x[well])
-    x = scale.outside(x)
-    forest = grow(x[np.concatenate([well, ill[: max(1, int(contamination * len(well)))]])], seed=seed)
+    x = scale.place(x)
+    weights = np.maximum(told_apart(x[half], good[half]), LEAST_WEIGHT)
+    box = x[half].min(axis=0), x[half].max(axis=0)
+    forest = grow(x[well], weights, box, seed=seed)
     scores = forest.score(x[~half])
     clean, junk = np.sort(scores[kind]), np.sort(scores[~kind])
     floor = clean[min(len(clean) - 1, int(np.ceil((1 - most_lost) * len(clean))))]
@@ -180,12 +202,14 @@ def rule_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Verdict | None:
     """The verdict from at most ``rows`` labelled documents, chosen by the hash of their ids.
 
-    Labels whose quality is null don't count, nor do rows that fail the base rules: the forest judges the others.
+    Labels whose quality is null don't count, nor do rows that fail the base rules: the forest judges the others. Of a document that stands there with several texts that with
+    the least statistics counts; of several labels the least.
     """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    table = rule_stats(found, ("doc_id", "quality")).toPandas().drop_duplicates("doc_id").sort_values("doc_id").head(rows)
+    one = rule_stats(found, ("doc_id", "quality")).groupBy("doc_id", "quality").agg(F.min(F.struct(*STATS)).alias("s")).select("doc_id", "quality", "s.*")
+    table = one.toPandas().sort_values("doc_id")
     stats, good = table[list(STATS)].to_numpy(dtype=np.int64), table["quality"].to_numpy() > 0
     fine = ~base_failed(stats[:, 0], stats[:, 4])
     return calibrate(stats[fine], good[fine])

@@ -563,10 +563,58 @@ def test_quality(spark, sf, documents, odd):
 def test_forest_scores_outliers_higher():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(500, 1)), [[40.0]]])
-    s = quality.grow(x).score(x)
+    s = quality.grow(x, np.ones(1)).score(x)
     assert s[-1] > s[:-1].max()
 
 
+def labelled_stats(rng, n=2000):
+    """Good rows and junk with many symbols, as statistics."""
+    words, lines = rng.integers(50, 500, n), rng.integers(5, 40, n)
+    chars, dup = words * rng.normal(5, 0.4, n), lines * rng.choice([0, 0, 0, 0.1, 0.3], n)
+    good = np.column_stack([words, chars, rng.choice([0, 0, 0, 1], n), dup, words * rng.choice([0, 0, 0.05, 0.15], n), lines]).astype(np.int64)
+    junk = good[: n // 10].copy()
+    junk[:, 2] = junk[:, 0]
+    return good, junk
+
+
+def test_the_forest_gives_the_verdict():
+    """Good rows have many scores, none of them the zero of a box; without the forest hardly a rejected row would be."""
+    good, junk = labelled_stats(np.random.default_rng(4))
+    stats, labels = np.concatenate([good, junk]), np.arange(len(good) + len(junk)) < len(good)
+    order = np.random.default_rng(5).permutation(len(stats))
+    verdict = quality.calibrate(stats[order], labels[order])
+    scores = verdict.score(good)
+    assert len(set(scores.round(9))) > len(good) / 4
+    assert verdict.keep(good).mean() > 0.998 and verdict.keep(junk).mean() < 0.05
+    places = verdict.scale.place(quality.features(good))
+    assert (np.abs(places) > 0).any(axis=1).mean() > 0.99
+    rejected = ~verdict.keep(stats)
+    verdict.forest.depth[:] = verdict.forest.levels
+    assert verdict.keep(stats)[rejected].all()
+
+
+def test_one_wrong_label_hardly_moves_the_verdict():
+    good, junk = labelled_stats(np.random.default_rng(6))
+    stats, labels = np.concatenate([good, junk]), np.arange(len(good) + len(junk)) < len(good)
+    order = np.random.default_rng(7).permutation(len(stats))
+    plain = quality.calibrate(stats[order], labels[order]).keep(stats)
+    wrong = labels.copy()
+    wrong[len(good) + 3] = True
+    moved = quality.calibrate(stats[order], wrong[order]).keep(stats)
+    assert (plain != moved).mean() < 0.01
+
+
+def test_labels_of_repeated_ids(documents, spark):
+    """Of several texts and labels of an id the least count, whatever the order of rows."""
+    text = lambda i, n: " ".join(f"word{i}x{k}" for k in range(n))
+    rows = [(i, text(i, 20 + i % 7), "a") for i in range(60)] + [(i, text(i, 30) + " $" * (30 + i % 5), "a") for i in range(60, 80)] + [(5, text(5, 40) + "$ & " * 40, "a"), (5, text(5, 12), "a")]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(80)] + [(7, 0), (None, 1)], "doc_id long, quality int")
+    make = lambda order: quality.learn(documents([rows[i] for i in order]), labels)
+    a, b = make(range(len(rows))), make(reversed(range(len(rows))))
+    stats = np.array([quality.stats_of(t) for _, t, _ in rows])
+    assert (a.score(stats) == b.score(stats)).all()
+
+
 # ---- substrings
 
 
