@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the same texts.
 
-Python tokenises and gives, for each text, the ids and the byte offsets at which tokens end, in Arrow arrays. All else is said with higher-order functions:
-the ends that both have are the intersection of the arrays of ends, each is looked up in its array by one merge, and sequence, transform and aggregate cut the
-ids into groups and links there.
+Python tokenises and gives, for each text, the ids, the byte offsets at which tokens end, and for each byte the number of its token, in Arrow arrays. All else is said
+with higher-order functions: the ends that both have are the intersection of the arrays of ends, and transform, sequence and aggregate look up the tokens there and
+cut the ids into groups and links.
 
 A token of one side that ends together with one of the other has the same last bytes, so that one of the two is a suffix of the other:
 the pairs of ids that can be linked are fewer than the bytes of both vocabularies together, however large the corpus.
@@ -10,8 +10,6 @@ the pairs of ids that can be linked are fewer than the bytes of both vocabularie
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,78 +23,71 @@ from pyspark.sql.window import Window
 
 from .common import freeze, small_batches, stored, unused
 
-#: Stretches of text whose tokens a worker remembers at most, and the longest that it remembers.
-REMEMBERED, LONGEST = 150_000, 64
 #: Bytes of text whose tokens are put into one Arrow batch; a longer text has one of its own.
 SLICE_BYTES = 2 << 20
-#: Neither vocabulary has a token with a blank or line end behind something else, so that no token reaches over these places.
-CUT = re.compile(r"(?<=\S)(?=[ \n])")
-#: Two characters of white space in a row, of which the first isn't a place to cut behind.
-DOUBLE = re.compile(r"\s[ \n]")
+#: Bytes below this begin letters of the Latin blocks, up to U+023F, whose classes all versions of Unicode agree on.
+LATIN = 0xC9
+#: How the byte-level vocabulary's pre-tokenizer splits texts, which is the same for all vocabularies of this kind.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Byte-level vocabularies write a byte that is no visible Latin-1 character as the next free character from 256 on.
 BYTE_OF = {chr(b): b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
 BYTE_OF |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if chr(b) not in BYTE_OF)}
+#: The piece vocabulary's sign for a blank.
+BLANK = "\u2581"
 #: Pairs of ids are sent to the tasks up to so many, of 20 bytes; with the public vocabularies the bound is 0.8 million. Above, they are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 
 
+class Side:
+    """What the ids of a vocabulary stand for."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens, self.sizes = tokens, np.array([len(t) for t in tokens], dtype=np.int32)
+
+    def cut(self, ids: list[int], text: bytes, plain: bool) -> tuple[np.ndarray, ...] | None:
+        """Ids, where each ends in the text, and which one each byte is in; None where the tokens' bytes aren't the text's. In a ``plain`` text they are, if they are as many."""
+        made = np.array(ids, dtype=np.int32)
+        sizes = self.sizes[made]
+        if int(sizes.sum()) != len(text) or not plain and b"".join(map(self.tokens.__getitem__, ids)) != text:
+            return None
+        return made, np.cumsum(sizes, dtype=np.int32), np.repeat(np.arange(len(made), dtype=np.int32), sizes)
+
+
 class Pair:
-    """Both tokenizers; remembers the tokens of short stretches of text."""
+    """Both tokenizers.
+
+    A byte-level vocabulary merges in the order of its ids, so that its merges can be done by either of two libraries; the faster one takes the texts of Latin letters.
+    """
 
     def __init__(self, byte_level: str, pieces: str):
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
-        self.a, self.b, self.known = Tokenizer.from_file(byte_level), SentencePieceProcessor(model_file=pieces), {}
+        self.a, self.b = Tokenizer.from_file(byte_level), SentencePieceProcessor(model_file=pieces)
         self.a.encode_special_tokens = True
         special = {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
-        self.a_bytes = {i: special[i] if i in special else bytes(map(BYTE_OF.__getitem__, t)) for t, i in self.a.get_vocab().items()}
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        if any("▁" in p.lstrip("▁") or "\n" in p for p in map(self.b.id_to_piece, range(self.b.get_piece_size()))):
-            raise ValueError("a piece reaches over a place where texts are cut")
+        tokens = {i: special[i] if i in special else bytes(map(BYTE_OF.__getitem__, t)) for t, i in self.a.get_vocab().items()}
+        self.latin = Encoding("byte level", pat_str=PATTERN, mergeable_ranks={t: i for i, t in tokens.items() if i not in special}, special_tokens={})
+        if sum(map(self.b.is_byte, range(self.b.get_piece_size()))) != 256:
+            raise ValueError("the piece vocabulary must have pieces for all bytes")
+        self.sides = Side([tokens[i] for i in range(len(tokens))]), Side([self._piece(i) for i in range(self.b.get_piece_size())])
 
     def _piece(self, i: int) -> bytes:
         text = self.b.id_to_piece(i)
-        return bytes([int(text[3:-1], 16)]) if self.b.is_byte(i) else text.replace("▁", " ").encode()
-
-    def learn(self, stretches: list[str]) -> dict[str, tuple | None]:
-        """Ids and lengths in bytes of both sides for each stretch; None where the tokens' bytes aren't those of the stretch."""
-        out = {}
-        first = self.a.encode_batch(stretches, add_special_tokens=False)
-        # the piece tokenizer puts a blank before each text: that of the stretch, or one to be taken off again
-        second = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
-        for s, a, b in zip(stretches, first, second, strict=True):
-            ids = a.ids
-            if s[0] != " " and b and self.b_bytes[b[0]] == b" ":
-                b = b[1:]
-            elif s == " ":
-                b = [self.b.piece_to_id("▁")]
-            x, y = [self.a_bytes[i] for i in ids], [self.b_bytes[i] for i in b]
-            out[s] = tuple(array("i", v).tobytes() for v in (ids, map(len, x), b, map(len, y))) if b"".join(x) == b"".join(y) == s.encode() else None
-        return out
-
-    def encode(self, text: str) -> tuple[bytes, ...] | None:
-        """Ids and lengths of both sides for a blank and the text; None without text or where bytes differ."""
+        return bytes([int(text[3:-1], 16)]) if self.b.is_byte(i) else text.replace(BLANK, " ").encode()
+
+    def encode(self, text: str) -> tuple[np.ndarray, ...] | None:
+        """Ids, ends and tokens of bytes of both sides for a blank and the text; None without text or where bytes differ."""
         if not text:
             return None
-        spaced = " " + text
-        parts = CUT.split(spaced) if DOUBLE.search(spaced) else [x for k, line in enumerate(text.split("\n")) for x in _words(line, " " if k == 0 else "\n")]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [s for s in set(parts) if s not in known]
-        once = {}
-        if new:
-            learnt = self.learn(new)
-            once = {s: v for s, v in learnt.items() if len(s) > LONGEST}
-            known.update((s, v) for s, v in learnt.items() if len(s) <= LONGEST)
-        found = [known[s] if s in known else once[s] for s in parts] if once else [known[s] for s in parts]
-        return None if None in found else tuple(b"".join(x) for x in zip(*found))
-
-
-def _words(line: str, first: str) -> Iterator[str]:
-    for k, word in enumerate(line.split(" ")):
-        yield f" {word}" if k else f"{first}{word}"
+        data = (spaced := " " + text).encode()
+        latin = np.frombuffer(data, dtype=np.uint8).max() < LATIN
+        first = self.latin.encode_ordinary(spaced) if latin else self.a.encode(spaced, add_special_tokens=False).ids
+        a = self.sides[0].cut(first, data, True)
+        # the piece tokenizer puts the blank before the text itself, and takes its own sign for a blank as one
+        b = self.sides[1].cut(self.b.encode(text, num_threads=1), data, BLANK not in text)
+        return None if a is None or b is None else (*a, *b)
 
 
 @lru_cache(maxsize=1)
@@ -113,25 +104,21 @@ def default_vocabularies() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
+SIDES = ("a_ids", "a_ends", "a_at", "b_ids", "b_ends", "b_at")
 
 
-def _arrays(rows: list[tuple[bytes, ...] | None]) -> list[pa.Array]:
-    """List arrays of ids and ends."""
-    out = []
-    for k in range(4):
-        parts = [r[k] if r else b"" for r in rows]
-        sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-        values, offsets = np.frombuffer(b"".join(parts), dtype=np.int32), np.concatenate([[0], np.cumsum(sizes)])
-        if k % 2:
-            sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-            values = (sums[1:] - np.repeat(sums[offsets[:-1]], sizes)).astype(np.int32)
-        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32())))
+def _arrays(rows: list[tuple[np.ndarray, ...] | None]) -> list[pa.Array]:
+    """List arrays of the columns in SIDES."""
+    nothing, out = np.empty(0, dtype=np.int32), []
+    for k in range(len(SIDES)):
+        parts = [r[k] if r else nothing for r in rows]
+        offsets = np.cumsum([0, *map(len, parts)])
+        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int32())))
     return out
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabularies: tuple[str, str] | None = None) -> DataFrame:
-    """``key`` and the arrays a_ids, a_ends, b_ids, b_ends; the arrays are empty without text, or where a tokenizer doesn't keep the text's bytes."""
+    """``key`` and the arrays a_ids, a_ends, a_at, b_ids, b_ends, b_at; the arrays are empty without text, or where a tokenizer doesn't keep the text's bytes."""
     small_batches(docs.sparkSession)
     ids = ArrayType(IntegerType(), False)
     schema = StructType([StructField("k", docs.schema[key].dataType), *(StructField(c, ids) for c in SIDES)])
@@ -155,78 +142,100 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
 # ---- groups and links
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, not for each element of an array that ``body`` goes through."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def aligned(tokens: DataFrame) -> DataFrame:
+    """The rows with the arrays a_next and b_next: the numbers of the tokens at which groups begin, and at last the number of those in groups.
+
+    Groups lie between ends that both sides have. No ends give no groups.
+    """
+    common = unused(tokens.columns, "common")[0]
+    behind = lambda at: F.concat(F.array(F.lit(0)), F.transform(common, lambda end: F.get(at, end - 1) + 1))
+    return tokens.withColumn(common, F.array_intersect("a_ends", "b_ends")).withColumns({"a_next": behind("a_at"), "b_next": behind("b_at")}).drop(common)
+
 
+def _each(body: Callable[[Column], Column], kind: str) -> Column:
+    """``body`` of the number of each group, from 0 on."""
+    n = F.size("a_next") - 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), body)).otherwise(F.array().cast(f"array<{kind}>"))
 
-def _places(ends: Column, common: Column) -> Column:
-    """Where each of the common ends stands in ``ends``: sorted together, it stands twice in a row, behind those before it, which also stand twice."""
-    merged = F.sort_array(F.concat(ends, common))
-    twice = lambda m: F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda p: F.get(m, p) == F.get(m, p - 1))
-    return let(merged, lambda m: F.transform(twice(m), lambda p, k: p - k - 1))
 
+def _cut(ids: Column, side: str, k: Column) -> Column:
+    # one by one: cutting a slice out goes through the whole array, which is too much for each group
+    return F.transform(F.sequence(F.get(side, k), F.get(side, k + 1) - 1), lambda i: F.get(ids, i))
 
-def _cut(ids: Column, last: Column, k: Column) -> Column:
-    """The ids behind the last but one common end up to the k-th."""
-    begin = F.when(k > 0, F.get(last, k - 1) + 1).otherwise(0)
-    return F.slice(ids, begin + 1, F.get(last, k) - begin + 1)
 
+def groups() -> Column:
+    """The ids a and b between two common ends, for rows of aligned()."""
+    return _each(lambda k: F.struct(_cut(F.col("a_ids"), "a_next", k).alias("a"), _cut(F.col("b_ids"), "b_next", k).alias("b")), "struct<a: array<int>, b: array<int>>")
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """The rows with ``groups`` (the ids a and b between two common ends) and ``links`` (the ids of a and b that end at a common end).
 
-    No ends give no groups and no links.
-    """
-    name = unused(tokens.columns, "common")[0]
-    numbers = F.when(F.size(name) > 0, F.sequence(F.lit(0), F.size(name) - 1)).otherwise(F.array().cast("array<int>"))
-    places = F.when(F.size(name) > 0, F.struct(_places(F.col("a_ends"), F.col(name)).alias("a"), _places(F.col("b_ends"), F.col(name)).alias("b")))
+def links() -> Column:
+    """The ids of a and b that end at a common end, for rows of aligned()."""
+    last = lambda ids, side, k: F.get(ids, F.get(side, k + 1) - 1)
+    return _each(lambda k: F.struct(last("a_ids", "a_next", k).alias("a"), last("b_ids", "b_next", k).alias("b")), "struct<a: int, b: int>")
+
 
-    def made(at: Column) -> Column:
-        group = lambda k: F.struct(_cut(F.col("a_ids"), at["a"], k).alias("a"), _cut(F.col("b_ids"), at["b"], k).alias("b"))
-        link = lambda k: F.struct(F.get("a_ids", F.get(at["a"], k)).alias("a"), F.get("b_ids", F.get(at["b"], k)).alias("b"))
-        return F.struct(F.transform(numbers, group).alias("groups"), F.transform(numbers, link).alias("links"))
+def told(a: Column, b: Column) -> Column:
+    """Groups as text, for rows of aligned(): ids of a and of b, joined by commas, with a bar between, and semicolons between groups. ``a``, ``b``: the ids as text.
 
-    whole = tokens.withColumn(name, F.array_intersect("a_ends", "b_ends")).withColumn("_made", let(places, made))
-    return whole.select(*tokens.columns, "_made.groups", "_made.links")
+    ``both``, a column of the rows, has the sums of a_next and b_next: most groups have one token on either side, which is told by one difference. Behind the
+    last group it gives null, which joining leaves out.
+    """
+    one = lambda x, side, k: F.get(x, F.get(side, k))
+    ids = lambda x, side, k: F.concat_ws(",", _cut(x, side, k))
+    single = lambda s, k: F.get("both", k + 1) - s == 2
+    group = lambda s, k: F.when(single(s, k), F.concat(one(a, "a_next", k), F.lit("|"), one(b, "b_next", k))).when(k < F.size("both") - 1, F.concat(ids(a, "a_next", k), F.lit("|"), ids(b, "b_next", k)))
+    return F.array_join(F.transform("both", group), ";")
 
 
-def told(groups: Column) -> Column:
-    """Groups as text: ids of a and of b, joined by commas, with a bar between, and semicolons between groups."""
-    ids = lambda x: F.concat_ws(",", x.cast("array<string>"))
-    return F.array_join(F.transform(groups, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
+def packed_links() -> Column:
+    """The links as one number each, for rows of aligned(): that of a times HALF, and that of b."""
+    # before the first group there is no token
+    link = lambda n, k: F.get("a_ids", n - 1).cast("long") * HALF + F.get("b_ids", F.get("b_next", k) - 1)
+    return F.array_compact(F.transform("a_next", link))
 
 
-def one_to_one(groups: Column) -> Column:
-    """How many groups have one token on either side."""
-    single = lambda g: ((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1)).cast("long")
-    return F.aggregate(groups, F.lit(0).cast("long"), lambda n, g: n + single(g))
+def one_to_one() -> Column:
+    """How many groups have one token on either side, for rows of aligned()."""
+    one = lambda side, k: F.get(side, k + 1) - F.get(side, k) == 1
+    return F.aggregate(_each(lambda k: (one("a_next", k) & one("b_next", k)).cast("long"), "long"), F.lit(0).cast("long"), lambda n, x: n + x)
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
+def pair_counts(linked: DataFrame) -> DataFrame:
     """a, b, count and whether no other a has a higher count for this b, over the rows' arrays ``links``."""
-    counts = links.select(F.explode("links").alias("l")).groupBy(F.col("l.a").alias("a"), F.col("l.b").alias("b")).agg(F.count("*").alias("count"))
+    counts = linked.select(F.explode("links").alias("l")).groupBy("l").agg(F.count("*").alias("count"))
+    split = counts.select(*_halves(F.col("l")), "count")
     # as many rows as there are possible pairs for an id at most
-    return counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
+    return split.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
+
+
+#: Two ids in one number.
+HALF = 1 << 31
+
+
+def _halves(link: Column) -> list[Column]:
+    return [F.expr("l div {}".format(HALF)).cast("int").alias("a"), (link % HALF).cast("int").alias("b")]
 
 
 def align(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabularies: tuple[str, str] | None = None) -> DataFrame:
     """How the tokens of two tokenizers lie in each text, and how well the links agree with those of the whole corpus.
 
     Returns ``key``, n_a, n_b, n_groups, n_links, n_best (links whose pair is the commonest of its b), count_sum (over links, how often their pair is linked
-    corpus-wide), groups_sha256 and n_one_to_one. Null and empty texts, and texts whose bytes a tokenizer changes, give zeros and an empty text; texts of any length are taken
+    corpus-wide) and groups_sha256. Null and empty texts, and texts whose bytes a tokenizer changes, give zeros and an empty text; texts of any length are taken
     whole. Rows are rows of their own where ids repeat or are null. An empty table gives no rows. Further columns are ignored.
 
     The links are written once, as counting and looking up both read them; only counts of pairs and of rows are shuffled.
     """
     rows = aligned(tokenised(docs, key, text, vocabularies))
-    some = F.size("a_ids") > 0
-    sizes = [F.size(a).cast("long").alias(n) for a, n in (("a_ids", "n_a"), ("b_ids", "n_b"), ("groups", "n_groups"), ("links", "n_links"))]
-    table = stored(rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), *sizes, F.when(some, F.sha2(told(F.col("groups")), 256)).otherwise("").alias("groups_sha256"), one_to_one(F.col("groups")).alias("n_one_to_one"), "links"))
+    # turned into text as a whole, as a column of its own
+    rows = rows.withColumns({"a_text": F.col("a_ids").cast("array<string>"), "b_text": F.col("b_ids").cast("array<string>"), "both": F.zip_with("a_next", "b_next", lambda x, y: x + y)})
+    n, some = (F.size("a_next") - 1).cast("long"), F.size("a_ids") > 0
+    sizes = [F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), n.alias("n_groups")]
+    table = stored(rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), *sizes, F.when(some, F.sha2(told(F.col("a_text"), F.col("b_text")), 256)).otherwise("").alias("groups_sha256"), packed_links().alias("links")))
     pairs = freeze(pair_counts(table))
-    side = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    each = table.select("row", F.explode("links").alias("l")).select("row", F.col("l.a").alias("a"), F.col("l.b").alias("b"))
-    sums = each.join(side, ["a", "b"]).groupBy("row").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    side = pairs.select((F.col("a").cast("long") * HALF + F.col("b")).alias("l"), "count", "best")
+    side = F.broadcast(side) if pairs.count() <= BROADCAST_PAIRS else side
+    found = table.select("row", F.explode("links").alias("l")).join(side, "l")
+    sums = found.groupBy("row").agg(F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     out = table.drop("links").join(sums, "row", "left")
-    return out.select(F.col("k").alias(key), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256", "n_one_to_one")
+    return out.select(F.col("k").alias(key), "n_a", "n_b", "n_groups", *map(zero, ("n_links", "n_best", "count_sum")), "groups_sha256")

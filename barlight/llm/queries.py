@@ -55,7 +55,7 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.align(table(spark, sf_dir, "documents")).drop("n_one_to_one")
+    return alignment.align(table(spark, sf_dir, "documents"))
 
 
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
