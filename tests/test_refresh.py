@@ -302,7 +302,7 @@ def test_catalogue_opens_no_file(spark, tmp_path):
     """The files hold no Parquet, so that opening one would fail."""
     at = Lake(str(tmp_path))
     for factor, symbol in (("rsi", "A"), ("rsi", "B=1"), ("Beta", "A"), ("sma dev", "{x}")):
-        name = symbol.replace("=", "%3D").replace("{", "%7B").replace("}", "%7D")
+        name = symbol.replace("=", "%3D").replace("{", "%7B")
         folder = tmp_path / "gold" / "factors" / f"factor_name={factor}" / "params=default" / "exchange=x" / "market=spot" / f"symbol={name}" / "interval=1h" / "bucket=2024-01"
         folder.mkdir(parents=True)
         (folder / "part-0.parquet").write_text("no parquet")
