@@ -143,61 +143,58 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """The rows with the arrays a_next and b_next: the numbers of the tokens at which groups begin, and at last the number of those in groups.
+    """The rows with the arrays a_last and b_last: for each end that both sides have, the numbers of the tokens that end there.
 
-    Groups lie between ends that both sides have. No ends give no groups.
+    A group lies between two such ends. No ends give no groups.
     """
     common = unused(tokens.columns, "common")[0]
-    behind = lambda at: F.concat(F.array(F.lit(0)), F.transform(common, lambda end: F.get(at, end - 1) + 1))
-    return tokens.withColumn(common, F.array_intersect("a_ends", "b_ends")).withColumns({"a_next": behind("a_at"), "b_next": behind("b_at")}).drop(common)
+    there = lambda at: F.transform(common, lambda end: F.get(at, end - 1))
+    return tokens.withColumn(common, F.array_intersect("a_ends", "b_ends")).withColumns({"a_last": there("a_at"), "b_last": there("b_at")}).drop(common)
 
 
-def _each(body: Callable[[Column], Column], kind: str) -> Column:
-    """``body`` of the number of each group, from 0 on."""
-    n = F.size("a_next") - 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), body)).otherwise(F.array().cast(f"array<{kind}>"))
+def _first(side: str, k: Column) -> Column:
+    """The number of the k-th group's first token."""
+    return F.coalesce(F.get(side, k - 1) + 1, F.lit(0))
 
 
 def _cut(ids: Column, side: str, k: Column) -> Column:
     # one by one: cutting a slice out goes through the whole array, which is too much for each group
-    return F.transform(F.sequence(F.get(side, k), F.get(side, k + 1) - 1), lambda i: F.get(ids, i))
+    return F.transform(F.sequence(_first(side, k), F.get(side, k)), lambda i: F.get(ids, i))
 
 
 def groups() -> Column:
     """The ids a and b between two common ends, for rows of aligned()."""
-    return _each(lambda k: F.struct(_cut(F.col("a_ids"), "a_next", k).alias("a"), _cut(F.col("b_ids"), "b_next", k).alias("b")), "struct<a: array<int>, b: array<int>>")
+    return F.transform("a_last", lambda _, k: F.struct(_cut(F.col("a_ids"), "a_last", k).alias("a"), _cut(F.col("b_ids"), "b_last", k).alias("b")))
 
 
 def links() -> Column:
     """The ids of a and b that end at a common end, for rows of aligned()."""
-    last = lambda ids, side, k: F.get(ids, F.get(side, k + 1) - 1)
-    return _each(lambda k: F.struct(last("a_ids", "a_next", k).alias("a"), last("b_ids", "b_next", k).alias("b")), "struct<a: int, b: int>")
+    return F.zip_with("a_last", "b_last", lambda x, y: F.struct(F.get("a_ids", x).alias("a"), F.get("b_ids", y).alias("b")))
+
+
+def packed_links() -> Column:
+    """The links as one number each: that of a times HALF, and that of b."""
+    return F.zip_with("a_last", "b_last", lambda x, y: F.get("a_ids", x).cast("long") * HALF + F.get("b_ids", y))
 
 
 def told(a: Column, b: Column) -> Column:
     """Groups as text, for rows of aligned(): ids of a and of b, joined by commas, with a bar between, and semicolons between groups. ``a``, ``b``: the ids as text.
 
-    ``both``, a column of the rows, has the sums of a_next and b_next: most groups have one token on either side, which is told by one difference. Behind the
-    last group it gives null, which joining leaves out.
+    ``both``, a column of the rows, has the sums of a_last and b_last: most groups have one token on either side, which is told by one difference.
     """
-    one = lambda x, side, k: F.get(x, F.get(side, k))
-    ids = lambda x, side, k: F.concat_ws(",", _cut(x, side, k))
-    single = lambda s, k: F.get("both", k + 1) - s == 2
-    group = lambda s, k: F.when(single(s, k), F.concat(one(a, "a_next", k), F.lit("|"), one(b, "b_next", k))).when(k < F.size("both") - 1, F.concat(ids(a, "a_next", k), F.lit("|"), ids(b, "b_next", k)))
-    return F.array_join(F.transform("both", group), ";")
-
-
-def packed_links() -> Column:
-    """The links as one number each, for rows of aligned(): that of a times HALF, and that of b."""
-    # before the first group there is no token
-    link = lambda n, k: F.get("a_ids", n - 1).cast("long") * HALF + F.get("b_ids", F.get("b_next", k) - 1)
-    return F.array_compact(F.transform("a_next", link))
+    last = lambda x, side, k: F.get(x, F.get(side, k))
+    single = lambda side, k: F.get(side, k) == _first(side, k)
+    ids = lambda x, side, k: F.when(single(side, k), last(x, side, k)).otherwise(F.concat_ws(",", _cut(x, side, k)))
+    each = lambda s, k: s - F.get("both", k - 1) == 2
+    pair = lambda s, k: F.when(each(s, k), F.concat(last(a, "a_last", k), F.lit("|"), last(b, "b_last", k))).otherwise(F.concat(ids(a, "a_last", k), F.lit("|"), ids(b, "b_last", k)))
+    return F.array_join(F.transform("both", pair), ";")
 
 
 def one_to_one() -> Column:
     """How many groups have one token on either side, for rows of aligned()."""
-    one = lambda side, k: F.get(side, k + 1) - F.get(side, k) == 1
-    return F.aggregate(_each(lambda k: (one("a_next", k) & one("b_next", k)).cast("long"), "long"), F.lit(0).cast("long"), lambda n, x: n + x)
+    one = lambda side, k: F.get(side, k) == _first(side, k)
+    each = F.transform("a_last", lambda _, k: (one("a_last", k) & one("b_last", k)).cast("long"))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda n, x: n + x)
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
@@ -227,8 +224,8 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabularies
     """
     rows = aligned(tokenised(docs, key, text, vocabularies))
     # turned into text as a whole, as a column of its own
-    rows = rows.withColumns({"a_text": F.col("a_ids").cast("array<string>"), "b_text": F.col("b_ids").cast("array<string>"), "both": F.zip_with("a_next", "b_next", lambda x, y: x + y)})
-    n, some = (F.size("a_next") - 1).cast("long"), F.size("a_ids") > 0
+    rows = rows.withColumns({"a_text": F.col("a_ids").cast("array<string>"), "b_text": F.col("b_ids").cast("array<string>"), "both": F.zip_with("a_last", "b_last", lambda x, y: x + y)})
+    n, some = F.size("a_last").cast("long"), F.size("a_ids") > 0
     sizes = [F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), n.alias("n_groups")]
     table = stored(rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), *sizes, F.when(some, F.sha2(told(F.col("a_text"), F.col("b_text")), 256)).otherwise("").alias("groups_sha256"), packed_links().alias("links")))
     pairs = freeze(pair_counts(table))
