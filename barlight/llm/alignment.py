@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the same texts.
 
-Python tokenises and gives, for each text, the ids, the byte offsets at which tokens end, and for each byte the number of its token, in Arrow arrays. All else is said
-with higher-order functions: the ends that both have are the intersection of the arrays of ends, and transform, sequence and aggregate look up the tokens there and
-cut the ids into groups and links.
+Python tokenises and gives, for each text, the ids and the numbers of the tokens that end where one of the other side does, in Arrow arrays: the byte offsets of tokens
+stay in numpy. All else is said with higher-order functions: transform, zip_with and sequence cut the ids into groups and links. For tables of tokens with their ends,
+aligned() says the common ends by higher-order functions too.
 
 A token of one side that ends together with one of the other has the same last bytes, so that one of the two is a suffix of the other:
 the pairs of ids that can be linked are fewer than the bytes of both vocabularies together, however large the corpus.
@@ -44,13 +44,24 @@ class Side:
     def __init__(self, tokens: list[bytes]):
         self.tokens, self.sizes = tokens, np.array([len(t) for t in tokens], dtype=np.int32)
 
-    def cut(self, ids: list[int], text: bytes, plain: bool) -> tuple[np.ndarray, ...] | None:
-        """Ids, where each ends in the text, and which one each byte is in; None where the tokens' bytes aren't the text's. In a ``plain`` text they are, if they are as many."""
+    def cut(self, ids: list[int], text: bytes, plain: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids, and where each ends in the text; None where the tokens' bytes aren't the text's. In a ``plain`` text they are, if they are as many."""
         made = np.array(ids, dtype=np.int32)
         sizes = self.sizes[made]
         if int(sizes.sum()) != len(text) or not plain and b"".join(map(self.tokens.__getitem__, ids)) != text:
             return None
-        return made, np.cumsum(sizes, dtype=np.int32), np.repeat(np.arange(len(made), dtype=np.int32), sizes)
+        return made, np.cumsum(sizes, dtype=np.int32)
+
+    def at(self, ids: np.ndarray) -> np.ndarray:
+        """For each byte the number of its token."""
+        return np.repeat(np.arange(len(ids), dtype=np.int32), self.sizes[ids])
+
+
+def among(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The numbers of the tokens that end where one of the other side does."""
+    there = np.zeros(int(ends[-1]) + 1, dtype=bool)
+    there[others] = True
+    return np.flatnonzero(there[ends]).astype(np.int32)
 
 
 class Pair:
@@ -79,6 +90,19 @@ class Pair:
 
     def encode(self, text: str) -> tuple[np.ndarray, ...] | None:
         """Ids, ends and tokens of bytes of both sides for a blank and the text; None without text or where bytes differ."""
+        made = self.tokens(text)
+        return None if made is None else tuple(x for side, (ids, ends) in zip(self.sides, made, strict=True) for x in (ids, ends, side.at(ids)))
+
+    def matched(self, text: str) -> tuple[np.ndarray, ...] | None:
+        """Ids of both sides, and the numbers of the tokens that end together, for a blank and the text; None without text or where bytes differ."""
+        made = self.tokens(text)
+        if made is None:
+            return None
+        (a, a_ends), (b, b_ends) = made
+        return a, b, among(a_ends, b_ends), among(b_ends, a_ends)
+
+    def tokens(self, text: str) -> tuple[tuple[np.ndarray, np.ndarray], ...] | None:
+        """Ids and ends of either side for a blank and the text; None without text or where bytes differ."""
         if not text:
             return None
         data = (spaced := " " + text).encode()
@@ -87,7 +111,7 @@ class Pair:
         a = self.sides[0].cut(first, data, True)
         # the piece tokenizer puts the blank before the text itself, and takes its own sign for a blank as one
         b = self.sides[1].cut(self.b.encode(text, num_threads=1), data, BLANK not in text)
-        return None if a is None or b is None else (*a, *b)
+        return None if a is None or b is None else (a, b)
 
 
 @lru_cache(maxsize=1)
@@ -105,23 +129,24 @@ def default_vocabularies() -> tuple[str, str]:
 
 
 SIDES = ("a_ids", "a_ends", "a_at", "b_ids", "b_ends", "b_at")
+MATCHED = ("a_ids", "b_ids", "a_last", "b_last")
 
 
-def _arrays(rows: list[tuple[np.ndarray, ...] | None]) -> list[pa.Array]:
-    """List arrays of the columns in SIDES."""
+def _arrays(rows: list[tuple[np.ndarray, ...] | None], columns: int) -> list[pa.Array]:
+    """List arrays of the columns in the rows."""
     nothing, out = np.empty(0, dtype=np.int32), []
-    for k in range(len(SIDES)):
+    for k in range(columns):
         parts = [r[k] if r else nothing for r in rows]
         offsets = np.cumsum([0, *map(len, parts)])
         out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int32())))
     return out
 
 
-def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabularies: tuple[str, str] | None = None) -> DataFrame:
-    """``key`` and the arrays a_ids, a_ends, a_at, b_ids, b_ends, b_at; the arrays are empty without text, or where a tokenizer doesn't keep the text's bytes."""
+def _mapped(docs: DataFrame, key: str, text: str, vocabularies: tuple[str, str] | None, columns: tuple[str, ...], make: Callable[[Pair, str], tuple[np.ndarray, ...] | None]) -> DataFrame:
+    """``key`` and the arrays that ``make`` gives for each text; empty ones where it gives none."""
     small_batches(docs.sparkSession)
     ids = ArrayType(IntegerType(), False)
-    schema = StructType([StructField("k", docs.schema[key].dataType), *(StructField(c, ids) for c in SIDES)])
+    schema = StructType([StructField("k", docs.schema[key].dataType), *(StructField(c, ids) for c in columns)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(*(vocabularies or default_vocabularies()))
@@ -129,16 +154,26 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
             low, rows, size, keys = 0, [], 0, b.column(0)
             for i, t in enumerate(b.column(1)):
                 t = t.as_py() or ""
-                rows.append(both.encode(t))
+                rows.append(make(both, t))
                 size += len(t)
                 if size > SLICE_BYTES or i == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([keys.slice(low, len(rows)), *_arrays(rows)], names=["k", *SIDES])
+                    yield pa.RecordBatch.from_arrays([keys.slice(low, len(rows)), *_arrays(rows, len(columns))], names=["k", *columns])
                     low, rows, size = i + 1, [], 0
         pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(each, schema).withColumnRenamed("k", key)
 
 
+def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabularies: tuple[str, str] | None = None) -> DataFrame:
+    """``key`` and the arrays a_ids, a_ends, a_at, b_ids, b_ends, b_at; the arrays are empty without text, or where a tokenizer doesn't keep the text's bytes."""
+    return _mapped(docs, key, text, vocabularies, SIDES, Pair.encode)
+
+
+def matched(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabularies: tuple[str, str] | None = None) -> DataFrame:
+    """``key`` and the arrays a_ids, b_ids, a_last, b_last that aligned() gives for tokenised(), with the common ends found where the tokens are made: nothing is handed over byte by byte."""
+    return _mapped(docs, key, text, vocabularies, MATCHED, Pair.matched)
+
+
 # ---- groups and links
 
 
@@ -222,7 +257,7 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabularies
 
     The links are written once, as counting and looking up both read them; only counts of pairs and of rows are shuffled.
     """
-    rows = aligned(tokenised(docs, key, text, vocabularies))
+    rows = matched(docs, key, text, vocabularies)
     # turned into text as a whole, as a column of its own
     rows = rows.withColumns({"a_text": F.col("a_ids").cast("array<string>"), "b_text": F.col("b_ids").cast("array<string>"), "both": F.zip_with("a_last", "b_last", lambda x, y: x + y)})
     n, some = F.size("a_last").cast("long"), F.size("a_ids") > 0

@@ -218,6 +218,14 @@ def test_groups_and_links(spark):
     assert as_lists(rows[3]) == ([([1], [2, 3])], [(1, 3)])
 
 
+def test_common_ends_are_found_where_tokens_are_made(documents, odd):
+    """What is handed over has an entry a token, none a byte, and is what the intersection of the arrays of ends gives."""
+    df = documents([*odd, *((1000 + k, t, "a") for k, t in enumerate(ODD_TEXTS))])
+    got, want = alignment.matched(df), alignment.aligned(alignment.tokenised(df)).select("doc_id", *alignment.MATCHED)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 def test_linked_pairs_are_bounded_by_the_vocabularies():
     """What ends together has the same last bytes; so many pairs are possible, and all of them may be sent to the tasks."""
     both = alignment.pair(*alignment.default_vocabularies())
