@@ -15,6 +15,7 @@ component is split.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -135,18 +136,26 @@ def like_enough(overlap: Column, a: Column, b: Column, percent: int = PERCENT) -
 
 def components(edges: DataFrame) -> DataFrame:
     """Least node of each node's component: node, root. edges: a, b. Labels run along the links and are shortened by what their own label has."""
-    links = freeze(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = freeze(edges.select(F.explode(both).alias("e")).select("e.a", "e.b").distinct())
     labels = freeze(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
-        best = links.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("next"))
-        near = labels.join(best, "node").select("node", "root", F.least("root", "next").alias("next"))
-        far = labels.select(F.col("node").alias("next"), F.col("root").alias("jump"))
-        moved = freeze(near.join(far, "next", "left").select("node", "root", F.least("next", F.coalesce("jump", "next")).alias("next")))
+        # labels are read with the same names each time, so that one shuffle of them serves all three joins
+        best = links.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("next"))
+        near = labels.join(best, F.col("node") == F.col("a")).select("node", "root", F.least("root", "next").alias("next")).alias("near")
+        far = near.join(labels.alias("far"), F.col("near.next") == F.col("far.node"), "left")
+        moved = freeze(far.select("near.node", "near.root", F.least("near.next", "far.root").alias("next")))
         if moved.where(F.col("next") < F.col("root")).isEmpty():
             return labels
         labels = moved.select("node", F.col("next").alias("root"))
 
 
+def _merged(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """The rows, each root replaced by the one that moves (node, root) name for it. Roots that it doesn't name stay."""
+    moves = moves.where(F.col("node") != F.col("root")).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return rows.join(moves, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+
+
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows with these ids: few ids go to the texts; many meet them in a shuffle."""
     few = ids.count() <= BROADCAST_IDS
@@ -154,23 +163,24 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs of classes a < b those that are alike enough, by exact counts of their shared shingles."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"))
+    """Of pairs of classes a < b those that are alike enough, by exact counts of their shared shingles. Further columns of a pair stay with it."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    side = lambda x: classes.select(F.col("c").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "m", "rep")])
     apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = F.least((F.col("na") + F.col("nb") - apart) / 2, F.col("na"), F.col("nb"))
     near = like_enough(F.least("na", "nb"), F.col("na"), F.col("nb"), percent)
     left = pairs.join(side("a"), "a").join(side("b"), "b").where(near & like_enough(most, F.col("na"), F.col("nb"), percent))
-    left = freeze(left.select("a", "b", "na", "nb").distinct())
-    ids = freeze(left.select(F.col("a").alias("c")).union(left.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "rep"), "c").select(F.col("rep").alias("doc_id")).distinct())
+    left = freeze(left.select("a", "b", "na", "nb", "repa", "repb", *more).distinct())
+    ids = freeze(left.select(F.explode(F.array("repa", "repb")).alias("doc_id")).distinct())
     sets = _full_sets(_picked(docs, ids))
     firsts = left.groupBy("a").agg(F.max("na").alias("na"))
     light = firsts.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0] <= BROADCAST_SHINGLES
     first = sets.join(F.broadcast(firsts.select(F.col("a").alias("c"))), "c", "left_semi") if light else sets
     # a document's id may stand in several rows, and its set then meets a pair more than once
     first = first.select(F.col("c").alias("a"), F.col("s").alias("sa"))
-    second = left.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    second = left.drop("repa", "repb").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     both = second.join(F.broadcast(first) if light else first, "a")
-    return both.where(like_enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    return both.where(like_enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b", *more).distinct()
 
 
 def _sets(docs: DataFrame, percent: int, keep: list[str]) -> DataFrame:
@@ -224,7 +234,7 @@ def _roots(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return like_enough(F.least(shared + F.greatest(rest(na), rest(nb)), na, nb), na, nb, percent)
 
     def product(left: DataFrame, right: DataFrame, apart: Column, whole: bool = True) -> DataFrame:
-        """Pairs a, b of sets with the count of first shingles that they share, but for those that sizes and counts rule out.
+        """Pairs a, b of sets with the count of first shingles that they share, but for those that sizes and counts rule out; r1 < r2: their roots, where given.
 
         No more can be shared than either has in common with any set at all, which rules most pairs out before they are formed.
         whole: the counts are of all columns, so that they bear on a pair.
@@ -232,12 +242,13 @@ def _roots(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         x = left.select("s", *[F.col(c).alias(f"{c}1") for c in left.columns if c != "s"])
         y = right.select("s", *[F.col(c).alias(f"{c}2") for c in right.columns if c != "s"])
         pairs = x.join(y, (x["s"] == y["s"]) & apart & room(F.least("has1", "has2"), F.col("n1"), F.col("n2")))
-        counted = pairs.groupBy(F.col("c1").alias("a"), F.col("c2").alias("b")).agg(F.count("*").alias("o"), F.min("n1").alias("n1"), F.min("n2").alias("n2"))
-        return (counted.where(room(F.col("o"), F.col("n1"), F.col("n2"))) if whole else counted).select("a", "b", "o")
+        ends = [F.min(f("root1", "root2")).alias(r) for r, f in (("r1", F.least), ("r2", F.greatest)) if "root" in left.columns]
+        counted = pairs.groupBy(F.col("c1").alias("a"), F.col("c2").alias("b")).agg(F.count("*").alias("o"), F.min("n1").alias("n1"), F.min("n2").alias("n2"), *ends)
+        return (counted.where(room(F.col("o"), F.col("n1"), F.col("n2"))) if whole else counted).drop("n1", "n2")
 
-    def opened(cells: DataFrame, roots: DataFrame) -> DataFrame:
-        """The cells of columns whose sets lie in several components."""
-        placed = cells.select("s", "c", "n", "has").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    def opened(cells: DataFrame, moves: DataFrame) -> DataFrame:
+        """The cells of columns whose sets lie in several components, when roots have moved."""
+        placed = _merged(cells.select("s", "c", "n", "has", "root"), moves)
         mixed = placed.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where(F.col("r1") != F.col("r2")).select("s")
         return freeze(placed.join(mixed, "s", "left_semi"))
 
@@ -250,9 +261,9 @@ def _roots(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # of the columns' least sets, each set is held against the one with which it shares most
     met = product(columns.where("lead").drop("lead"), columns.drop("lead"), F.col("c1") != F.col("c2"))
     tested = freeze(met.groupBy("b").agg(F.min(F.struct(-F.col("o"), F.col("a"))).alias("best")).select(F.col("best.a").alias("a"), "b"))
-    links = freeze(_verified(docs, tested, classes, percent))
-    roots = components(links)
-    open_, turn, before = opened(columns, roots), 0, math.inf
+    # later links join components: of each turn only where roots move is worked out
+    moves = [components(freeze(_verified(docs, tested, classes, percent)))]
+    open_, turn, before = opened(columns.withColumn("root", F.col("c")), moves[0]), 0, math.inf
     while True:
         crowd = freeze(crowds(open_))
         pairs, cells = crowd.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
@@ -268,19 +279,18 @@ def _roots(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         met = product(some, dense, F.col("root1") != F.col("root2"), whole=False)
         order = Window.partitionBy("b").orderBy(F.col("o").desc(), "a")
         best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRIES)
-        tries = freeze(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        tries = freeze(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "r1", "r2").distinct().join(tested, ["a", "b"], "left_anti"))
         found = freeze(_verified(docs, tries, classes, percent))
-        tested = tested.union(tries)
+        tested = tested.union(tries.select("a", "b"))
         if found.isEmpty():
             break
-        links = links.union(found)
-        roots = components(links)
-        open_ = opened(open_, roots)
+        moves.append(components(found.select(F.col("r1").alias("a"), F.col("r2").alias("b"))))
+        open_ = opened(open_, moves[-1])
     cross = product(open_, open_, (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2"))).drop("o").join(tested, ["a", "b"], "left_anti")
     last = freeze(_verified(docs, cross, classes, percent))
-    roots = roots if last.isEmpty() else components(links.union(last))
-    placed = reps.select("c").join(roots.withColumnRenamed("node", "c"), "c", "left")
-    return placed.select("c", F.coalesce("root", "c").alias("root"))
+    if not last.isEmpty():
+        moves.append(components(last.select(F.col("r1").alias("a"), F.col("r2").alias("b"))))
+    return freeze(reduce(_merged, moves, reps.select("c", F.col("c").alias("root"))).select("c", "root"))
 
 
 def link(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -507,6 +507,39 @@ def test_join_in_turns_over_crowded_columns(documents, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(documents(rows)).collect()} == want
 
 
+def test_turns_hand_on_new_links_alone(documents, monkeypatch):
+    """What one turn has put in one component no later turn works out again: stages and tasks grow with what is new."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(60)]
+        for k in rng.sample(range(60), rng.randrange(1, 3)):
+            words[k] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(words), "a"))
+    monkeypatch.setattr(ngram_join, "CROWD", 0)
+    monkeypatch.setattr(ngram_join, "TRIES", 2)
+    turns, components = [], ngram_join.components
+
+    def told(edges):
+        turns.append([(e.a, e.b) for e in edges.select("a", "b").collect()])
+        return components(edges)
+
+    monkeypatch.setattr(ngram_join, "components", told)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(documents(rows)).collect()} == linked(rows)
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    assert len(turns) > 1
+    for edges in turns:
+        assert all(find(a) != find(b) for a, b in edges)
+        for a, b in edges:
+            root[find(a)] = find(b)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.root for r in ngram_join.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
